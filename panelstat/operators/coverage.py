@@ -46,14 +46,12 @@ def drug_coverage(df: DataFrame, min_ratio: float = 0.01, by_outcome: bool = Fal
 
     With ``codes``, drugs that never occur are listed with a zero count.
     """
-    total = F.size(F.col(tests_col)) >= 0
-    present = F.col("t.outcome").isNotNull() if by_outcome else F.lit(True)
-    exploded = df.select(F.explode_outer(F.transform(F.col(tests_col), lambda t: t)).alias("t")).filter(F.col("t").isNotNull())
-    counts = exploded.groupBy(F.col("t.code").alias("code")).agg(F.count_if(present).alias("tested_count"))
+    present = F.col("outcome").isNotNull() if by_outcome else F.lit(True)
+    counts = df.select(F.inline(tests_col)).groupBy("code").agg(F.count_if(present).alias("tested_count"))
     if codes is not None:
         catalogue = df.sparkSession.createDataFrame([(c,) for c in codes], "code string")
         counts = catalogue.join(counts, "code", "left").na.fill(0, ["tested_count"])
-    n_rows = df.agg(F.count_if(total)).scalar()
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
     share = F.col("tested_count") / n_rows
     return counts.select(
         "code",
