@@ -32,12 +32,11 @@ def blank_to_null(c: Column) -> Column:
 def result_token(c: Column) -> Column:
     """Raw laboratory text to R, I, S or null; combined results take the worst part (R, I, S)."""
     s = F.lower(strip(c))
-    parts = F.transform(F.split(s, r"[\\/]"), strip)
-    combined = (
-        F.when(F.array_contains(parts, "r"), "R")
-        .when(F.array_contains(parts, "i"), "I")
-        .when(F.array_contains(parts, "s"), "S")
-    )
+
+    def part(letter: str) -> Column:
+        return s.rlike(rf"(^|[\\/])\s*{letter}\s*($|[\\/])")
+
+    combined = F.when(part("r"), "R").when(part("i"), "I").when(part("s"), "S")
     first = F.substring(s, 1, 1)
     return (
         F.when(s.isin(TOKEN_MISSING), F.lit(None).cast("string"))

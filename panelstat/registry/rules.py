@@ -257,7 +257,7 @@ kept AS (SELECT code FROM raw, n GROUP BY code, n.n HAVING 1 - count(*) / n.n <=
 SELECT count(DISTINCT isolate_id) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM kept) AS n_columns FROM raw WHERE code IN (SELECT code FROM kept)"""
 )
 
-MIN_RATIO = 0.15
+MIN_RATIO = 0.12
 
 
 def _export_panels(spark, sf):
