@@ -27,14 +27,13 @@ def context_counts(df: DataFrame, context: str, keys: list[str] | None = None, f
     )
 
 
-def fit_empirical(df: DataFrame, context: str, min_context_n: int = 100, keys: list[str] | None = None, flags_col: str = "flags") -> tuple[DataFrame, DataFrame]:
-    """Training tables of the empirical policy.
+def fit_empirical(tested: DataFrame, rows: DataFrame, context: str, min_context_n: int = 100, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training tables of the empirical policy from :func:`context_counts` of the training rows.
 
     Returns (keys, code, p_default) and (keys, context, code, p_context) for contexts of at least
     ``min_context_n`` rows; a large context in which a drug was never tested has probability zero.
     """
     keys = keys or []
-    tested, rows = context_counts(df, context, keys, flags_col)
     total = rows.groupBy(*keys).agg(F.sum("n_rows").alias("__n"))
     per_code = tested.groupBy(*keys, "code").agg(F.sum("n_tested").alias("__t"))
     if keys:
@@ -66,15 +65,24 @@ def predict_empirical(
     return out.withColumn("p", stats.clip_probability(p, min_prob, 1 - min_prob)).drop("p_default", "p_context", "__large")
 
 
+def policy_from_counts(
+    tested: DataFrame, rows: DataFrame, cells: DataFrame, context: str, min_context_n: int = 100, min_prob: float = 0.01,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Adds p to (keys, context, code, ...) cells from the counters of the training rows."""
+    default, known = fit_empirical(tested, rows, context, min_context_n, keys)
+    return predict_empirical(cells, default, known, rows.filter(F.col("n_rows") >= min_context_n), context, min_prob, keys)
+
+
 def empirical_policy(
     train: DataFrame, apply_to: DataFrame, context: str, min_context_n: int = 100, min_prob: float = 0.01,
     keys: list[str] | None = None, flags_col: str = "flags",
 ) -> DataFrame:
     """(keys, context, code, n_tested, p): tested counters of the applied rows with their routine probability."""
-    default, known = fit_empirical(train, context, min_context_n, keys, flags_col)
-    _, rows = context_counts(train, context, keys, flags_col)
-    tested, _ = context_counts(apply_to, context, keys, flags_col)
-    return predict_empirical(tested, default, known, rows.filter(F.col("n_rows") >= min_context_n), context, min_prob, keys)
+    keys = keys or []
+    tested, rows = context_counts(train, context, keys, flags_col)
+    cells, _ = context_counts(apply_to, context, keys, flags_col)
+    return policy_from_counts(tested, rows, cells, context, min_context_n, min_prob, keys)
 
 
 def escalation_scores(policy: DataFrame, trim_percentile: float = 99.0, stabilize: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -113,12 +121,13 @@ def calibration_cells(
 ) -> DataFrame:
     """(keys, context, code, p, n_pos, n_rows): every context of the validation rows with every drug of the catalogue."""
     keys = keys or []
-    default, known = fit_empirical(train, context, min_context_n, keys, flags_col)
-    _, train_rows = context_counts(train, context, keys, flags_col)
+    train_tested, train_rows = context_counts(train, context, keys, flags_col)
     tested, rows = context_counts(validate, context, keys, flags_col)
     cells = (
         rows.withColumn("code", F.explode(F.array(*[F.lit(c) for c in codes])))
         .join(tested.withColumnRenamed("n_tested", "n_pos"), [*keys, context, "code"], "left")
         .na.fill(0, ["n_pos"])
+        .withColumnRenamed("n_rows", "n_valid")
     )
-    return predict_empirical(cells, default, known, train_rows.filter(F.col("n_rows") >= min_context_n), context, min_prob, keys)
+    out = policy_from_counts(train_tested, train_rows, cells, context, min_context_n, min_prob, keys)
+    return out.withColumnRenamed("n_valid", "n_rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "panelstat") -> SparkSession:
@@ -26,12 +26,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pan
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for lineage cuts: the cluster's own setting, else a private one (local runs only)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the cluster's shared checkpoint folder; a private one only where none is configured (local runs)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="panelstat-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
+    elif spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelstat-ckpt-"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives lost executors and is computed once. Runs a job."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

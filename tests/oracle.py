@@ -55,7 +55,9 @@ def run_oracle(sql: str, sf_dir: str):
 
 def compare(df, sql: str, sf_dir: str) -> tuple[bool, str]:
     rows = [tuple(r) for r in df.collect()]
+    t0 = time.time()
     names, types, expected = run_oracle(sql, sf_dir)
+    sql_time = time.time() - t0
     if sorted(df.columns) != sorted(names):
         return False, f"columns {sorted(df.columns)} != {sorted(names)}"
     kinds = {c: KINDS.get(t, t) for c, t in df.dtypes}
@@ -68,7 +70,7 @@ def compare(df, sql: str, sf_dir: str) -> tuple[bool, str]:
     got = Counter(tuple(cell(r[i]) for i in si) for r in rows)
     want = Counter(tuple(cell(r[i]) for i in oi) for r in expected)
     if got == want:
-        return True, f"{len(rows)} rows"
+        return True, f"{len(rows)} rows (sql {sql_time:.1f}s)"
     extra, missing = list((got - want).items())[:3], list((want - got).items())[:3]
     return False, f"rows {len(rows)} vs {len(expected)}\n   {order}\n   spark: {extra}\n   sql:   {missing}"
 
