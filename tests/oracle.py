@@ -83,12 +83,17 @@ def main() -> None:
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--show", action="store_true")
     ap.add_argument("--explain", action="store_true")
+    ap.add_argument("--family", help="only the queries of one registry module")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = local_session()
     sf_dir = f"/root/testdata/sf{args.sf}"
     failed = []
     entries = registry.load()
+    if args.family:
+        from importlib import import_module
+
+        args.names += list(import_module(f"panelstat.registry.{args.family}").QUERIES)
     wanted = [n for n in entries if not args.names or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args.names)]
     for name in wanted:
         fn, sql = entries[name]
