@@ -106,7 +106,7 @@ def estimate_ctes(key: str | None = None, s: effects.EffectSettings = SETTINGS,
     catalogue = pair_cte or f"allp AS (SELECT x.code AS trigger, y.code AS target FROM (VALUES {base.CODE_VALUES}) x(code), (VALUES {base.CODE_VALUES}) y(code) WHERE x.code <> y.code)"
     return f""", {catalogue},
 yr AS (SELECT {rk}r.isolate_id, r.trigger, q.target, r.a, r.cell, r.fold, r.w, r.g1, coalesce(s.score, 0) AS y
-  FROM tr r JOIN allp q ON q.trigger = r.trigger{' AND q.' + key + ' = r.' + key if key and pair_cte else ''} LEFT JOIN score s ON s.isolate_id = r.isolate_id AND s.code = q.target{on('s', 'r')}),
+  FROM tr r JOIN allp q ON q.trigger = r.trigger LEFT JOIN score s ON s.isolate_id = r.isolate_id AND s.code = q.target{on('s', 'r')}),
 qc AS (SELECT {k}trigger, target, cell, fold, a, sum(w * y) AS wy, sum(w) AS w, count(*) AS n FROM yr GROUP BY {k}trigger, target, cell, fold, a),
 qcell AS (SELECT {k}trigger, target, cell, a, sum(wy) AS wy, sum(w) AS w, sum(n) AS n FROM qc GROUP BY {k}trigger, target, cell, a),
 qfold AS (SELECT {k}trigger, target, fold, a, sum(wy) AS wy, sum(w) AS w FROM qc GROUP BY {k}trigger, target, fold, a),
@@ -224,24 +224,17 @@ DIAG_SQL = BASE + "," + model_ctes() + "\nSELECT trigger, " + ", ".join(
 ) + ", round(max(w_cap), 6) AS w_cap, round(sum(w) * sum(w) / sum(w * w), 6) AS ess, count(*) AS n_tested FROM tr GROUP BY trigger"
 
 
+KEYED_SETTINGS = effects.EffectSettings(
+    covariates=("ward", "care_type"), context=("pathogen_group",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20
+)
+
+
 def yearly_effects(spark, sf):
     """Re-estimation per year: the year is one more key of the same plan."""
-    s = effects.EffectSettings(
-        covariates=("ward", "care_type"), context=("pathogen_group",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20
-    )
-    df = _flagged(spark, sf).filter(F.col("year").isin(1996, 1997, 1998))
-    return _rounded(effects.estimate_pairs(df, warehouse.CODES, s, keys=["year"], pairs=YEAR_PAIRS))
+    return _rounded(effects.estimate_pairs(_flagged(spark, sf), warehouse.CODES, KEYED_SETTINGS, keys=["year"]))
 
 
-YEAR_PAIRS = [(f"Brand#{i}", f"Brand#{j}") for i in (1, 2, 3, 4) for j in (5, 6, 7, 8)]
-YEAR_SETTINGS = effects.EffectSettings(
-    covariates=("ward", "care_type"), context=("pathogen_group",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20
-)
-YEAR_PAIR_CTE = "allp AS (SELECT y.year, p.trigger, p.target FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in YEAR_PAIRS) + ") p(trigger, target), (VALUES (1996), (1997), (1998)) y(year))"
-YEARLY_SQL = (
-    BASE + ", yi AS (SELECT * FROM iso WHERE year IN (1996, 1997, 1998))," + model_ctes("yi", "year", YEAR_SETTINGS)
-    + estimate_ctes("year", YEAR_SETTINGS, YEAR_PAIR_CTE) + final_select("year")
-)
+YEARLY_SQL = BASE + "," + model_ctes("iso", "year", KEYED_SETTINGS) + estimate_ctes("year", KEYED_SETTINGS) + final_select("year")
 
 COHORT_SETTINGS = effects.EffectSettings(
     covariates=("care_type",), context=("ward",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20
@@ -251,16 +244,36 @@ COHORT_SETTINGS = effects.EffectSettings(
 def cohort_effects(spark, sf):
     """All cohorts in one job: the cohort name is a key of the plan."""
     df = rules.assign_cohorts(_flagged(spark, sf), COHORTS)
-    return _rounded(effects.estimate_pairs(df, warehouse.CODES, COHORT_SETTINGS, keys=["cohort"], pairs=YEAR_PAIRS))
+    return _rounded(effects.estimate_pairs(df, warehouse.CODES, COHORT_SETTINGS, keys=["cohort"]))
 
 
-COHORT_PAIR_CTE = "allp AS (SELECT y.cohort, p.trigger, p.target FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in YEAR_PAIRS) + ") p(trigger, target), (SELECT DISTINCT cohort FROM cohorts) y)"
 COHORT_SQL = (
     BASE + ", " + COHORT_FAMILY_CTE + "," + model_ctes("cohorts", "cohort", COHORT_SETTINGS)
-    + estimate_ctes("cohort", COHORT_SETTINGS, COHORT_PAIR_CTE) + final_select("cohort")
+    + estimate_ctes("cohort", COHORT_SETTINGS) + final_select("cohort")
 )
 
 
+def bounded_effects(spark, sf):
+    return _rounded(effects.bounded_effects(_flagged(spark, sf), warehouse.CODES, SETTINGS))
+
+
+def logit_sql(x: str) -> str:
+    return f"ln(({x} + 0.0001) / (1 - {x} + 0.0001))"
+
+
+BOUNDED_SQL = BASE + "," + model_ctes() + estimate_ctes() + f""",
+sp2 AS (SELECT trigger, target, max(y) AS span FROM z GROUP BY trigger, target),
+b0 AS (SELECT z.*, span, {logit_sql('(qa / span)')} AS off, {logit_sql('(y / span)')} AS yl FROM z JOIN sp2 USING (trigger, target) WHERE span > 0),
+b1 AS (SELECT trigger, target, sum(w * h * (yl - off)) / sum(w * h * h) AS eps FROM b0 GROUP BY trigger, target),
+b2 AS (SELECT b0.*, eps, span / (1 + exp(-(off + eps / g1))) AS q1s, span / (1 + exp(-(off - eps / (1 - g1)))) AS q0s FROM b0 JOIN b1 USING (trigger, target)),
+b3 AS (SELECT trigger, target, sum(w * (q1s - q0s)) / sum(w) AS psi, avg(w) AS mw FROM b2 GROUP BY trigger, target),
+b4 AS (SELECT b2.*, psi, w / mw * (h * (y - CASE WHEN a = 1 THEN q1s ELSE q0s END) + q1s - q0s - psi) AS ic FROM b2 JOIN b3 USING (trigger, target)),
+b5 AS (SELECT trigger, target, max(psi) AS rd, max(eps) AS epsilon, sqrt(var_samp(ic) / count(*)) AS se, count(*) AS n_used FROM b4 GROUP BY trigger, target),
+b6 AS (SELECT *, rd / se AS zb FROM b5)
+SELECT trigger, target, round(rd, 6) AS rd, round(se, 6) AS se, round(rd - 1.96 * se, 6) AS ci_low, round(rd + 1.96 * se, 6) AS ci_high,
+  round(2 * ({base.tail('zb')}), 6) AS p_value, round(epsilon, 6) AS epsilon, n_used FROM b6"""
+
+
 def _discovery(spark, sf):
     """Half of the laboratories for screening, the other half for estimation."""
     return splits.group_split(_flagged(spark, sf), "lab", 0.5, seed=7, out="is_estimation")
@@ -303,6 +316,7 @@ QUERIES = {
     "pair_effects": (pair_effects, PAIR_SQL),
     "yearly_effects": (yearly_effects, YEARLY_SQL),
     "cohort_effects": (cohort_effects, COHORT_SQL),
+    "bounded_effects": (bounded_effects, BOUNDED_SQL),
     "screened_effects": (screened_effects, None),
     "failure_summary": (failure_summary, FAIL_SQL),
 }

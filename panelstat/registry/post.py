@@ -158,15 +158,15 @@ TREND_SQL = RES + """SELECT round(regr_slope(rd, or_unadjusted), 6) AS slope, ro
 
 
 def run_comparison(spark, sf):
-    """The same effects from all isolates and from those of even orders."""
-    flagged = panel.with_flags(warehouse.panels(spark, sf).filter(F.col("isolate_id") % 2 == 0), drop_i=True)
+    """The same pairs with resistance as R only and as R or I."""
+    flagged = panel.with_flags(warehouse.panels(spark, sf), recode_mode="NS_vs_S")
     t = pairs.association(pairs.gate(pairs.pair_tables(flagged), 1, 1))
-    half = t.select("trigger", "target", F.col("delta").alias("rd"), F.col("or_ci_low").alias("ci_low"), F.col("or_ci_high").alias("ci_high"))
-    return _round_all(post.compare_runs(_results(spark, sf), half))
+    other = t.select("trigger", "target", F.col("delta").alias("rd"), F.col("or_ci_low").alias("ci_low"), F.col("or_ci_high").alias("ci_high"))
+    return _round_all(post.compare_runs(_results(spark, sf), other))
 
 
-HALF = PAIR_CTES.replace("margin", "hmargin").replace("joint", "hjoint").replace("tab AS", "htab AS").replace("flags", "hflags")
-COMPARE_SQL = RES[:-1] + f""", hflags AS (SELECT * FROM flags WHERE isolate_id % 2 = 0), {HALF},
+NS = PAIR_CTES.replace("margin", "hmargin").replace("joint", "hjoint").replace("tab AS", "htab AS").replace("flags", "hflags")
+COMPARE_SQL = RES[:-1] + f""", hflags AS (SELECT isolate_id, code, CASE WHEN outcome IN ('R', 'I') THEN 1 ELSE 0 END AS r FROM tests), {NS},
 h AS (SELECT trigger, target, a / (a + b) - c / (c + d) AS rd, exp(ln(ratio) - 1.96 * se_log) AS lo, exp(ln(ratio) + 1.96 * se_log) AS hi FROM (SELECT *, {OR_COLS} FROM htab WHERE a + c > 0 AND n_A_R >= 1 AND n_A_S >= 1))
 SELECT r.trigger, r.target, round(r.rd, 6) AS rd_false, round(r.ci_low, 6) AS ci_low_false, round(r.ci_high, 6) AS ci_high_false, round(h.rd, 6) AS rd_true,
   round(h.lo, 6) AS ci_low_true, round(h.hi, 6) AS ci_high_true, round(h.rd - r.rd, 6) AS rd_diff, r.trigger || ' → ' || r.target AS pair
@@ -286,7 +286,7 @@ def _drug_list(spark, sf):
     parts = warehouse.table(spark, sf, "part")
     k = F.col("p_partkey") % 3
     local = parts.select(
-        F.col("p_partkey").alias("id"), F.col("p_type").alias("Class"),
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("Class"), F.col("p_brand").alias("brand"),
         F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("_oral"))).otherwise(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("Antibiotic Name"),
     )
     reference = (
@@ -327,16 +327,16 @@ REPORT_SQL = f"""SELECT "Match_Type" AS kind, count(*) AS n, round_even(count(*)
 
 
 def drug_unmatched_reference(spark, sf):
-    """Reference names no part of type PROMO is matched to."""
+    """Reference names no part of type PROMO and Brand#1 is matched to."""
     local, reference, synonyms = _drug_list(spark, sf)
-    matched = drugdims.match_drugs(local.filter(F.col("Class") == "PROMO"), reference, synonyms, ref_columns=["Category"], threshold=1.1)
+    matched = drugdims.match_drugs(local.filter(F.col("Class") == "PROMO").filter(F.col("brand") == "Brand#1"), reference, synonyms, ref_columns=["Category"], threshold=1.1)
     return drugdims.unmatched_reference(matched, reference)
 
 
 UNREF_SQL = """SELECT DISTINCT p_name AS "Antibiotic" FROM part WHERE (contains(p_name, 'widget') OR contains(p_name, 'ring'))
-  AND p_name NOT IN (SELECT p_name FROM part WHERE p_type = 'PROMO')
-  AND NOT (p_name = 'small ring' AND EXISTS (SELECT 1 FROM part WHERE p_type = 'PROMO' AND p_name = 'small bolt'))
-  AND NOT (p_name = 'red widget' AND EXISTS (SELECT 1 FROM part WHERE p_type = 'PROMO' AND p_name = 'red bolt'))"""
+  AND p_name NOT IN (SELECT p_name FROM part WHERE p_type = 'PROMO' AND p_brand = 'Brand#1')
+  AND NOT (p_name = 'small ring' AND EXISTS (SELECT 1 FROM part WHERE p_type = 'PROMO' AND p_brand = 'Brand#1' AND p_name = 'small bolt'))
+  AND NOT (p_name = 'red widget' AND EXISTS (SELECT 1 FROM part WHERE p_type = 'PROMO' AND p_brand = 'Brand#1' AND p_name = 'red bolt'))"""
 
 
 def class_membership(spark, sf):
