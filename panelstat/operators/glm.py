@@ -88,9 +88,18 @@ def _solver(keys: list[str], current: dict, ridge: float, max_step: float):
     return solve
 
 
-def fit_by_group(cells: DataFrame, keys: list[str], derivatives, ridge: float = 1.0, max_iter: int = 25, tol: float = 1e-6, max_step: float = 5.0) -> Fit:
-    """Newton-type iterations. ``cells`` has a ``features`` column; ``derivatives(df)`` adds ``g``
-    (array of score sums per equation) and ``h`` (matrix of information sums) given ``beta``.
+Stages = list[dict[str, Column]]
+
+
+def staged(df: DataFrame, stages: Stages) -> DataFrame:
+    for columns in stages:
+        df = df.withColumns(columns)
+    return df
+
+
+def fit_by_group(cells: DataFrame, keys: list[str], stages: Stages, ridge: float = 1.0, max_iter: int = 25, tol: float = 1e-6, max_step: float = 5.0) -> Fit:
+    """Newton-type iterations. ``cells`` has a ``features`` column; the stages add ``g`` (array of
+    score sums per equation) and ``h`` (matrix of information sums) given ``beta``.
 
     Runs one job per iteration; the driver keeps the coefficients, which number groups x features.
     """
@@ -102,21 +111,20 @@ def fit_by_group(cells: DataFrame, keys: list[str], derivatives, ridge: float =
     )
     current: dict[tuple, dict[str, float]] = {}
     converged, i = False, 0
+    gradient = F.struct(F.lit("").alias("f2"), (F.col("a.x") * F.element_at("g", F.col("a.e"))).alias("v"))
+    curvature = F.transform(
+        "features",
+        lambda t: F.struct(
+            t["f"].alias("f2"), (F.col("a.x") * t["x"] * F.element_at(F.element_at("h", F.col("a.e")), t["e"])).alias("v")
+        ),
+    )
     for i in range(1, max_iter + 1):
         if current:
             betas = spark.createDataFrame([(*k, b) for k, b in current.items()], beta_schema)
             rows = cells.join(betas, keys)
         else:
             rows = cells.withColumn("beta", F.create_map().cast("map<string,double>"))
-        rows = derivatives(rows).select(*keys, "features", "g", "h")
-        first = rows.select(*keys, "features", "g", "h", F.explode("features").alias("a"))
-        gradient = F.struct(F.lit("").alias("f2"), (F.col("a.x") * F.element_at("g", F.col("a.e"))).alias("v"))
-        curvature = F.transform(
-            "features",
-            lambda t: F.struct(
-                t["f"].alias("f2"), (F.col("a.x") * t["x"] * F.element_at(F.element_at("h", F.col("a.e")), t["e"])).alias("v")
-            ),
-        )
+        first = staged(rows, stages).select(*keys, "features", "g", "h", F.explode("features").alias("a"))
         terms = first.select(*keys, F.col("a.f").alias("f1"), F.inline(F.concat(F.array(gradient), curvature)))
         sums = terms.groupBy(*keys, "f1", "f2").agg(F.sum("v").alias("v"))
         solved = sums.groupBy(*keys).applyInPandas(_solver(keys, current, ridge, max_step), out_schema).collect()
@@ -133,16 +141,17 @@ def fit_by_group(cells: DataFrame, keys: list[str], derivatives, ridge: float =
 # ---- logistic regression -------------------------------------------------------------------------
 
 
-def _logit_derivatives(df: DataFrame) -> DataFrame:
-    eta = linear_index(F.col("features"), F.col("beta"))
-    df = df.withColumn("__p", 1 / (1 + F.exp(-eta)))
+def _logit_stages() -> Stages:
     p, n = F.col("__p"), F.col("n").cast("double")
-    return df.withColumns({"g": F.array(F.col("pos") - n * p), "h": F.array(F.array(n * p * (1 - p)))})
+    return [
+        {"__p": 1 / (1 + F.exp(-linear_index(F.col("features"), F.col("beta"))))},
+        {"g": F.array(F.col("pos") - n * p), "h": F.array(F.array(n * p * (1 - p)))},
+    ]
 
 
 def fit_logit(cells: DataFrame, keys: list[str], ridge: float = 1.0, **kw) -> Fit:
     """Ridge-penalised logistic regression per group from cells (keys, features, n, pos); intercept unpenalised."""
-    return fit_by_group(cells, keys, _logit_derivatives, ridge, **kw)
+    return fit_by_group(cells, keys, _logit_stages(), ridge, **kw)
 
 
 def predict_logit(cells: DataFrame, keys: list[str], fit: Fit, out: str = "p") -> DataFrame:
@@ -196,41 +205,37 @@ def _density(z: Column) -> Column:
     return F.exp(-z * z / 2) / F.lit(float(np.sqrt(2 * np.pi)))
 
 
-def _selection_derivatives(df: DataFrame) -> DataFrame:
+def _selection_stages() -> Stages:
     """Score and outer-product information of the three outcomes: untested, tested and resistant, tested and not."""
-    floor = F.lit(1e-12)
+    floor, zero = F.lit(1e-12), F.lit(0.0)
     theta = F.coalesce(F.try_element_at("beta", F.lit(RHO)), F.lit(0.0))
-    df = df.withColumns(
-        {
-            "z1": linear_index(F.col("features"), F.col("beta"), 1),
-            "z2": linear_index(F.col("features"), F.col("beta"), 2),
-            "rho": F.least(F.greatest(F.tanh(theta), F.lit(-0.99)), F.lit(0.99)),
-        }
-    )
+    indices = {
+        "z1": linear_index(F.col("features"), F.col("beta"), 1),
+        "z2": linear_index(F.col("features"), F.col("beta"), 2),
+        "rho": F.least(F.greatest(F.tanh(theta), F.lit(-0.99)), F.lit(0.99)),
+    }
     z1, z2, rho = F.col("z1"), F.col("z2"), F.col("rho")
     root = F.sqrt(1 - rho * rho)
-    df = df.withColumns(
-        {
-            "P1": stats.normal_cdf(z1),
-            "P11": bivariate_normal_cdf(z1, z2, rho),
-            "d1": _density(z1) * stats.normal_cdf((z2 - rho * z1) / root),
-            "d2": _density(z2) * stats.normal_cdf((z1 - rho * z2) / root),
-            "dr": F.exp(-(z1 * z1 - 2 * rho * z1 * z2 + z2 * z2) / (2 * (1 - rho * rho))) / (2 * np.pi * root) * (1 - rho * rho),
-            "f1": _density(z1),
-        }
-    )
+    probabilities = {
+        "P1": stats.normal_cdf(z1),
+        "P11": bivariate_normal_cdf(z1, z2, rho),
+        "d1": _density(z1) * stats.normal_cdf((z2 - rho * z1) / root),
+        "d2": _density(z2) * stats.normal_cdf((z1 - rho * z2) / root),
+        "dr": F.exp(-(z1 * z1 - 2 * rho * z1 * z2 + z2 * z2) / (2 * (1 - rho * rho))) / (2 * np.pi * root) * (1 - rho * rho),
+        "f1": _density(z1),
+    }
     none = F.greatest(1 - F.col("P1"), floor)
     r = F.greatest(F.col("P11"), floor)
     s = F.greatest(F.col("P1") - F.col("P11"), floor)
-    zero = F.lit(0.0)
-    outcomes = [
-        (F.col("n_untested").cast("double"), [-F.col("f1") / none, zero, zero]),
-        (F.col("n1").cast("double"), [F.col("d1") / r, F.col("d2") / r, F.col("dr") / r]),
-        (F.col("n0").cast("double"), [(F.col("f1") - F.col("d1")) / s, -F.col("d2") / s, -F.col("dr") / s]),
-    ]
-    g = [sum((n * sc[i] for n, sc in outcomes), zero) for i in range(3)]
-    h = [[sum((n * sc[i] * sc[j] for n, sc in outcomes), zero) for j in range(3)] for i in range(3)]
-    return df.withColumns({"g": F.array(*g), "h": F.array(*[F.array(*row) for row in h])})
+    scores = {
+        "s_untested": F.array(-F.col("f1") / none, zero, zero),
+        "s_resistant": F.array(F.col("d1") / r, F.col("d2") / r, F.col("dr") / r),
+        "s_other": F.array((F.col("f1") - F.col("d1")) / s, -F.col("d2") / s, -F.col("dr") / s),
+    }
+    weighted = [(F.col(n).cast("double"), F.col(sc)) for n, sc in (("n_untested", "s_untested"), ("n1", "s_resistant"), ("n0", "s_other"))]
+    g = F.array(*[sum((n * sc[i] for n, sc in weighted), zero) for i in range(3)])
+    h = F.array(*[F.array(*[sum((n * sc[i] * sc[j] for n, sc in weighted), zero) for j in range(3)]) for i in range(3)])
+    return [indices, probabilities, scores, {"g": g, "h": h}]
 
 
 def selection_features(cell: Column, names: list[str]) -> Column:
@@ -238,19 +243,20 @@ def selection_features(cell: Column, names: list[str]) -> Column:
     return F.concat(active_features(cell, names, 1, "T:"), active_features(cell, names, 2, "A:"), rho)
 
 
-def fit_selection(cells: DataFrame, keys: list[str], names: list[str], ridge: float = 1e-3, max_iter: int = 30, tol: float = 1e-4) -> tuple[DataFrame, Fit]:
+def fit_selection(cells: DataFrame, keys: list[str], names: list[str], ridge: float = 1e-3, max_iter: int = 20, tol: float = 1e-3) -> tuple[DataFrame, Fit]:
     """Joint model of testing and resistance with correlated errors, from (keys, cell, n_untested, n1, n0).
 
     Both equations carry an intercept. Returns the cells with p_test, p_resist_given_tested and rho,
     and the fit. If the joint fit does not settle, two separate logistic regressions (rho = 0) are used.
     """
     df = cells.withColumn("features", selection_features(F.col("cell"), names))
-    fit = fit_by_group(df, keys, _selection_derivatives, ridge, max_iter, tol, max_step=1.0)
+    stages = _selection_stages()
+    fit = fit_by_group(df, keys, stages, ridge, max_iter, tol, max_step=1.0)
     finite = all(np.isfinite(v) for b in fit.coefficients.values() for v in b.values())
     if not finite:
         return _separate_logits(cells, keys, names)
     joined = df.join(fit.frame(df, keys), keys)
-    scored = _selection_derivatives(joined)
+    scored = staged(joined, stages[:2])
     out = scored.select(
         *cells.columns,
         F.col("P1").alias("p_test"),

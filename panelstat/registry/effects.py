@@ -8,7 +8,7 @@ from panelstat import session
 from panelstat.functions import stats
 from panelstat.operators import effects, pairs, panel, policy, rules, splits
 from panelstat.registry import base
-from panelstat.registry.pairs import rounded
+from panelstat.registry.pairs import FISHER_CTES, OR_COLS, PAIR_CTES, rounded
 from panelstat.registry.rules import COHORT_FAMILY_CTE, COHORTS
 from panelstat.sources import warehouse
 
@@ -289,6 +289,24 @@ def screened_effects(spark, sf):
     return _rounded(effects.estimate_pairs(df.filter("is_estimation"), warehouse.CODES, SETTINGS, pairs=found))
 
 
+SCREENED_SQL = (
+    BASE
+    + """,
+sp0 AS (SELECT lab, row_number() OVER (ORDER BY md5('7|' || lab), lab) <= ceil(0.5 * count(*) OVER ()) AS is_est FROM (SELECT DISTINCT lab FROM iso)),
+ei AS (SELECT iso.* FROM iso JOIN sp0 USING (lab) WHERE is_est),
+dflags AS (SELECT f.* FROM flags f JOIN iso USING (isolate_id) JOIN sp0 USING (lab) WHERE NOT is_est),
+"""
+    + PAIR_CTES.replace("flags", "dflags") + ",\n" + FISHER_CTES.replace("gated", "sgated")
+    + f""", kept AS (SELECT g.*, f.p_value, {OR_COLS} FROM sgated g JOIN fisher f USING (trigger, target) WHERE f.p_value <= 0.05),
+rk AS (SELECT *, row_number() OVER (ORDER BY p_value) AS rk, count(*) OVER () AS m FROM kept),
+bh AS (SELECT *, least(1.0, min(p_value * m / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) <= 0.05 AS sig FROM rk),
+chosen AS (SELECT trigger, target FROM bh ORDER BY sig DESC, abs(ln(ratio)) DESC, trigger, target LIMIT 100),"""
+    + model_ctes("ei")
+    + estimate_ctes(pair_cte="allp AS (SELECT * FROM chosen)")
+    + final_select()
+)
+
+
 def failure_summary(spark, sf):
     """Failed pairs with their group sizes, under gates that fail many of them."""
     s = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210)
@@ -317,6 +335,6 @@ QUERIES = {
     "yearly_effects": (yearly_effects, YEARLY_SQL),
     "cohort_effects": (cohort_effects, COHORT_SQL),
     "bounded_effects": (bounded_effects, BOUNDED_SQL),
-    "screened_effects": (screened_effects, None),
+    "screened_effects": (screened_effects, SCREENED_SQL),
     "failure_summary": (failure_summary, FAIL_SQL),
 }
