@@ -107,18 +107,19 @@ def haldane_odds_ratio(a: Column, b: Column, c: Column, d: Column, add: float =
     }
 
 
-def fisher_exact_p(a: Column, b: Column, c: Column, d: Column, window_sd: float = 40.0) -> Column:
-    """Two-sided Fisher exact p of [[a, b], [c, d]].
+def fisher_exact_parts(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Both walks over the support of [[a, b], [c, d]] that give the two-sided Fisher exact p.
 
     Walks the hypergeometric support outwards from the observed cell with the ratio of
-    neighbouring probabilities, so no factorials are needed and large tables lose no digits.
-    Outcomes more than ``window_sd`` standard deviations from the mean are beyond double range.
+    neighbouring probabilities, so no factorials are needed and large tables lose no digits. The
+    walk ends where the remaining tail is below double precision relative to the observed one:
+    twelve standard deviations, or three beyond the observation, plus fifty points for skewed tables.
     """
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
     mean = F.try_divide(row * col, n)
     sd = F.sqrt(F.try_divide(row * col * (n - row) * (n - col), n * n * F.greatest(n - 1, F.lit(1.0))))
-    reach = F.ceil(window_sd * sd) + 1
+    reach = F.ceil(F.greatest(12 * sd, F.abs(a - mean) + 3 * sd)) + 50
     lo = F.greatest(F.lit(0.0), col - (n - row), F.least(F.floor(mean - reach), a))
     hi = F.least(row, col, F.greatest(F.ceil(mean + reach), a))
 
@@ -150,11 +151,20 @@ def fisher_exact_p(a: Column, b: Column, c: Column, d: Column, window_sd: float
 
     above = F.aggregate(up, start, step(ratio_up))
     below = F.aggregate(down, start, step(ratio_down))
-    extreme = above["extreme"] + below["extreme"] - 1
-    total = above["total"] + below["total"] - 1
+    return F.struct(above.alias("above"), below.alias("below"))
+
+
+def fisher_p_from_parts(parts: Column) -> Column:
+    """p from the walks above and below the observed cell (both include it once)."""
+    extreme = parts["above"]["extreme"] + parts["below"]["extreme"] - 1
+    total = parts["above"]["total"] + parts["below"]["total"] - 1
     return F.least(F.lit(1.0), extreme / total)
 
 
+def fisher_exact_p(a: Column, b: Column, c: Column, d: Column) -> Column:
+    return fisher_p_from_parts(fisher_exact_parts(a, b, c, d))
+
+
 def kish_ess(weight: str | Column, freq: Column | None = None) -> Column:
     """Aggregate: effective sample size (sum w)^2 / sum w^2, optionally with frequencies."""
     w = F.col(weight) if isinstance(weight, str) else weight

@@ -103,7 +103,9 @@ def exact_test(tables: DataFrame, spread: bool = True) -> DataFrame:
     if spread:
         n = tables.sparkSession.sparkContext.defaultParallelism
         tables = tables.repartition(n, "trigger", "target")
-    return tables.withColumn("p_value", stats.fisher_exact_p(*(F.col(x) for x in "abcd")))
+    # the one-row generator keeps later filters on p_value from evaluating the walk a second time
+    parts = F.explode(F.array(stats.fisher_exact_parts(*(F.col(x) for x in "abcd")))).alias("__parts")
+    return tables.select("*", parts).withColumn("p_value", stats.fisher_p_from_parts(F.col("__parts"))).drop("__parts")
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str] | None = None, alpha: float = 0.05, p_col: str = "p_value") -> DataFrame:

@@ -25,7 +25,7 @@ Reader = Callable[[SparkSession, list[str]], DataFrame]
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
-    return df.drop(*[f"`{c}`" for c in df.columns if UNNAMED.match(c)]) if any(UNNAMED.match(c) for c in df.columns) else df
+    return df.drop(*[c for c in df.columns if UNNAMED.match(c)])
 
 
 def drop_artifacts(df: DataFrame) -> DataFrame:

@@ -1,0 +1,5 @@
+"""Nothing to build here: the work is batch only.
+
+The row-local operators (recodes, tokens, rules, panels, flags) are plain Column expressions and run
+unchanged on a streaming DataFrame; a test holds them to that.
+"""
