@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.functions import calendar
 from panelstat.operators import coverage, panel, recode
 from panelstat.sources import readers, writers
@@ -52,7 +53,8 @@ def prepare_export(df: DataFrame, pathogen_names: DataFrame | None = None) -> Da
 def structure_export(df: DataFrame, outcome_scheme: str = "raw_RSI", min_ratio: float = 0.01, pathogen_names: DataFrame | None = None) -> Structured:
     """The structured table: panels of isolates with at least one test, rare drugs removed.
 
-    Runs the two coverage jobs (their results are the drug catalogue); the table itself stays lazy.
+    Runs one job over the export, whose panels are kept in the checkpoint folder, and the two
+    coverage jobs on them (their results are the drug catalogue).
     """
     drugs = {panel.code_of(c): c for c in panel.raw_drug_columns(df.columns)}
     ready = prepare_export(df, pathogen_names)
@@ -60,7 +62,7 @@ def structure_export(df: DataFrame, outcome_scheme: str = "raw_RSI", min_ratio:
     total = sum((c.isNotNull().cast("int") for c in cells), F.lit(0))
     ready = ready.withColumn("TotalAntibioticsTested", total)
     keep = [c for c in META_COLUMNS if c in ready.columns]
-    panels = coverage.keep_tested(panel.panel_from_raw(ready, drugs, keep, outcome_scheme))
+    panels = coverage.keep_tested(session.checkpoint(panel.panel_from_raw(ready, drugs, keep, outcome_scheme)))
     by_test = coverage.drug_coverage(panels, min_ratio, codes=list(drugs))
     panels = coverage.drop_low_coverage(panels, by_test)
     by_outcome = coverage.drug_coverage(panels, min_ratio, by_outcome=True)

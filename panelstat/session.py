@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +27,24 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pan
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared checkpoint folder; a private one only where none is configured (local runs)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a private one only where none is configured (local runs)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-    elif spark.sparkContext.getCheckpointDir() is None:
+        return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelstat-ckpt-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and is computed once. Runs a job."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the plan at a table written to the shared checkpoint folder. Runs a job.
+
+    Unlike cached blocks the table survives lost executors; unlike a row checkpoint later readers
+    still prune columns, push filters and see its size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/panelstat-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,7 +52,9 @@ def save_dataset(
     partition_on: list[str] | None = None,
     rows_per_file: int | None = None,
 ) -> str:
-    """Writes a dataset folder and a ``_metadata.json`` beside its data files; returns the folder.
+    """Writes a dataset folder and a ``_dataset.json`` beside its data files; returns the folder.
+
+    Spark takes names that start with "_metadata" for Parquet footers, hence the file name.
 
     Every task writes its own files and the committer publishes them together. The row count in
     the metadata is observed during the write, so the input is read once.
@@ -88,7 +90,7 @@ def save_dataset(
     }
     if meta["rows"] == 0:
         raise ValueError("DataFrame is empty; nothing was saved.")
-    _write_text(df.sparkSession, f"{out}/_metadata.json", json.dumps(meta, indent=2, ensure_ascii=False))
+    _write_text(df.sparkSession, f"{out}/_dataset.json", json.dumps(meta, indent=2, ensure_ascii=False))
     return out
 
 

@@ -366,7 +366,7 @@ def test_save_dataset(spark, sf, scratch):
     df = spark.read.parquet(f"{sf}/orders.parquet")
     out = writers.save_dataset(df, scratch, "my orders", partition_on=["o_orderstatus"], rows_per_file=100)
     assert spark.read.parquet(out).count() == df.count()
-    meta = json.load(open(f"{out}/_metadata.json"))
+    meta = json.load(open(f"{out}/_dataset.json"))
     assert meta["rows"] == df.count() and meta["partition_on"] == ["o_orderstatus"]
     with pytest.raises(ValueError):
         writers.save_dataset(df, scratch, "x", fmt="feather")
@@ -398,8 +398,9 @@ def test_ingest_explore_flow(spark, sf, scratch):
 def test_analysis_flow(spark, sf, scratch):
     df = warehouse.isolates(spark, sf)
     s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5)
-    with pytest.raises(ValueError):
-        analysis.run(df, warehouse.CODES, s)  # the default gates pass nothing on the smallest tables
+    got = analysis.run(df, warehouse.CODES, s, top_n=3)
+    assert 0 < len(got.pairs) <= 3
+    assert {(r.trigger, r.target) for r in got.results.collect()} == set(got.pairs)
     flagged = panel.with_flags(df, drop_i=True)
     results = effects.estimate_pairs(flagged, warehouse.CODES, s, pairs=[("Brand#1", "Brand#2"), ("Brand#2", "Brand#1")])
     out = analysis.write(analysis.Analysis(results, results, []), scratch, s)
