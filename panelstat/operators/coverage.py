@@ -61,19 +61,24 @@ def drug_coverage(df: DataFrame, min_ratio: float = 0.01, by_outcome: bool = Fal
     )
 
 
-def drop_low_coverage(df: DataFrame, coverage: DataFrame, tests_col: str = "tests", max_codes: int = 10_000) -> DataFrame:
+def drop_low_coverage(df: DataFrame, coverage: DataFrame, tests_col: str = "tests") -> DataFrame:
     """Removes dropped drugs from every panel. Runs the coverage job; its result is the drug catalogue."""
-    dropped = [r["code"] for r in coverage.filter(F.col("status") == "Dropped").select("code").limit(max_codes + 1).collect()]
-    if len(dropped) > max_codes:
-        raise ValueError("more drug codes than a catalogue can hold; check the code column")
+    dropped = dropped_codes(coverage)
     return df.withColumn(tests_col, F.filter(F.col(tests_col), lambda t: ~t["code"].isin(dropped))) if dropped else df
 
 
-def affected_rows(df: DataFrame, coverage: DataFrame, key: str, tests_col: str = "tests") -> DataFrame:
-    """Rows that carry at least one dropped drug (with an outcome or test, whichever the coverage counted)."""
-    dropped = coverage.filter(F.col("status") == "Dropped").select("code")
-    hits = df.select(key, F.inline(tests_col)).join(dropped, "code", "left_semi").select(key).distinct()
-    return df.join(hits, key, "left_semi")
+def dropped_codes(coverage: DataFrame, max_codes: int = 10_000) -> list[str]:
+    """Codes of the dropped drugs. Runs the coverage job; the catalogue size is checked."""
+    rows = coverage.filter(F.col("status") == "Dropped").select("code").limit(max_codes + 1).collect()
+    if len(rows) > max_codes:
+        raise ValueError("more drug codes than a catalogue can hold; check the code column")
+    return sorted(r["code"] for r in rows)
+
+
+def affected_rows(df: DataFrame, coverage: DataFrame, tests_col: str = "tests") -> DataFrame:
+    """Rows that carry at least one dropped drug. Runs the coverage job; the rows are tested in place."""
+    dropped = dropped_codes(coverage)
+    return df.filter(F.exists(F.col(tests_col), lambda t: t["code"].isin(dropped)) if dropped else F.lit(False))
 
 
 def status_shares(coverage: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.functions import calendar, tokens
 
 RANK_METRICS = ("n_tested", "pct_r", "pct_ns")
@@ -225,12 +226,12 @@ def depth_by_group(df: DataFrame, group: str, depth: Column) -> DataFrame:
 
 
 def tests_by_group(df: DataFrame, group: str, top_n: int = 50, tests_col: str = "tests") -> DataFrame:
-    """Long table of tests per (group, drug) with the group total, for the groups with most tests."""
+    """Long table of tests per (group, drug) with the group total, for the groups with most tests. Runs the totals."""
     counts = df.select(group, F.inline(tests_col)).groupBy(group, "code").agg(F.count(F.lit(1)).alias("n"))
     totals = (
         counts.groupBy(group).agg(F.sum("n").alias("total_tests")).orderBy(F.col("total_tests").desc(), group).limit(top_n)
     )
-    return counts.join(totals, group)
+    return counts.join(session.small_side(totals), group)
 
 
 # ---- transaction items -------------------------------------------------------------------------
@@ -261,16 +262,25 @@ def select_drugs(
     return kept.select("code")
 
 
-def drug_items(df: DataFrame, key: str, drugs: DataFrame, recode_mode: str = "R_vs_nonR", tests_col: str = "tests") -> DataFrame:
-    """(key, item): <CODE>_T for tested and <CODE>_R for resistant drugs."""
-    hit = tokens.resistant_mask(F.col("outcome"), recode_mode)
-    tests = df.select(key, F.inline(tests_col)).join(drugs, "code", "left_semi")
-    items = F.array_compact(F.array(F.concat("code", F.lit("_T")), F.when(hit, F.concat("code", F.lit("_R")))))
-    return tests.select(key, F.explode(items).alias("item"))
+def drug_list(drugs: DataFrame, max_codes: int = 10_000) -> list[str]:
+    """Selected codes. Runs the selection; the catalogue size is checked."""
+    rows = drugs.select("code").limit(max_codes + 1).collect()
+    if len(rows) > max_codes:
+        raise ValueError("more drug codes than a catalogue can hold; check the code column")
+    return sorted(r["code"] for r in rows)
+
+
+def drug_items(df: DataFrame, key: str, codes: list[str], recode_mode: str = "R_vs_nonR", tests_col: str = "tests") -> DataFrame:
+    """(key, item): <CODE>_T for tested and <CODE>_R for resistant drugs, built inside the row."""
+    used = F.filter(F.col(tests_col), lambda t: t["code"].isin(codes))
+    hit = lambda t: tokens.resistant_mask(t["outcome"], recode_mode)
+    tested = F.transform(used, lambda t: F.concat(t["code"], F.lit("_T")))
+    resistant = F.transform(F.filter(used, hit), lambda t: F.concat(t["code"], F.lit("_R")))
+    return df.select(key, F.explode(F.concat(tested, resistant)).alias("item"))
 
 
 def covariate_items(df: DataFrame, key: str, columns: list[str], min_count: int = 50, max_levels: int = 25) -> DataFrame:
-    """(key, item): "covariate=level" for frequent levels, at most ``max_levels`` per covariate."""
+    """(key, item): "covariate=level" for frequent levels, at most ``max_levels`` per covariate. Runs the level counts."""
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("covariate"), F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("level"))
@@ -281,7 +291,8 @@ def covariate_items(df: DataFrame, key: str, columns: list[str], min_count: int
     counts = long.groupBy("covariate", "level").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     rank = F.row_number().over(W.partitionBy("covariate").orderBy(F.col("n").desc(), "level"))
     kept = counts.withColumn("rk", rank).filter(F.col("rk") <= max_levels).select("covariate", "level")
-    return long.join(kept, ["covariate", "level"], "left_semi").select(key, F.concat_ws("=", "covariate", "level").alias("item"))
+    out = long.join(session.small_side(kept), ["covariate", "level"], "left_semi")
+    return out.select(key, F.concat_ws("=", "covariate", "level").alias("item"))
 
 
 def transactions(
@@ -295,13 +306,15 @@ def transactions(
     drop_all_susceptible: bool = False,
     tests_col: str = "tests",
 ) -> DataFrame:
-    """Long transaction items. Items that never occur do not exist in this form."""
+    """Long transaction items. Items that never occur do not exist in this form. Runs the drug selection."""
+    codes = drug_list(drugs)
+    if not codes:
+        raise ValueError("Drug selection removed all drugs. Relax thresholds or set always_keep.")
     if drop_all_susceptible:
-        hit = lambda t: tokens.resistant_mask(t["outcome"], recode_mode)
-        codes = F.transform(F.filter(F.col(tests_col), hit), lambda t: t["code"])
-        with_r = df.select(key, F.explode(codes).alias("code")).join(drugs, "code", "left_semi").select(key).distinct()
-        df = df.join(with_r, key, "left_semi")
-    out = drug_items(df, key, drugs, recode_mode, tests_col)
+        df = df.filter(
+            F.exists(F.col(tests_col), lambda t: t["code"].isin(codes) & tokens.resistant_mask(t["outcome"], recode_mode))
+        )
+    out = drug_items(df, key, codes, recode_mode, tests_col)
     if covariates:
         out = out.unionByName(covariate_items(df, key, covariates, min_count, max_levels))
     return out

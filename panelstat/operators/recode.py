@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelstat import session
+
 # Translations and groupings of the surveillance export.
 MATERIALS = {
     "Urin": "Urine", "Wunde": "Wound", "Abstrich": "Swab", "respiratorisch": "Respiratory",
@@ -186,7 +188,7 @@ def anonymise(df: DataFrame, column: str, order_by: str, out: str = "Anonymized_
     """"Lab i" in order of first appearance by ``order_by``.
 
     The name table is aggregated map-side before it is ranked, so the ranking sees one row per
-    name; the join back leaves the choice of strategy to the optimizer.
+    name. Runs the ranking: the names are then attached without moving the rows.
     """
     first = df.groupBy(F.col(column).alias("__name")).agg(F.min(order_by).alias("__first"))
     ranked = first.select(
@@ -195,7 +197,7 @@ def anonymise(df: DataFrame, column: str, order_by: str, out: str = "Anonymized_
             F.lit(f"{prefix} "), F.row_number().over(W.partitionBy(F.lit(1)).orderBy("__first", "__name")).cast("string")
         ).alias(out),
     )
-    return df.join(ranked, F.col(column).eqNullSafe(F.col("__name")), "left").drop("__name")
+    return df.join(session.small_side(ranked), F.col(column).eqNullSafe(F.col("__name")), "left").drop("__name")
 
 
 def translate_export(df: DataFrame, pathogen_names: DataFrame | None = None) -> DataFrame:

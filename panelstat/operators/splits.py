@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelstat import session
+
 HASH_SPAN = float(16**8)
 
 
@@ -19,7 +21,8 @@ def hash32(c: Column, seed: int = 42) -> Column:
 def group_split(df: DataFrame, group_col: str, test_size: float, seed: int = 42, out: str = "is_test", keys: list[str] | None = None) -> DataFrame:
     """Whole groups to train or test: the ceil(test_size x groups) groups with the smallest digests are test.
 
-    Groups are reduced to their distinct names first (map-side), so only names are ranked.
+    Groups are reduced to their distinct names first (map-side), so only names are ranked. Runs the
+    ranking: the sides are then attached without moving the rows.
     """
     keys = keys or []
     name = F.coalesce(F.col(group_col).cast("string"), F.lit("NA"))
@@ -34,7 +37,7 @@ def group_split(df: DataFrame, group_col: str, test_size: float, seed: int = 42,
     )
     # the product is rounded first: 0.3 * 10 must not become 4 through representation error
     sides = ranked.select(*keys, "__g", (F.col("__rk") <= F.ceil(F.round(F.col("__n") * test_size, 9))).alias(out))
-    return df.withColumn("__g", name).join(sides, [*keys, "__g"]).drop("__g")
+    return df.withColumn("__g", name).join(session.small_side(sides), [*keys, "__g"]).drop("__g")
 
 
 def row_split(df: DataFrame, key: str, test_size: float, seed: int = 42, out: str = "is_test") -> DataFrame:

@@ -299,7 +299,7 @@ FROM (SELECT code, CASE WHEN count(*) / n.n >= {MIN_RATIO} THEN 'Kept' ELSE 'Dro
 def affected_by_dropping(spark, sf):
     df = coverage.keep_tested(_export_panels(spark, sf))
     stats = coverage.drug_coverage(df, MIN_RATIO)
-    hit = coverage.affected_rows(df, stats, "IdIsolateDW")
+    hit = coverage.affected_rows(df, stats)
     return hit.select(F.col("IdIsolateDW").alias("isolate_id"), F.col("IdPatientDW").alias("patient_id"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "panelstat") -> SparkSession:
@@ -48,3 +49,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/panelstat-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+MAX_BROADCAST_ROWS = 10_000
+
+
+def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A dimension ready to be joined to a large table.
+
+    Runs the dimension and counts it: within the bound it becomes a broadcast local table, so the
+    large side is neither shuffled nor skewed by hot keys; beyond it the plain table is returned and
+    the join is left to the optimizer.
+    """
+    rows = dim.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return dim
+    return F.broadcast(dim.sparkSession.createDataFrame(rows, dim.schema))
