@@ -200,8 +200,8 @@ def directional_screen(
         .select(
             "A",
             F.lit(target).alias("target_D"),
-            (F.col("__dr") / F.col("n_A_R")).alias("p_D_tested_given_A_R"),
-            (F.col("__ds") / F.col("n_A_S")).alias("p_D_tested_given_A_S"),
+            F.try_divide("__dr", "n_A_R").alias("p_D_tested_given_A_R"),
+            F.try_divide("__ds", "n_A_S").alias("p_D_tested_given_A_S"),
             "n_A_R",
             "n_A_S",
         )

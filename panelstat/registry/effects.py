@@ -86,14 +86,14 @@ tx AS (SELECT tc.*,
     (SELECT coalesce(sum(n), 0) FROM ac x WHERE x.fold <> tc.fold{on('x', 'tc')}) AS all_f,
     (SELECT coalesce(sum(n), 0) FROM tc x WHERE x.code = tc.code AND x.cell = tc.cell AND x.fold <> tc.fold{on('x', 'tc')}) AS nt_out,
     (SELECT coalesce(sum(n), 0) FROM tc x WHERE x.code = tc.code AND x.fold <> tc.fold{on('x', 'tc')}) AS nt_f FROM tc),
-tp AS (SELECT *, least(greatest(CASE WHEN all_out >= {s.min_cell_n} THEN nt_out / all_out ELSE nt_f / all_f END, {lo}), {hi}) AS p_test FROM tx),
+tp AS (SELECT *, least(greatest(coalesce(CASE WHEN all_out >= {s.min_cell_n} THEN nt_out / all_out ELSE nt_f / nullif(all_f, 0) END, 0.5), {lo}), {hi}) AS p_test FROM tx),
 tcap AS (SELECT {'tp.' + key + ', ' if key else ''}tp.code, quantile_cont(1 / p_test, {q}) AS w_cap FROM tp JOIN df ON df.code = tp.code AND df.cell = tp.cell AND df.fold = tp.fold{on('df', 'tp')} GROUP BY {'tp.' + key + ', ' if key else ''}tp.code),
 tw AS (SELECT tp.*, w_cap, least(1 / p_test, w_cap) AS w FROM tp JOIN tcap c ON c.code = tp.code{on('c', 'tp')}),
 tg AS (SELECT tw.*,
     (SELECT coalesce(sum(w * n1), 0) FROM tw x WHERE x.code = tw.code AND x.cell = tw.cell AND x.fold <> tw.fold{on('x', 'tw')}) AS wr_out,
     (SELECT coalesce(sum(w * n), 0) FROM tw x WHERE x.code = tw.code AND x.cell = tw.cell AND x.fold <> tw.fold{on('x', 'tw')}) AS wt_out,
     (SELECT sum(w * n1) / sum(w * n) FROM tw x WHERE x.code = tw.code AND x.fold <> tw.fold{on('x', 'tw')}) AS g_f FROM tw),
-gg AS (SELECT *, least(greatest(CASE WHEN nt_out >= {s.min_cell_n} THEN wr_out / wt_out ELSE g_f END, {lo}), {hi}) AS g1 FROM tg),
+gg AS (SELECT *, least(greatest(coalesce(CASE WHEN nt_out >= {s.min_cell_n} THEN wr_out / wt_out ELSE g_f END, 0.5), {lo}), {hi}) AS g1 FROM tg),
 tr AS (SELECT {'df.' + key + ', ' if key else ''}df.isolate_id, df.code AS trigger, df.r AS a, df.cell, df.fold, g.p_test, g.w, g.w_cap, g.g1
   FROM df JOIN gg g ON g.code = df.code AND g.cell = df.cell AND g.fold = df.fold{on('g', 'df')})"""
 
@@ -119,7 +119,7 @@ qq AS (SELECT {'cf.' + key + ', ' if key else ''}cf.trigger, cf.target, cf.cell,
   LEFT JOIN qc o ON o.trigger = cf.trigger AND o.target = cf.target AND o.cell = cf.cell AND o.fold = cf.fold AND o.a = cf.a{on('o', 'cf')}
   LEFT JOIN qfold f ON f.trigger = cf.trigger AND f.target = cf.target AND f.fold = cf.fold AND f.a = cf.a{on('f', 'cf')}
   LEFT JOIN qall al ON al.trigger = cf.trigger AND al.target = cf.target AND al.a = cf.a{on('al', 'cf')}),
-z AS (SELECT r.*, a1.q AS q1, coalesce(a0.q, 0) AS q0, CASE WHEN r.a = 1 THEN 1 / g1 ELSE -1 / (1 - g1) END AS h, CASE WHEN r.a = 1 THEN a1.q ELSE a0.q END AS qa
+z AS (SELECT r.*, coalesce(a1.q, 0) AS q1, coalesce(a0.q, 0) AS q0, CASE WHEN r.a = 1 THEN 1 / g1 ELSE -1 / (1 - g1) END AS h, CASE WHEN r.a = 1 THEN coalesce(a1.q, 0) ELSE coalesce(a0.q, 0) END AS qa
   FROM yr r JOIN qq a1 ON a1.trigger = r.trigger AND a1.target = r.target AND a1.cell = r.cell AND a1.fold = r.fold AND a1.a = 1{on('a1', 'r')}
   JOIN qq a0 ON a0.trigger = r.trigger AND a0.target = r.target AND a0.cell = r.cell AND a0.fold = r.fold AND a0.a = 0{on('a0', 'r')}),
 ep AS (SELECT {k}trigger, target, sum(w * h * (y - qa)) / sum(w * h * h) AS eps, avg(w) AS mw, sum(w) AS sw FROM z GROUP BY {k}trigger, target),
