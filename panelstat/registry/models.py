@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelstat import session
-from panelstat.operators import effects, glm, learners, panel, policy, post
+from panelstat.operators import effects, glm, learners, panel, post
 from panelstat.registry.effects import SETTINGS, _flagged, _rounded
 from panelstat.sources import warehouse
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelstat.functions import tokens
 from panelstat.operators import coverage, panel, rules
 from panelstat.registry import base
-from panelstat.registry.recode import EXPORT, TOKENS, TRANSLATED, case_of
+from panelstat.registry.recode import EXPORT, TOKENS, TRANSLATED
 from panelstat.operators import recode
 from panelstat.sources import warehouse
 
@@ -241,7 +241,7 @@ MISSING_SQL = (
 
 
 def column_pruning(spark, sf):
-    """Drug columns with at most 85 % missing cells, then rows with any drug left."""
+    """Drug columns with at most 86.8 % missing cells, then rows with any drug left."""
     export = warehouse.raw_export(spark, sf)
     drugs = panel.raw_drug_columns(export.columns)
     kept = coverage.prune_columns(export.select("IdIsolateDW", *drugs), 0.868, drugs)
