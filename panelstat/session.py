@@ -29,12 +29,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pan
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is configured (local runs)."""
+    """The shared folder the cluster names; a private one only for a local master without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelstat-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
