@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelstat.llm import packing, token_counts
+from panelstat.llm import exact_dedup, packing, sharding, token_counts
 from panelstat.session import checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,11 +23,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, cache)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At tolerance 0, so that the result is one that SQL can state."""
+    return sharding.shard(table(spark, sf_dir, "documents"), tolerance=0.0)
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_sharding": (op2_sharding, sharding.ORACLE_SQL),
+    "op5_exact_dedup": (op5_exact_dedup, exact_dedup.ORACLE_SQL),
     "op10_packing": (op10_packing, None),
 }
