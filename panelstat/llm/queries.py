@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelstat.llm import exact_dedup, packing, sharding, token_counts
+from panelstat.llm import exact_dedup, minhash_dedup, packing, sharding, token_counts
 from panelstat.session import checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), tolerance=0.0)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_sharding": (op2_sharding, sharding.ORACLE_SQL),
+    "op3_minhash_dedup": (op3_minhash_dedup, None),
     "op5_exact_dedup": (op5_exact_dedup, exact_dedup.ORACLE_SQL),
     "op10_packing": (op10_packing, None),
 }
