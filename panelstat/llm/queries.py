@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelstat.llm import exact_dedup, minhash_dedup, packing, sharding, token_counts
+from panelstat.llm import exact_dedup, html_extract, minhash_dedup, packing, sharding, token_counts, toxicity
 from panelstat.session import checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +37,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_offending"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -45,5 +55,7 @@ QUERIES = {
     "op2_sharding": (op2_sharding, sharding.ORACLE_SQL),
     "op3_minhash_dedup": (op3_minhash_dedup, None),
     "op5_exact_dedup": (op5_exact_dedup, exact_dedup.ORACLE_SQL),
+    "op6_html_extract": (op6_html_extract, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_packing": (op10_packing, None),
 }
