@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import exact_dedup, html_extract, minhash_dedup, packing, sharding, token_counts, toxicity
+from panelstat.llm import embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, sharding, token_counts, toxicity
 from panelstat.session import checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_offending"))
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_minhash_dedup": (op3_minhash_dedup, None),
     "op5_exact_dedup": (op5_exact_dedup, exact_dedup.ORACLE_SQL),
     "op6_html_extract": (op6_html_extract, None),
+    "op7_embedding_dedup": (op7_embedding_dedup, embedding_dedup.ORACLE_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_packing": (op10_packing, None),
 }
