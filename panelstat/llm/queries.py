@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, sharding, token_counts, toxicity
+from panelstat.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, sharding, token_counts, toxicity
 from panelstat.session import checkpoint_dir
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -45,6 +46,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_offending"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_exact_dedup": (op5_exact_dedup, exact_dedup.ORACLE_SQL),
     "op6_html_extract": (op6_html_extract, None),
     "op7_embedding_dedup": (op7_embedding_dedup, embedding_dedup.ORACLE_SQL),
+    "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_packing": (op10_packing, None),
 }
