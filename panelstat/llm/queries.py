@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, sharding, token_counts, toxicity
+from panelstat.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_scoring, minhash_dedup, packing, sharding, token_counts, toxicity
 from panelstat.session import checkpoint_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_sharding": (op2_sharding, sharding.ORACLE_SQL),
     "op3_minhash_dedup": (op3_minhash_dedup, None),
+    "op4_lm_scoring": (op4_lm_scoring, None),
     "op5_exact_dedup": (op5_exact_dedup, exact_dedup.ORACLE_SQL),
     "op6_html_extract": (op6_html_extract, None),
     "op7_embedding_dedup": (op7_embedding_dedup, embedding_dedup.ORACLE_SQL),
