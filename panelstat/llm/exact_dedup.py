@@ -179,27 +179,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` that stay under verdicts (key, keep_id, n_keep) on keys that lose rows.
+
+    A key without verdict keeps all its rows, one with n_keep = 0 none; others keep the row with
+    doc_id = keep_id, and one of them where n_keep rows have it. Any column names are safe.
+    """
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    doc_id = F.col(names[docs.columns.index(id_col)]).cast("long")
+    judged = (
+        docs.select("*", key)
+        .toDF(*names, "__key")
+        .join(_small(verdicts.toDF("__key", "__keep", "__n")), "__key", "left")
+        .where(F.col("__n").isNull() | ((F.col("__n") > 0) & doc_id.eqNullSafe(F.col("__keep"))))
+    )
+    single = judged.where(F.coalesce(F.col("__n"), F.lit(1)) == 1)
+    one_of = judged.where(F.col("__n") > 1).dropDuplicates(["__key"])
+    return single.unionByName(one_of).select(*names).toDF(*docs.columns)
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with one row of each group of equal texts, that with the largest doc_id. Runs jobs."""
     marked, groups = _verdicts(docs, id_col, text_col)
     several = groups.where("group_size > 1")
-    # groups in which the kept doc_id stands on several rows
-    tied = (
-        marked.where("suspect")
-        .join(several, "digest")
-        .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n_keep"))
-    )
-    losers = checkpoint(several.join(tied, "digest").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), "n_keep"))
-    judged = (
-        docs.withColumn("__digest", digest(docs[text_col]))
-        .join(_small(losers.withColumnRenamed("n_keep", "__n")), "__digest", "left")
-        .where(F.col("__n").isNull() | docs[id_col].cast("long").eqNullSafe(F.col("__keep")))
-    )
-    single = judged.where(F.coalesce(F.col("__n"), F.lit(1)) == 1)
-    one_of = judged.where(F.col("__n") > 1).dropDuplicates(["__digest"])
-    return single.unionByName(one_of).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # how many rows of a group have the doc_id that stays
+    kept = marked.where("suspect").join(several, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    verdicts = kept.groupBy("digest", "keep_id").agg(F.count(F.lit(1)).alias("n_keep"))
+    return keep_rows(docs, digest(docs[text_col]), checkpoint(verdicts), id_col)
 
 
 ORACLE_SQL = """

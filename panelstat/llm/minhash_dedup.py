@@ -36,11 +36,11 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.llm.components import components
-from panelstat.llm.exact_dedup import normal
+from panelstat.llm.exact_dedup import keep_rows, normal
 from panelstat.session import checkpoint
 
 BINS_LOG = 7
@@ -216,20 +216,14 @@ def _left_out(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return out.join(heads, "bucket").where("member <> head").select("member", "head")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    percent: int = 75,
-    width: int = 5,
-    rows: int = 4,
-    rounds: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row, kept where doc_id = component_id. Runs jobs."""
+def _node(text: Column) -> Column:
+    return F.xxhash64(F.md5(normal(text)))
+
+
+def _grouped(docs: DataFrame, percent: int, width: int, rows: int, rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles) per row, and (node, doc_id, root) per node with words; a node's doc_id is its smallest."""
     texts = docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        F.xxhash64(F.md5(normal(docs[text_col]))).alias("node"),
-        docs[text_col].alias("text"),
+        docs[id_col].cast("long").alias("doc_id"), _node(docs[text_col]).alias("node"), docs[text_col].alias("text")
     )
     signed = checkpoint(texts.mapInArrow(_sign(rows, width), SIGNED_SCHEMA))
     nodes = checkpoint(
@@ -255,9 +249,21 @@ def near_duplicates(
         links = links.union(confirm(further, texts.select("node", "text"), percent, width))
         tried = tried.union(further)
         roots = components(links)
-    grouped = nodes.select("node", "doc_id").join(roots, "node", "left").select(
-        "node", "doc_id", F.coalesce("root", "node").alias("root")
-    )
+    grouped = nodes.select("node", "doc_id").join(roots, "node", "left")
+    return signed, grouped.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    percent: int = 75,
+    width: int = 5,
+    rows: int = 4,
+    rounds: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row, kept where doc_id = component_id. Runs jobs."""
+    signed, grouped = _grouped(docs, percent, width, rows, rounds, id_col, text_col)
     smallest = checkpoint(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = checkpoint(grouped.join(smallest, "root").select("node", "component_id"))
     found = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
@@ -268,3 +274,32 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def deduplicate(
+    docs: DataFrame,
+    percent: int = 75,
+    width: int = 5,
+    rows: int = 4,
+    rounds: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs` with one row of each component, that of smallest doc_id (a null one only where
+    the component has no other); rows without words all stay. Runs jobs."""
+    signed, grouped = _grouped(docs, percent, width, rows, rounds, id_col, text_col)
+    grouped = checkpoint(grouped)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    winners = checkpoint(grouped.groupBy("root").agg(F.min(order).alias("w")).select("root", "w.node", F.col("w.doc_id").alias("keep_id")))
+    losers = grouped.select("node", "root").join(winners.select("root", F.col("node").alias("winner")), "root").where("node <> winner")
+    lost = losers.select("node", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("n_keep"))
+    # rows of a winning text, of which one stays
+    rows_ = signed.where("n_shingles > 0").join(winners.select("node", "keep_id"), "node")
+    equal = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    won = (
+        rows_.groupBy("node", "keep_id")
+        .agg(F.sum(equal.cast("long")).alias("n_keep"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("node", "keep_id", "n_keep")
+    )
+    return keep_rows(docs, _node(docs[text_col]), checkpoint(lost.union(won)), id_col)
