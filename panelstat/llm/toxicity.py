@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from panelstat.llm.words import chunks
 
 HASH_BITS = 18
+LEAST_DOCS = 3
 SENTENCE = re.compile(r"\w++|[.!?\n]")
 ENDS = frozenset(".!?\n")
 MAX_WORDS = 400_000
@@ -70,30 +71,45 @@ def _featurise(batches):
         )
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 128, rate: float = 0.15):
-    """(weights, bias) that maximise the noisy-or likelihood of the bags' labels, by Adagrad."""
-    weights = np.zeros(1 << HASH_BITS)
-    bias, square, square_bias = -5.0, np.full(1 << HASH_BITS, 1e-2), 1e-2
-    rng = np.random.default_rng(9)
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 20, batch: int = 32, rate: float = 0.2, lasso: float = 0.016):
+    """(weights, bias) that maximise the noisy-or likelihood of the bags' labels, by Adagrad.
+
+    Features of fewer than `LEAST_DOCS` documents are left out; the others bear an L1 penalty that falls
+    with the root of the number of documents, as the noise of their gradients does.
+    """
     bags = [b for b in bags if len(b[2])]
+    spread = np.zeros(1 << HASH_BITS, np.int64)
+    for _, flat, _ in bags:
+        spread[np.unique(flat)] += 1
+    used = np.flatnonzero(spread >= LEAST_DOCS)
+    short = np.full(1 << HASH_BITS, len(used))  # the last number stands for all features left out
+    short[used] = np.arange(len(used))
+    bags = [(label, short[flat], sizes) for label, flat, sizes in bags]
+    w, square = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-2)
+    bias, square_bias, penalty = -5.0, 1e-2, lasso / np.sqrt(max(1, len(bags)))
+    rng = np.random.default_rng(9)
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             some = [bags[i] for i in order[at : at + batch]]
             flat, sizes = np.concatenate([b[1] for b in some]), np.concatenate([b[2] for b in some])
-            starts = np.cumsum(sizes) - sizes
-            z = np.clip(np.add.reduceat(weights[flat], starts) + bias, -30, 30)
+            z = np.clip(np.add.reduceat(w[flat], np.cumsum(sizes) - sizes) + bias, -30, 30)
             counts = np.array([len(b[2]) for b in some])
             no_log = np.add.reduceat(-np.logaddexp(0, z), np.cumsum(counts) - counts)
             label = np.array([b[0] for b in some])
             yes = np.maximum(-np.expm1(no_log), 1e-12)
             pull = np.where(label == 1, -np.exp(no_log) / yes, 1.0)  # times p_s: slope of the loss in z_s
             slope = np.repeat(pull, counts) / (1 + np.exp(-z)) / len(some)
-            gradient = np.bincount(flat, np.repeat(slope, sizes), len(weights)) + 1e-6 * weights
+            gradient = np.bincount(flat, np.repeat(slope, sizes), len(w))
+            gradient[-1] = 0
             square += gradient**2
-            weights -= rate * gradient / np.sqrt(square)
+            step = rate / np.sqrt(square)
+            w -= step * gradient
+            w = np.sign(w) * np.maximum(np.abs(w) - penalty * step, 0)
             square_bias += slope.sum() ** 2
             bias -= rate * slope.sum() / np.sqrt(square_bias)
+    weights = np.zeros(1 << HASH_BITS)
+    weights[used] = w[:-1]
     return weights, bias
 
 
