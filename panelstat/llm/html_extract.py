@@ -7,8 +7,8 @@ names its article (an `article` or `main` element). Weights are log odds of lyin
 element, held within fixed bounds; a kind never seen there takes the bounds' default.
 
 Elements that are never article text wherever they stand (menus, headers, footers, sidebars, forms,
-scripts, adverts, notices, comment threads, by tag, role, class or id) score low and are left out of
-the run's text. Inside the run, blocks end at block-level tags; character references are decoded,
+scripts, adverts, notices, comment threads, by tag, role, class or id) are left out of the run's text
+and score next to nothing, so that one inside an article does not end it. Inside the run, blocks end at block-level tags; character references are decoded,
 white space becomes one space, blocks are joined by a line feed.
 
 Labelled pages: at most `max_pages`, those of smallest hashed (page_id, url). Every row is extracted
@@ -159,12 +159,13 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     found = tokens(page or "")
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, text, left_out, _) in enumerate(found):
-        if kind[0] == "w":
-            n = len(text.split())
-            total += n * (LOW if left_out else weights.get(kind, UNSEEN_WORD))
+        # what is left out of the text costs next to nothing: an advert inside an article must not end it
+        if left_out:
+            total += TAG_TOP
+        elif kind[0] == "w":
+            total += len(text.split()) * weights.get(kind, UNSEEN_WORD)
         else:
-            # what is left out costs by its words, a tag of it no more than another
-            total += weights.get(kind, UNSEEN_TAG) if not left_out else TAG_TOP
+            total += weights.get(kind, UNSEEN_TAG)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
