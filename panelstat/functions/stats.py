@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coefficients of the double-precision rational approximation to the normal
 # tail (Hart's 5666 algorithm as given by G. West, 2005).
@@ -107,62 +111,86 @@ def haldane_odds_ratio(a: Column, b: Column, c: Column, d: Column, add: float =
     }
 
 
-def fisher_exact_parts(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Both walks over the support of [[a, b], [c, d]] that give the two-sided Fisher exact p.
+def _stirling_error(n: float) -> float:
+    """log n! beyond Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - math.log(2 * math.pi) / 2 if n else 0.0
+    r = 1 / (n * n)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - r / 1680) * r) * r) / n
 
-    Walks the hypergeometric support outwards from the observed cell with the ratio of
-    neighbouring probabilities, so no factorials are needed and large tables lose no digits. The
-    walk ends where the remaining tail is below double precision relative to the observed one:
-    twelve standard deviations, or three beyond the observation, plus fifty points for skewed tables.
-    """
-    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
-    row, col, n = a + b, a + c, a + b + c + d
-    mean = F.try_divide(row * col, n)
-    sd = F.sqrt(F.try_divide(row * col * (n - row) * (n - col), n * n * F.greatest(n - 1, F.lit(1.0))))
-    reach = F.ceil(F.greatest(12 * sd, F.abs(a - mean) + 3 * sd)) + 50
-    lo = F.greatest(F.lit(0.0), col - (n - row), F.least(F.floor(mean - reach), a))
-    hi = F.least(row, col, F.greatest(F.ceil(mean + reach), a))
-
-    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("total"), F.lit(0.0).alias("extreme"))
-
-    def step(log_ratio):
-        def merge(acc, x):
-            level = acc["l"] + log_ratio(x.cast("double"))
-            weight = F.exp(level)
-            return F.struct(
-                level.alias("l"),
-                (acc["total"] + weight).alias("total"),
-                (acc["extreme"] + F.when(level <= 1e-7, weight).otherwise(0.0)).alias("extreme"),
-            )
-
-        return merge
 
-    # support points strictly above / below the observed one; offsets keep the sequences increasing
-    up = F.sequence(F.lit(0), (hi - a).cast("int"))
-    down = F.sequence(F.lit(0), (a - lo).cast("int"))
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) - x + mean, without cancellation near the mean."""
+    e = (x - mean) / mean
+    if abs(e) < 1e-3:
+        return mean * e * e * (1 / 2 - e * (1 / 6 - e * (1 / 12 - e * (1 / 20 - e / 30))))
+    return mean * ((1 + e) * math.log1p(e) - e)
 
-    def ratio_up(i):  # P(a+i) / P(a+i-1); i = 0 is the observed point itself
-        x = a + i
-        return F.when(i == 0, 0.0).otherwise(F.ln((row - x + 1) * (col - x + 1) / (x * (n - row - col + x))))
 
-    def ratio_down(i):  # P(a-i) / P(a-i+1)
-        x = a - i + 1
-        return F.when(i == 0, 0.0).otherwise(F.ln(x * (n - row - col + x) / ((row - x + 1) * (col - x + 1))))
+def log_binomial(x: float, n: float, p: float) -> float:
+    """Log probability of x successes in n trials, 0 < p < 1, by the saddle-point expansion (C. Loader, 2000)."""
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    apart = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return apart + math.log(n / (2 * math.pi * x * (n - x))) / 2
 
-    above = F.aggregate(up, start, step(ratio_up))
-    below = F.aggregate(down, start, step(ratio_down))
-    return F.struct(above.alias("above"), below.alias("below"))
 
+def fisher_two_sided(a: float, b: float, c: float, d: float) -> float:
+    """Two-sided exact p of [[a, b], [c, d]]: the tables no likelier than the observed one.
 
-def fisher_p_from_parts(parts: Column) -> Column:
-    """p from the walks above and below the observed cell (both include it once)."""
-    extreme = parts["above"]["extreme"] + parts["below"]["extreme"] - 1
-    total = parts["above"]["total"] + parts["below"]["total"] - 1
-    return F.least(F.lit(1.0), extreme / total)
-
-
-def fisher_exact_p(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return fisher_p_from_parts(fisher_exact_parts(a, b, c, d))
+    Probabilities have a closed form. On the observed table's side of the mode all tables further out
+    count; on the other side a bisection finds the first that does. Each tail is summed outwards from
+    there by the ratio of neighbours until the terms vanish: a number of steps that falls with the
+    distance from the mode and never exceeds some standard deviations, however large the counts.
+    """
+    row, col, n = a + b, a + c, a + b + c + d
+    rest, lo, hi = n - row - col, max(0.0, a - d), min(row, col)
+    if lo >= hi:
+        return 1.0
+    p = col / n
+
+    def log_p(x: float) -> float:
+        return log_binomial(x, row, p) + log_binomial(col - x, n - row, p) - log_binomial(col, n, p)
+
+    mode = min(max(math.floor((row + 1) * (col + 1) / (n + 2)), lo), hi)
+    level = log_p(a)
+    if a == mode or level >= log_p(mode) - 1e-7:
+        return 1.0
+    reach = 12 * math.sqrt(row * col * (n - row) * (n - col) / (n * n * max(n - 1, 1))) + 50
+
+    def tail(x: float, up: bool) -> float:
+        """Sum of the probabilities from x outwards, relative to that of x."""
+        total, last, at = 1.0, 1.0, 0
+        end = int(min(hi - x if up else x - lo, reach))
+        while at < end and last > 1e-18:
+            y = x + np.arange(at, min(end, at + 4096)) * (1.0 if up else -1.0)
+            if up:
+                ratios = (row - y) * (col - y) / ((y + 1) * (rest + y + 1))
+            else:
+                ratios = y * (rest + y) / ((row - y + 1) * (col - y + 1))
+            terms = last * np.cumprod(ratios)
+            total, last, at = total + float(terms.sum()), float(terms[-1]), at + len(y)
+        return total
+
+    up = a > mode
+    within, beyond = (lo - 1, mode) if up else (hi + 1, mode)  # no likelier than observed, and likelier
+    while abs(within - beyond) > 1:
+        middle = (within + beyond) // 2
+        if log_p(middle) <= level + 1e-7:
+            within = middle
+        else:
+            beyond = middle
+    other = math.exp(log_p(within) - level) * tail(within, not up) if lo <= within <= hi else 0.0
+    return min(1.0, math.exp(level) * (tail(a, up) + other))
+
+
+@F.pandas_udf(T.DoubleType())
+def fisher_exact_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """:func:`fisher_two_sided` per row of a pair table, which has at most codes^2 rows."""
+    tables = zip(*(x.to_numpy(np.float64, na_value=np.nan) for x in (a, b, c, d)))
+    return pd.Series([fisher_two_sided(*map(float, t)) if not np.isnan(t).any() else None for t in tables], dtype="float64")
 
 
 def kish_ess(weight: str | Column, freq: Column | None = None) -> Column:

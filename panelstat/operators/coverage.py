@@ -61,24 +61,26 @@ def drug_coverage(df: DataFrame, min_ratio: float = 0.01, by_outcome: bool = Fal
     )
 
 
+def dropped_codes(coverage: DataFrame) -> Column:
+    """Array of the dropped drugs' codes as a subquery, evaluated once inside the plan."""
+    return coverage.filter(F.col("status") == "Dropped").agg(F.array_sort(F.collect_set("code"))).scalar()
+
+
 def drop_low_coverage(df: DataFrame, coverage: DataFrame, tests_col: str = "tests") -> DataFrame:
-    """Removes dropped drugs from every panel. Runs the coverage job; its result is the drug catalogue."""
-    dropped = dropped_codes(coverage)
-    return df.withColumn(tests_col, F.filter(F.col(tests_col), lambda t: ~t["code"].isin(dropped))) if dropped else df
+    """Removes dropped drugs from every panel, row by row."""
+    marked = df.withColumn("__dropped", dropped_codes(coverage))
+    return marked.withColumn(tests_col, F.filter(F.col(tests_col), lambda t: ~F.array_contains("__dropped", t["code"]))).drop("__dropped")
 
 
-def dropped_codes(coverage: DataFrame, max_codes: int = 10_000) -> list[str]:
-    """Codes of the dropped drugs. Runs the coverage job; the catalogue size is checked."""
-    rows = coverage.filter(F.col("status") == "Dropped").select("code").limit(max_codes + 1).collect()
-    if len(rows) > max_codes:
-        raise ValueError("more drug codes than a catalogue can hold; check the code column")
-    return sorted(r["code"] for r in rows)
+def affected_rows(df: DataFrame, coverage: DataFrame, by_outcome: bool = False, tests_col: str = "tests") -> DataFrame:
+    """Rows that carry a test, or with ``by_outcome`` a result, of at least one dropped drug."""
 
+    def hit(t: Column) -> Column:
+        dropped = F.array_contains("__dropped", t["code"])
+        return dropped & t["outcome"].isNotNull() if by_outcome else dropped
 
-def affected_rows(df: DataFrame, coverage: DataFrame, tests_col: str = "tests") -> DataFrame:
-    """Rows that carry at least one dropped drug. Runs the coverage job; the rows are tested in place."""
-    dropped = dropped_codes(coverage)
-    return df.filter(F.exists(F.col(tests_col), lambda t: t["code"].isin(dropped)) if dropped else F.lit(False))
+    marked = df.withColumn("__dropped", dropped_codes(coverage))
+    return marked.filter(F.exists(F.col(tests_col), hit)).drop("__dropped")
 
 
 def status_shares(coverage: DataFrame) -> DataFrame:

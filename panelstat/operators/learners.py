@@ -69,6 +69,11 @@ def _scored(model, df: DataFrame, out: str) -> DataFrame:
     return t.withColumn(out, positive_class(t)).select(*df.columns, out)
 
 
+def _log_odds(score: str) -> Column:
+    p = F.least(F.greatest(score, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return F.ln(p / (1 - p))
+
+
 class Calibrated:
     """Average of inner-fold models, each calibrated (isotonic or sigmoid) on the rows it did not see.
 
@@ -88,7 +93,7 @@ class Calibrated:
             if self.method == "isotonic":
                 cal = IsotonicRegression(featuresCol="__s", labelCol=self.label_col, weightCol=self.weight_col, predictionCol="__c").fit(held)
             else:
-                logit = F.ln(F.least(F.greatest("__s", F.lit(1e-12)), F.lit(1 - 1e-12)))
+                logit = _log_odds("__s")
                 held = VectorAssembler(inputCols=["__l"], outputCol="__f").transform(held.withColumn("__l", logit))
                 cal = LogisticRegression(featuresCol="__f", labelCol=self.label_col, weightCol=self.weight_col, predictionCol="__d", probabilityCol="__q", rawPredictionCol="__w").fit(held)
             self.models.append((base, cal))
@@ -101,7 +106,7 @@ class Calibrated:
             if self.method == "isotonic":
                 df = cal.transform(df).withColumnRenamed("__c", f"__c{i}").drop("__s")
             else:
-                logit = F.ln(F.least(F.greatest("__s", F.lit(1e-12)), F.lit(1 - 1e-12)))
+                logit = _log_odds("__s")
                 t = cal.transform(VectorAssembler(inputCols=["__l"], outputCol="__f").transform(df.withColumn("__l", logit)))
                 df = t.withColumn(f"__c{i}", vector_to_array(F.col("__q"))[1]).drop("__s", "__l", "__f", "__d", "__q", "__w")
             cols.append(f"__c{i}")

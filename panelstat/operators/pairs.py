@@ -98,14 +98,14 @@ def association(tables: DataFrame) -> DataFrame:
 
 
 def exact_test(tables: DataFrame, spread: bool = True) -> DataFrame:
-    """Adds p_value. The pair table is small but each row may walk a long support, so it is
-    spread over the cluster first."""
+    """Adds p_value. The pair table is small and its test is long arithmetic, so it is spread over the
+    cluster first."""
     if spread:
         n = tables.sparkSession.sparkContext.defaultParallelism
         tables = tables.repartition(n, "trigger", "target")
-    # the one-row generator keeps later filters on p_value from evaluating the walk a second time
-    parts = F.explode(F.array(stats.fisher_exact_parts(*(F.col(x) for x in "abcd")))).alias("__parts")
-    return tables.select("*", parts).withColumn("p_value", stats.fisher_p_from_parts(F.col("__parts"))).drop("__parts")
+    # the one-row generator keeps later filters on p_value from evaluating the test a second time
+    p = F.explode(F.array(stats.fisher_exact_p(*(F.col(x) for x in "abcd")))).alias("p_value")
+    return tables.select("*", p)
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str] | None = None, alpha: float = 0.05, p_col: str = "p_value") -> DataFrame:
@@ -173,15 +173,12 @@ def directional_screen(
     recode_mode: str = "R_vs_nonR",
     drop_i: bool = False,
     min_group: int = 50,
-    condition_on_trigger_tested: bool = True,
     tests_col: str = "tests",
 ) -> DataFrame:
     """P(target tested | trigger R) - P(target tested | trigger strictly S) for every trigger.
 
-    An outcome only exists where the drug was tested, so conditioning on "trigger tested"
-    cannot change either arm; the switch is kept for interface parity.
+    An outcome only exists where the drug was tested, so both arms are of tested isolates.
     """
-    del condition_on_trigger_tested
     y = tokens.outcome_token(F.col("outcome"))
     resistant = tokens.resistant_mask(F.col("outcome"), recode_mode, drop_i)
     rows = df.select(

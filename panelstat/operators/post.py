@@ -59,9 +59,9 @@ def strongest_pair(results: DataFrame, keys: list[str] | None = None) -> DataFra
     """The estimated pair with the largest absolute effect (first by name on ties)."""
     keys = keys or []
     cols = [c for c in results.columns if c not in keys]
-    rank = F.struct(F.abs("rd").alias("m"), (-F.xxhash64("trigger", "target")).alias("h"))
+    rank = F.struct((-F.abs("rd")).alias("m"), "trigger", "target")
     best = ok_rows(results).filter(F.col("rd").isNotNull()).groupBy(*keys).agg(
-        F.max_by(F.struct(*cols), rank).alias("__b")
+        F.min_by(F.struct(*cols), rank).alias("__b")
     )
     return best.select(*keys, "__b.*").filter(F.col("trigger").isNotNull())
 
@@ -202,21 +202,21 @@ def export_filter(
     return out
 
 
-def dependencies(results: DataFrame, all_effects: bool = True) -> DataFrame:
-    """(target, triggers): sorted distinct triggers of each target; without ``all_effects`` only positive ones."""
+def dependencies(results: DataFrame, all_effects: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """(keys, target, triggers): sorted distinct triggers of each target; without ``all_effects`` only positive ones."""
     rows = results if all_effects else results.filter(F.col("rd") > 0)
-    return rows.groupBy("target").agg(F.array_sort(F.collect_set("trigger")).alias("triggers"))
+    return rows.groupBy(*(keys or []), "target").agg(F.array_sort(F.collect_set("trigger")).alias("triggers"))
 
 
-def effect_map(results: DataFrame) -> DataFrame:
-    """(target, effects): map trigger -> effect, the sparse adjacency of the effect graph."""
-    return results.groupBy("target").agg(
+def effect_map(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, target, effects): map trigger -> effect, the sparse adjacency of the effect graph."""
+    return results.groupBy(*(keys or []), "target").agg(
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("trigger", "rd")))).alias("effects")
     )
 
 
-def summary_statistics(results: DataFrame) -> DataFrame:
-    return results.agg(
+def summary_statistics(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return results.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg("rd").alias("avg_rd"),
         F.stddev_samp("rd").alias("std_rd"),
@@ -226,15 +226,15 @@ def summary_statistics(results: DataFrame) -> DataFrame:
     )
 
 
-def export_results(results: DataFrame, out: str, prefix: str = "escalation", **filters) -> dict[str, str]:
-    """Writes the filtered summary (CSV), the dependencies (JSON lines) and one metadata row (JSON)."""
+def export_results(results: DataFrame, out: str, prefix: str = "escalation", keys: list[str] | None = None, **filters) -> dict[str, str]:
+    """Writes the filtered summary (CSV), the dependencies (JSON lines) and metadata rows (JSON), per key."""
     kept = export_filter(results, **filters)
     paths = {k: f"{out}/{prefix}_{k}" for k in ("summary", "dependencies", "metadata")}
     plain = [c for c, t in kept.dtypes if not t.startswith(("map", "struct", "array"))]
     kept.select(*plain).write.mode("overwrite").option("header", "true").csv(paths["summary"])
-    dependencies(kept).write.mode("overwrite").json(paths["dependencies"])
+    dependencies(kept, keys=keys).write.mode("overwrite").json(paths["dependencies"])
     params = F.create_map(*[F.lit(str(x)) for kv in filters.items() for x in kv]) if filters else F.lit(None).cast("map<string,string>")
-    summary_statistics(kept).withColumn("filter_params", params).write.mode("overwrite").json(paths["metadata"])
+    summary_statistics(kept, keys).withColumn("filter_params", params).write.mode("overwrite").json(paths["metadata"])
     return paths
 
 

@@ -108,7 +108,7 @@ def yearly_results(
     table = with_result_shares(counts)
     if selection == "custom":
         if not custom_codes:
-            raise ValueError("custom_codes must be provided when selection='custom'")
+            raise ValueError("a custom selection needs its drug codes")
         wanted = list(dict.fromkeys(str(c).strip().upper() for c in custom_codes))
         position = F.array_position(F.array(*[F.lit(c) for c in wanted]), F.upper("code"))
         return table.withColumn("ord", position.cast("int")).filter(F.col("ord") > 0)
@@ -116,7 +116,7 @@ def yearly_results(
         rank = F.row_number().over(W.partitionBy("year").orderBy(*order))
         return table.withColumn("ord", rank).filter(F.col("ord") <= int(top_n))
     if selection != "global_top":
-        raise ValueError("selection must be one of: 'global_top', 'top_per_year', 'custom'")
+        raise ValueError(f"unknown selection {selection!r}")
     overall = with_result_shares(
         counts.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n_tested", "n_r", "n_i", "n_s")])
     )
@@ -262,17 +262,10 @@ def select_drugs(
     return kept.select("code")
 
 
-def drug_list(drugs: DataFrame, max_codes: int = 10_000) -> list[str]:
-    """Selected codes. Runs the selection; the catalogue size is checked."""
-    rows = drugs.select("code").limit(max_codes + 1).collect()
-    if len(rows) > max_codes:
-        raise ValueError("more drug codes than a catalogue can hold; check the code column")
-    return sorted(r["code"] for r in rows)
-
-
-def drug_items(df: DataFrame, key: str, codes: list[str], recode_mode: str = "R_vs_nonR", tests_col: str = "tests") -> DataFrame:
-    """(key, item): <CODE>_T for tested and <CODE>_R for resistant drugs, built inside the row."""
-    used = F.filter(F.col(tests_col), lambda t: t["code"].isin(codes))
+def drug_items(df: DataFrame, key: str, codes: Column, recode_mode: str = "R_vs_nonR", tests_col: str = "tests") -> DataFrame:
+    """(key, item): <CODE>_T for tested and <CODE>_R for resistant drugs of the array ``codes``, built inside the row."""
+    df = df.withColumn("__codes", codes)
+    used = F.filter(F.col(tests_col), lambda t: F.array_contains("__codes", t["code"]))
     hit = lambda t: tokens.resistant_mask(t["outcome"], recode_mode)
     tested = F.transform(used, lambda t: F.concat(t["code"], F.lit("_T")))
     resistant = F.transform(F.filter(used, hit), lambda t: F.concat(t["code"], F.lit("_R")))
@@ -307,13 +300,13 @@ def transactions(
     tests_col: str = "tests",
 ) -> DataFrame:
     """Long transaction items. Items that never occur do not exist in this form. Runs the drug selection."""
-    codes = drug_list(drugs)
-    if not codes:
-        raise ValueError("Drug selection removed all drugs. Relax thresholds or set always_keep.")
+    chosen = session.checkpoint(drugs.select("code").distinct())
+    if chosen.isEmpty():
+        raise ValueError("no drug passes the selection; loosen its limits or name drugs to keep")
+    codes = chosen.agg(F.array_sort(F.collect_set("code"))).scalar()  # evaluated once, inside the plan
     if drop_all_susceptible:
-        df = df.filter(
-            F.exists(F.col(tests_col), lambda t: t["code"].isin(codes) & tokens.resistant_mask(t["outcome"], recode_mode))
-        )
+        hit = lambda t: F.array_contains("__codes", t["code"]) & tokens.resistant_mask(t["outcome"], recode_mode)
+        df = df.withColumn("__codes", codes).filter(F.exists(F.col(tests_col), hit)).drop("__codes")
     out = drug_items(df, key, codes, recode_mode, tests_col)
     if covariates:
         out = out.unionByName(covariate_items(df, key, covariates, min_count, max_levels))

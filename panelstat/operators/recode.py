@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -98,8 +99,6 @@ CATEGORY_ORDER = {
     "OrgType": ["Hospital", "Doctor's office", "Other"],
 }
 
-MAX_LITERAL_MAP = 500
-
 
 def set_where(df: DataFrame, column: str, value, condition: Callable[[DataFrame], Column] | dict | Column) -> DataFrame:
     """Sets ``column`` where the condition holds; a dict means equality on every named column."""
@@ -118,10 +117,9 @@ def set_where(df: DataFrame, column: str, value, condition: Callable[[DataFrame]
 
 
 def lookup(c: Column, mapping: dict[str, str], default: Column | str | None = None) -> Column:
-    """Dictionary lookup as an expression; for dictionaries up to a few hundred entries."""
-    if len(mapping) > MAX_LITERAL_MAP:
-        raise ValueError("use replace_from_table for large dictionaries")
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    """Dictionary lookup as an expression. The dictionary is one constant of the plan whatever its size;
+    for those of many thousands, :func:`replace_from_table` joins instead."""
+    m = F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
     hit = F.when(c.isNotNull(), F.try_element_at(m, c))
     if default is None:
         return hit

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.operators import effects, pairs, panel, post, rules, splits
 from panelstat.sources import writers
 
@@ -20,7 +21,7 @@ TOP_PAIRS = 100
 class Analysis:
     screen: DataFrame
     results: DataFrame
-    pairs: list[tuple[str, str]]
+    keys: list[str]
 
 
 def default_settings() -> effects.EffectSettings:
@@ -33,20 +34,17 @@ def run(
 ) -> Analysis:
     """Screen on one half of the laboratories, estimate the chosen pairs on the other half.
 
-    ``df`` is a cohort of panel rows; ``keys`` (cohort, year) run several analyses in one plan. With
-    keys the pairs chosen for any key are estimated for all and then limited to their own key.
+    ``df`` is a cohort of panel rows; ``keys`` (cohort, year) run several analyses in one plan, each
+    with the pairs chosen for it. Runs the screen, which is written and read again.
     """
     s, keys = settings or default_settings(), keys or []
     flagged = panel.with_flags(df, catalogue, drop_i=True)
     halves = splits.group_split(flagged, s.group_col, 1 - discovery_share, s.seed, "is_estimation", keys)
-    screened = pairs.screen(halves.filter(~F.col("is_estimation")), keys, top_n=top_n)
-    chosen = effects.pair_list(screened)
-    if not chosen:
+    screened = session.checkpoint(pairs.screen(halves.filter(~F.col("is_estimation")), keys, top_n=top_n))
+    if screened.isEmpty():
         raise ValueError("No pairs passed the screen.")
-    results = effects.estimate_pairs(halves.filter("is_estimation"), catalogue, s, keys, chosen, joint_selection)
-    if keys:
-        results = results.join(screened.select(*keys, "trigger", "target"), [*keys, "trigger", "target"], "left_semi")
-    return Analysis(screened, results, chosen)
+    results = effects.estimate_pairs(halves.filter("is_estimation"), catalogue, s, keys, screened, joint_selection)
+    return Analysis(screened, results, keys)
 
 
 def run_cohorts(df: DataFrame, catalogue: list[str], cohorts: dict[str, rules.RuleSet] | None = None, **kw) -> Analysis:
@@ -55,12 +53,22 @@ def run_cohorts(df: DataFrame, catalogue: list[str], cohorts: dict[str, rules.Ru
 
 
 def write(analysis: Analysis, out: str, settings: effects.EffectSettings) -> dict[str, str]:
-    """Results with manifest, filtered export, shrinkage table and failure list."""
+    """Results with manifest, filtered export, shrinkage, failures, screen beside effect, and the
+    sensitivity of the strongest pair, each per key."""
     paths = writers.save_results(analysis.results, out, asdict(settings))
     results = analysis.results.sparkSession.read.option("header", "true").option("inferSchema", "true").csv(paths["results"])
-    paths |= post.export_results(results, f"{out}/export", p_threshold=0.05)
-    post.shrink(results).write.mode("overwrite").option("header", "true").csv(f"{out}/shrinkage")
-    results.filter(F.col("status") == "failed").select("trigger", "target", "skip_reason", "n_A1", "n_A0").write.mode("overwrite").option(
-        "header", "true"
-    ).csv(f"{out}/failed")
-    return paths | {"shrinkage": f"{out}/shrinkage", "failed": f"{out}/failed"}
+    keys = analysis.keys
+    paths |= post.export_results(results, f"{out}/export", keys=keys, p_threshold=0.05)
+    tables = {
+        "shrinkage": post.shrink(results, keys),
+        "failed": results.filter(F.col("status") == "failed").select(*keys, "trigger", "target", "skip_reason", "n_A1", "n_A0"),
+        "screen_vs_effect": post.ok_rows(results).join(
+            analysis.screen.select(*keys, "trigger", "target", "or_unadjusted", "q_value"), [*keys, "trigger", "target"]
+        ),
+        "sensitivity": post.robustness(post.strongest_pair(results, keys), F.col("n_used") - 2).drop("diagnostics"),
+    }
+    for name, table in tables.items():
+        paths[name] = f"{out}/{name}"
+        plain = [c for c, t in table.dtypes if not t.startswith(("map", "struct", "array"))]
+        table.select(*plain).write.mode("overwrite").option("header", "true").csv(paths[name])
+    return paths

@@ -282,11 +282,8 @@ def _discovery(spark, sf):
 def screened_effects(spark, sf):
     """Screen on discovery laboratories, estimate the selected pairs on the others."""
     df = _discovery(spark, sf)
-    chosen = pairs.screen(df.filter(~F.col("is_estimation")), top_n=100)
-    found = effects.pair_list(chosen)
-    if not found:  # nothing to estimate: the empty result keeps its schema
-        found = [("", "")]
-    return _rounded(effects.estimate_pairs(df.filter("is_estimation"), warehouse.CODES, SETTINGS, pairs=found))
+    chosen = session.checkpoint(pairs.screen(df.filter(~F.col("is_estimation")), top_n=100))
+    return _rounded(effects.estimate_pairs(df.filter("is_estimation"), warehouse.CODES, SETTINGS, pairs=chosen))
 
 
 SCREENED_SQL = (

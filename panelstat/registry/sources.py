@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from panelstat.sources import readers
+from panelstat import session
+from panelstat.sources import readers, writers
 
 
 def read_auto(spark, sf):
@@ -45,7 +48,71 @@ def all_strings(spark, sf):
     return readers.all_strings(readers.read_any(spark, f"{sf}/nation.parquet"))
 
 
+def _copies(spark, sf):
+    """Copies of two tables in several formats and column orders, with a broken file and a broken row, in the shared folder."""
+    out = f"{session.checkpoint_dir(spark).rstrip('/')}/mixed-{uuid.uuid4().hex}"
+    nation, region = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "region"))
+    low = F.col("n_nationkey") < 10
+    nation.where(low).coalesce(1).write.option("header", "true").csv(f"{out}/a")
+    other = nation.where(~low).select("n_regionkey", "n_name", "n_nationkey")
+    other.coalesce(1).write.option("header", "true").csv(f"{out}/b")
+    region.coalesce(1).write.json(f"{out}/c")
+    nation.coalesce(1).write.parquet(f"{out}/d")
+    writers._write_text(spark, f"{out}/e/broken.json", "{no json\n")
+    return out
+
+
+def mixed_formats(spark, sf):
+    """CSV files with unlike headers, JSON and Parquet as one table by column name."""
+    out = _copies(spark, sf)
+    df = readers.MixedLoader(spark).load([f"{out}/{x}" for x in "abcd"])
+    folder = F.element_at(F.split("__source__", "/"), -2)
+    return df.groupBy(folder.alias("folder")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("n_nationkey").cast("long")).alias("keys"),
+        F.sum(F.col("n_regionkey").cast("long")).alias("regions"),
+        F.max("n_name").alias("last_name"),
+        F.max("r_name").alias("last_region"),
+    )
+
+
+MIXED_FORMATS_SQL = """SELECT CASE WHEN n_nationkey < 10 THEN 'a' ELSE 'b' END AS folder, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys,
+  CAST(sum(n_regionkey) AS BIGINT) AS regions, max(n_name) AS last_name, CAST(NULL AS VARCHAR) AS last_region FROM nation GROUP BY 1
+UNION ALL SELECT 'c', count(*), NULL, NULL, NULL, max(r_name) FROM region
+UNION ALL SELECT 'd', count(*), CAST(sum(n_nationkey) AS BIGINT), CAST(sum(n_regionkey) AS BIGINT), max(n_name), NULL FROM nation"""
+
+
+def load_report(spark, sf):
+    """Rows and errors of every file of a lenient load."""
+    out = _copies(spark, sf)
+    found = readers.MixedLoader(spark).report([f"{out}/{x}" for x in "abcde"])
+    name = F.regexp_extract("path", "/([a-e])/[^/]*$", 1)
+    return found.select(name.alias("folder"), "n_rows", "n_malformed", "error")
+
+
+LOAD_REPORT_SQL = """SELECT CASE WHEN n_nationkey < 10 THEN 'a' ELSE 'b' END AS folder, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed, CAST(NULL AS VARCHAR) AS error FROM nation GROUP BY 1
+UNION ALL SELECT 'c', count(*), 0, NULL FROM region UNION ALL SELECT 'd', count(*), 0, NULL FROM nation
+UNION ALL SELECT 'e', 0, 1, '1 malformed rows'"""
+
+
+def saved_dataset(spark, sf):
+    """A dataset written in partitions and files of few rows, read again."""
+    out = f"{session.checkpoint_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = writers.save_dataset(orders, out, "orders", partition_on=["o_orderstatus"], rows_per_file=1_000)
+    back = readers.read_any(spark, path)
+    return back.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.max("o_totalprice"), 2).alias("largest")
+    )
+
+
 QUERIES = {
+    "mixed_formats_load": (mixed_formats, MIXED_FORMATS_SQL),
+    "load_report": (load_report, LOAD_REPORT_SQL),
+    "saved_dataset": (
+        saved_dataset,
+        "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(max(o_totalprice), 2) AS largest FROM orders GROUP BY 1",
+    ),
     "read_auto_detect": (read_auto, "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS max_key FROM orders GROUP BY 1"),
     "mixed_file_load": (mixed_load, MIXED_SQL),
     "needs_string_sniff": (needs_string, NEEDS_SQL),

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+SOURCE = "__source__"  # with the option "source": the file of each row
 EXTENSIONS = (".feather", ".ft", ".arrow")
 
 
@@ -52,8 +53,11 @@ class ArrowFilesReader(DataSourceReader):
             names = reader.schema.names
             for i in range(reader.num_record_batches):
                 batch = reader.get_batch(i)
+                here = pa.array([partition.path] * batch.num_rows, pa.string())
                 arrays = [
-                    pc.cast(batch.column(names.index(c)), pa.string()) if c in names else pa.nulls(batch.num_rows, pa.string())
+                    here if c == SOURCE
+                    else pc.cast(batch.column(names.index(c)), pa.string()) if c in names
+                    else pa.nulls(batch.num_rows, pa.string())
                     for c in self.columns
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=self.columns)
@@ -74,7 +78,8 @@ class ArrowFilesSource(DataSource):
                 names.update(dict.fromkeys(reader.schema.names))
         if not names:
             raise FileNotFoundError(f"no arrow files under {self.options['path']}")
-        return StructType([StructField(n, StringType(), True) for n in names])
+        listed = [SOURCE, *names] if self.options.get("source", "false").lower() == "true" else list(names)
+        return StructType([StructField(n, StringType(), True) for n in listed])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ArrowFilesReader(schema, self.options)

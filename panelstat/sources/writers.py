@@ -57,13 +57,15 @@ def save_dataset(
     Spark takes names that start with "_metadata" for Parquet footers, hence the file name.
 
     Every task writes its own files and the committer publishes them together. The row count in
-    the metadata is observed during the write, so the input is read once.
+    the metadata is observed during the write. An empty input raises before anything is overwritten.
     """
     if fmt not in DEFAULT_COMPRESSION:
         raise ValueError(f"format must be one of {sorted(DEFAULT_COMPRESSION)}")
     from pyspark.sql import Observation
 
     df = drop_unnamed(df)
+    if df.isEmpty():
+        raise ValueError("no rows to save; the stored dataset is left as it is")
     out = dataset_path(base, stage, name, fmt)
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -88,8 +90,6 @@ def save_dataset(
         "partition_on": partition_on or [],
         "rows_per_file": rows_per_file or 0,
     }
-    if meta["rows"] == 0:
-        raise ValueError("DataFrame is empty; nothing was saved.")
     _write_text(df.sparkSession, f"{out}/_dataset.json", json.dumps(meta, indent=2, ensure_ascii=False))
     return out
 

@@ -143,7 +143,6 @@ def test_column_detection():
     assert panel.paired_drugs(cols) == {"AMK": "AMK - Amikacin", "5FC": "5FC - Fluor"}
     assert list(panel.strict_drugs(cols)) == ["AMK"]
     assert panel.raw_drug_columns(cols) == ["CIP - Cipro"]
-    assert panel.pairing_diagnostics(cols)["n_tested_only"] == 1
 
 
 # ---- splits and effects --------------------------------------------------------------------------
@@ -399,12 +398,83 @@ def test_analysis_flow(spark, sf, scratch):
     df = warehouse.isolates(spark, sf)
     s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5)
     got = analysis.run(df, warehouse.CODES, s, top_n=3)
-    assert 0 < len(got.pairs) <= 3
-    assert {(r.trigger, r.target) for r in got.results.collect()} == set(got.pairs)
+    chosen = {(r.trigger, r.target) for r in got.screen.collect()}
+    assert 0 < len(chosen) <= 3
+    assert {(r.trigger, r.target) for r in got.results.collect()} == chosen
     flagged = panel.with_flags(df, drop_i=True)
     results = effects.estimate_pairs(flagged, warehouse.CODES, s, pairs=[("Brand#1", "Brand#2"), ("Brand#2", "Brand#1")])
-    out = analysis.write(analysis.Analysis(results, results, []), scratch, s)
+    screen = results.select("trigger", "target", F.lit(1.5).alias("or_unadjusted"), F.lit(0.01).alias("q_value"))
+    out = analysis.write(analysis.Analysis(screen, results, []), scratch, s)
     assert os.path.exists(out["manifest"]) and spark.read.option("header", "true").csv(out["results"]).count() == 2
+    assert spark.read.option("header", "true").csv(out["screen_vs_effect"]).count() == results.filter("status = 'ok'").count()
+
+
+def test_chosen_pairs_without_tests_are_failed_rows(spark, sf):
+    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5)
+    flagged = panel.with_flags(warehouse.isolates(spark, sf), drop_i=True)
+    asked = [("Brand#1", "Brand#2"), ("Brand#1", "Unknown"), ("Unknown", "Brand#2")]
+    rows = {(r.trigger, r.target): r for r in effects.estimate_pairs(flagged, warehouse.CODES, s, pairs=asked).collect()}
+    assert set(rows) == set(asked)
+    assert rows[("Brand#1", "Brand#2")].status == "ok"
+    for pair, word in ((("Brand#1", "Unknown"), "target"), (("Unknown", "Brand#2"), "trigger")):
+        assert rows[pair].status == "failed" and word in rows[pair].skip_reason and rows[pair].rd is None
+    keyed = effects.estimate_pairs(flagged.withColumn("half", F.col("isolate_id") % 2), warehouse.CODES, s, ["half"], asked)
+    assert keyed.count() == 6
+
+
+def test_many_pairs_equal_few(spark, sf):
+    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5)
+    flagged = panel.with_flags(warehouse.isolates(spark, sf), drop_i=True)
+    few = [("Brand#1", "Brand#2"), ("Brand#2", "Brand#1")]
+    many = few + [(f"x{i}", f"y{i}") for i in range(6_000)]
+    got = [effects.bounded_effects(flagged, warehouse.CODES, s, pairs=p) for p in (few, many)]
+    first, second = (sorted((r.trigger, r.target, round(r.rd, 9)) for r in g.collect()) for g in got)
+    assert first == second and len(first) == 2
+
+
+def test_results_per_cohort(spark):
+    rows = [("x", "a", "b", 0.2), ("x", "c", "b", 0.1), ("y", "a", "b", -0.3)]
+    df = spark.createDataFrame(rows, "cohort string, trigger string, target string, rd double")
+    maps = {(r.cohort, r.target): dict(r.effects) for r in post.effect_map(df, ["cohort"]).collect()}
+    assert maps == {("x", "b"): {"a": 0.2, "c": 0.1}, ("y", "b"): {"a": -0.3}}
+    deps = {(r.cohort, r.target): r.triggers for r in post.dependencies(df, keys=["cohort"]).collect()}
+    assert deps == {("x", "b"): ["a", "c"], ("y", "b"): ["a"]}
+    assert {r.cohort: r.n_pairs for r in post.summary_statistics(df, ["cohort"]).collect()} == {"x": 2, "y": 1}
+    tied = df.withColumn("rd", F.lit(0.5)).withColumn("status", F.lit("ok"))
+    assert post.strongest_pair(tied).first().trigger == "a"
+
+
+def test_empty_input_leaves_the_stored_dataset(spark, scratch):
+    df = spark.range(3)
+    path = writers.save_dataset(df, scratch, "kept")
+    with pytest.raises(ValueError):
+        writers.save_dataset(df.limit(0), scratch, "kept")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_csv_files_are_united_by_name(spark, scratch):
+    os.makedirs(f"{scratch}/mixed")
+    for name, text in {"a.csv": "id,drug,lab\n1,x,L1\n", "b.csv": "lab,id\nL9,7\n", "c.csv": "id,drug,lab\n2,y,L2\n"}.items():
+        with open(f"{scratch}/mixed/{name}", "w") as f:
+            f.write(text)
+    for loader in (readers.MixedLoader(spark), readers.MixedLoader(spark, schema="lab string, id int, drug string")):
+        got = {(r.id, r.drug, r.lab) for r in loader.load([f"{scratch}/mixed"], [".csv"]).collect()}
+        assert got == {(1, "x", "L1"), (2, "y", "L2"), (7, None, "L9")}
+
+
+def test_affected_rows_by_outcome(spark):
+    cov = spark.createDataFrame([("A", "Dropped"), ("B", "Kept")], "code string, status string")
+    tests = [(1, [("A", None)]), (2, [("A", "R"), ("B", "S")]), (3, [("B", "S")])]
+    df = spark.createDataFrame(tests, "id int, tests array<struct<code:string,outcome:string>>")
+    assert {r.id for r in coverage.affected_rows(df, cov).collect()} == {1, 2}
+    assert {r.id for r in coverage.affected_rows(df, cov, by_outcome=True).collect()} == {2}
+    assert {r.id: len(r.tests) for r in coverage.drop_low_coverage(df, cov).collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_lookup_of_any_size(spark):
+    df = spark.createDataFrame([("k7",), ("z",), (None,)], "k string")
+    big = {f"k{i}": f"v{i}" for i in range(2_000)}
+    assert [r[0] for r in df.select(recode.lookup(F.col("k"), big, "none")).collect()] == ["v7", "none", "none"]
 
 
 def test_row_local_operators_stream(spark, sf):
