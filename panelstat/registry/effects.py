@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from panelstat import session
 from panelstat.functions import stats
-from panelstat.operators import effects, pairs, panel, policy, rules, splits
+from panelstat.operators import effects, nuisance, pairs, panel, policy, rules, splits
 from panelstat.registry import base
 from panelstat.registry.pairs import FISHER_CTES, OR_COLS, PAIR_CTES, rounded
 from panelstat.registry.rules import COHORT_FAMILY_CTE, COHORTS
 from panelstat.sources import warehouse
 
 SETTINGS = effects.EffectSettings(
-    covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10
+    covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, nuisance="saturated"
 )
 
 
@@ -57,8 +57,8 @@ def model_ctes(frame: str = "iso", key: str | None = None, s: effects.EffectSett
     k = f"{key}, " if key else ""
     part = f"PARTITION BY {key} " if key else ""
     on = lambda a, b: f" AND {a}.{key} = {b}.{key}" if key else ""
-    cell = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'NA')" for c in s.covariates)
-    ctx = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'NA')" for c in s.context)
+    cell = " || '|' || ".join(f"coalesce(CAST(i.{c} AS VARCHAR), 'NA')" for c in s.covariates)
+    ctx = " || '|' || ".join(f"coalesce(CAST(i.{c} AS VARCHAR), 'NA')" for c in s.context)
     q = s.cap_percentile / 100
     lo, hi = s.min_prob, 1 - s.min_prob
     return f"""
@@ -225,10 +225,44 @@ DIAG_SQL = BASE + "," + model_ctes() + "\nSELECT trigger, " + ", ".join(
 
 
 KEYED_SETTINGS = effects.EffectSettings(
-    covariates=("ward", "care_type"), context=("pathogen_group",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20
+    covariates=("ward", "care_type"), context=("pathogen_group",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20, nuisance="saturated"
 )
 
 
+DEFAULT = effects.EffectSettings()
+
+
+def pair_effects_default(spark, sf):
+    """All four covariates, the (lab, group, year) context and cross-fitted main-effects models: the settings a user gets."""
+    return _rounded(effects.estimate_pairs(_flagged(spark, sf), warehouse.CODES, DEFAULT))
+
+
+def testing_model_margins(spark, sf):
+    """Fitted tests per drug, held-out fold and covariate level: a least-squares fit reproduces the observed ones."""
+    rows = effects.prepare(_flagged(spark, sf), DEFAULT).filter("is_test")
+    everyone = rows.groupBy("fold", "cell").agg(F.count(F.lit(1)).alias("n_all"))
+    codes = rows.select("fold", "cell", F.explode(F.transform("flags", lambda t: t["code"])).alias("trigger"))
+    tested = codes.groupBy("trigger", "fold", "cell").agg(F.count(F.lit(1)).alias("nt"))
+    beta = session.checkpoint(effects.testing_model(tested, everyone, []))
+    # isolates outside each fold: a row per cell and held-out fold
+    folds = F.array(*[F.lit(h) for h in range(DEFAULT.n_folds)])
+    outside = everyone.select(F.col("fold").alias("own"), "cell", "n_all", F.explode(folds).alias("fold")).filter("own <> fold")
+    outside = outside.groupBy("fold", "cell").agg(F.sum("n_all").alias("n"))
+    fitted = outside.join(beta, "fold").select(
+        "trigger", "fold", F.explode(nuisance.level_features(F.col("cell"))).alias("feature"),
+        (F.col("n") * nuisance.predict(F.col("cell"), F.col("beta"))).alias("np"),
+    )
+    sums = fitted.groupBy("trigger", "fold", "feature").agg(F.sum("np").alias("n_tested"))
+    return sums.select("trigger", F.col("fold").cast("int").alias("fold"), "feature", F.round("n_tested", 3).alias("n_tested")).filter("n_tested > 0.5")
+
+
+MARGINS_SQL = BASE + "," + model_ctes("iso", None, DEFAULT) + """
+SELECT code AS trigger, CAST(h AS INTEGER) AS fold, feature, CAST(count(*) AS DOUBLE) AS n_tested
+FROM (SELECT code, fold, unnest(['(Intercept)', '0=' || split_part(cell, '|', 1), '1=' || split_part(cell, '|', 2),
+        '2=' || split_part(cell, '|', 3), '3=' || split_part(cell, '|', 4)]) AS feature FROM df) x, range(5) r(h)
+WHERE fold <> h GROUP BY ALL"""
+
+
 def yearly_effects(spark, sf):
     """Re-estimation per year: the year is one more key of the same plan."""
     return _rounded(effects.estimate_pairs(_flagged(spark, sf), warehouse.CODES, KEYED_SETTINGS, keys=["year"]))
@@ -237,7 +271,7 @@ def yearly_effects(spark, sf):
 YEARLY_SQL = BASE + "," + model_ctes("iso", "year", KEYED_SETTINGS) + estimate_ctes("year", KEYED_SETTINGS) + final_select("year")
 
 COHORT_SETTINGS = effects.EffectSettings(
-    covariates=("care_type",), context=("ward",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20
+    covariates=("care_type",), context=("ward",), min_context_n=100, min_cell_n=10, min_tested=60, min_group=20, nuisance="saturated"
 )
 
 
@@ -306,13 +340,13 @@ chosen AS (SELECT trigger, target FROM bh ORDER BY sig DESC, abs(ln(ratio)) DESC
 
 def failure_summary(spark, sf):
     """Failed pairs with their group sizes, under gates that fail many of them."""
-    s = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210)
+    s = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210, nuisance="saturated")
     out = effects.estimate_pairs(_flagged(spark, sf), warehouse.CODES, s).filter(F.col("status") == "failed")
     sized = F.col("skip_reason").startswith("Group sizes")
     return out.select("trigger", "target", "skip_reason", F.when(sized, F.col("n_A1")).alias("n1_failed"), F.when(sized, F.col("n_A0")).alias("n0_failed"))
 
 
-FAIL_SETTINGS = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210)
+FAIL_SETTINGS = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210, nuisance="saturated")
 FAIL_SQL = BASE + "," + model_ctes(s=FAIL_SETTINGS) + estimate_ctes(s=FAIL_SETTINGS) + """
 SELECT trigger, target, skip_reason, CASE WHEN skip_reason LIKE 'Group sizes%' THEN n_A1 END AS n1_failed, CASE WHEN skip_reason LIKE 'Group sizes%' THEN n_A0 END AS n0_failed FROM final WHERE status = 'failed'"""
 
@@ -329,6 +363,8 @@ QUERIES = {
     "testing_weights": (testing_weights, WEIGHTS_SQL),
     "weight_diagnostics": (weight_diagnostics, DIAG_SQL),
     "pair_effects": (pair_effects, PAIR_SQL),
+    "pair_effects_default": (pair_effects_default, None),
+    "testing_model_margins": (testing_model_margins, MARGINS_SQL),
     "yearly_effects": (yearly_effects, YEARLY_SQL),
     "cohort_effects": (cohort_effects, COHORT_SQL),
     "bounded_effects": (bounded_effects, BOUNDED_SQL),

@@ -190,7 +190,7 @@ def test_cells_equal_rows(spark):
 
 
 def test_pair_subset_equals_full(flagged):
-    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5)
+    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5, nuisance="saturated")
     some = [("Brand#1", "Brand#2"), ("Brand#3", "Brand#9")]
     full = effects.estimate_pairs(flagged, warehouse.CODES, s)
     part = effects.estimate_pairs(flagged, warehouse.CODES, s, pairs=some)
@@ -204,7 +204,7 @@ def test_pair_subset_equals_full(flagged):
 
 def test_no_self_fold_leakage(flagged):
     """Changing one fold's outcomes must not move that fold's own out-of-fold means."""
-    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=1)
+    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=1, nuisance="saturated")
     grid = effects.count_grid(effects.prepare(flagged, s), [])
     part = effects.grid_parts(grid, [])
     flipped = part["co"].withColumn("a", F.when(F.col("fold") == 2, 1 - F.col("a")).otherwise(F.col("a")).cast("tinyint"))
@@ -518,3 +518,43 @@ def test_robustness_limits(spark):
     r = post.robustness(df, F.lit(1000)).first()
     assert r.rv_q == pytest.approx(2 / np.sqrt(4 + 1000)) and 0 < r.rv_alpha < r.rv_q
     assert stats.normal_quantile(0.975) == pytest.approx(1.959963984540054)
+
+
+def test_main_effects_models_match_least_squares(spark):
+    rng = np.random.default_rng(6)
+    cells = [f"{a}|{b}" for a in "xyz" for b in "uv"]
+    rows = [(f, c, int(rng.integers(5, 30))) for f in range(3) for c in cells]
+    tested = [(d, f, c, int(rng.integers(0, n + 1))) for d in ("A", "B") for f, c, n in rows]
+    from panelstat.operators import nuisance
+
+    got = nuisance.coefficients(
+        spark.createDataFrame(rows, "fold int, cell string, wn int"),
+        spark.createDataFrame(tested, "drug string, fold int, cell string, wy int"), [], ["drug"],
+    )
+    names = [nuisance.INTERCEPT] + [f"0={a}" for a in "xyz"] + [f"1={b}" for b in "uv"]
+    design = lambda c: [1.0] + [float(c[0] == a) for a in "xyz"] + [float(c[2] == b) for b in "uv"]
+    for r in got.collect():
+        use = [(f, c, n) for f, c, n in rows if f != r.fold]
+        y = {(f, c): t for d, f, c, t in tested if d == r.drug}
+        x, w = np.array([design(c) for _, c, _ in use]), np.array([n for *_, n in use], float)
+        mean = np.array([y[(f, c)] for f, c, _ in use]) / w
+        expected = x @ np.linalg.lstsq(x * np.sqrt(w)[:, None], mean * np.sqrt(w), rcond=None)[0]
+        assert x @ np.array([r.beta[f] for f in names]) == pytest.approx(expected, abs=1e-8)
+
+
+def test_default_model_adjusts_for_a_confounder(spark):
+    """Age raises both resistance and testing; resistance itself changes nothing."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(12_000):
+        old = bool(rng.random() < 0.5)
+        r = int(rng.random() < (0.8 if old else 0.2))
+        flags = [("A", r)] + ([("B", 0)] if rng.random() < (0.7 if old else 0.2) else [])
+        rows.append((i, f"lab{i % 40}", f"w{i % 7}", "old" if old else "young", 2000 + i % 5, "g", flags))
+    df = spark.createDataFrame(
+        rows, "isolate_id long, lab string, ward string, age_group string, year int, pathogen_group string, flags array<struct<code:string,r:tinyint>>"
+    )
+    one = lambda s: effects.estimate_pairs(df, ["A", "B"], s, pairs=[("A", "B")]).first()
+    context = ("pathogen_group",)
+    adjusted, thin = one(effects.EffectSettings(context=context)), one(effects.EffectSettings(context=context, nuisance="saturated"))
+    assert abs(adjusted.rd) < 4 * adjusted.se < abs(thin.rd)
