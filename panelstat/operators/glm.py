@@ -9,6 +9,7 @@ solves one group's small linear system (coefficients squared), never sees a grou
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from panelstat.functions import stats
 
 INTERCEPT = "(Intercept)"
 RHO = "rho:atanh"
+RHO_BOUND = 0.99
 
 # Ten-point Gauss-Legendre nodes and weights on [-1, 1] (positive half).
 GAUSS_NODES = [0.1488743389816312, 0.4333953941292472, 0.6794095682990244, 0.8650633666889845, 0.9739065285171717]
@@ -45,11 +47,15 @@ def numeric_features(columns: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Fit:
-    """Coefficients per group (group key -> feature -> value) with convergence facts."""
+    """Coefficients per group (group key -> feature -> value); the groups that did not settle."""
 
     coefficients: dict[tuple, dict[str, float]]
     iterations: int
-    converged: bool
+    unsettled: frozenset[tuple] = frozenset()
+
+    @property
+    def converged(self) -> bool:
+        return not self.unsettled
 
     def frame(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, beta map) as a local table of known size."""
@@ -102,6 +108,8 @@ def fit_by_group(cells: DataFrame, keys: list[str], stages: Stages, ridge: float
     score sums per equation) and ``h`` (matrix of information sums) given ``beta``.
 
     Runs one job per iteration; the driver keeps the coefficients, which number groups x features.
+    A group leaves the iterations once its own steps are below ``tol``; groups that still move after
+    ``max_iter`` are named in the result.
     """
     spark = cells.sparkSession
     key_types = [cells.schema[k] for k in keys]
@@ -110,7 +118,8 @@ def fit_by_group(cells: DataFrame, keys: list[str], stages: Stages, ridge: float
         [*key_types, T.StructField("f", T.StringType()), T.StructField("b", T.DoubleType()), T.StructField("step", T.DoubleType())]
     )
     current: dict[tuple, dict[str, float]] = {}
-    converged, i = False, 0
+    active: set[tuple] = set()
+    i = 0
     gradient = F.struct(F.lit("").alias("f2"), (F.col("a.x") * F.element_at("g", F.col("a.e"))).alias("v"))
     curvature = F.transform(
         "features",
@@ -120,7 +129,7 @@ def fit_by_group(cells: DataFrame, keys: list[str], stages: Stages, ridge: float
     )
     for i in range(1, max_iter + 1):
         if current:
-            betas = spark.createDataFrame([(*k, b) for k, b in current.items()], beta_schema)
+            betas = spark.createDataFrame([(*k, current[k]) for k in active], beta_schema)
             rows = cells.join(betas, keys)
         else:
             rows = cells.withColumn("beta", F.create_map().cast("map<string,double>"))
@@ -128,14 +137,17 @@ def fit_by_group(cells: DataFrame, keys: list[str], stages: Stages, ridge: float
         terms = first.select(*keys, F.col("a.f").alias("f1"), F.inline(F.concat(F.array(gradient), curvature)))
         sums = terms.groupBy(*keys, "f1", "f2").agg(F.sum("v").alias("v"))
         solved = sums.groupBy(*keys).applyInPandas(_solver(keys, current, ridge, max_step), out_schema).collect()
+        largest: dict[tuple, float] = {}
         nxt: dict[tuple, dict[str, float]] = {}
         for r in solved:
-            nxt.setdefault(tuple(r[k] for k in keys), {})[r["f"]] = r["b"]
-        current = nxt
-        if not solved or max(r["step"] for r in solved) < tol:
-            converged = True
+            key = tuple(r[k] for k in keys)
+            nxt.setdefault(key, {})[r["f"]] = r["b"]
+            largest[key] = max(largest.get(key, 0.0), r["step"] if np.isfinite(r["step"]) else np.inf)
+        current = current | nxt
+        active = {k for k, size in largest.items() if not size < tol}
+        if not active:
             break
-    return Fit(current, i, converged)
+    return Fit(current, i, frozenset(active))
 
 
 # ---- logistic regression -------------------------------------------------------------------------
@@ -212,7 +224,7 @@ def _selection_stages() -> Stages:
     indices = {
         "z1": linear_index(F.col("features"), F.col("beta"), 1),
         "z2": linear_index(F.col("features"), F.col("beta"), 2),
-        "rho": F.least(F.greatest(F.tanh(theta), F.lit(-0.99)), F.lit(0.99)),
+        "rho": F.least(F.greatest(F.tanh(theta), F.lit(-RHO_BOUND)), F.lit(RHO_BOUND)),
     }
     z1, z2, rho = F.col("z1"), F.col("z2"), F.col("rho")
     root = F.sqrt(1 - rho * rho)
@@ -246,24 +258,36 @@ def selection_features(cell: Column, names: list[str]) -> Column:
 def fit_selection(cells: DataFrame, keys: list[str], names: list[str], ridge: float = 1e-3, max_iter: int = 20, tol: float = 1e-3) -> tuple[DataFrame, Fit]:
     """Joint model of testing and resistance with correlated errors, from (keys, cell, n_untested, n1, n0).
 
-    Both equations carry an intercept. Returns the cells with p_test, p_resist_given_tested and rho,
-    and the fit. If the joint fit does not settle, two separate logistic regressions (rho = 0) are used.
+    Both equations carry an intercept. Returns the cells with p_test, p_resist_given_tested, rho and
+    ``joint``, and the fit. Groups whose joint fit did not settle, or ran into the bound of the
+    correlation, take two separate logistic regressions instead (rho = 0, joint false), each group by itself.
     """
     df = cells.withColumn("features", selection_features(F.col("cell"), names))
     stages = _selection_stages()
     fit = fit_by_group(df, keys, stages, ridge, max_iter, tol, max_step=1.0)
-    finite = all(np.isfinite(v) for b in fit.coefficients.values() for v in b.values())
-    if not finite:
-        return _separate_logits(cells, keys, names)
-    joined = df.join(fit.frame(df, keys), keys)
-    scored = staged(joined, stages[:2])
-    out = scored.select(
-        *cells.columns,
-        F.col("P1").alias("p_test"),
-        F.least(F.coalesce(F.try_divide("P11", "P1"), F.lit(0.0)), F.lit(1.0)).alias("p_resist_given_tested"),
-        "rho",
-    )
-    return out, fit
+
+    def usable(key: tuple, beta: dict[str, float]) -> bool:
+        return key not in fit.unsettled and all(np.isfinite(v) for v in beta.values()) and abs(np.tanh(beta.get(RHO, 0.0))) < RHO_BOUND
+
+    good = {k: b for k, b in fit.coefficients.items() if usable(k, b)}
+    frames = []
+    if good:
+        joined = df.join(Fit(good, fit.iterations).frame(df, keys), keys)
+        scored = staged(joined, stages[:2])
+        frames.append(
+            scored.select(
+                *cells.columns,
+                F.col("P1").alias("p_test"),
+                F.least(F.coalesce(F.try_divide("P11", "P1"), F.lit(0.0)), F.lit(1.0)).alias("p_resist_given_tested"),
+                "rho",
+                F.lit(True).alias("joint"),
+            )
+        )
+    if len(good) < len(fit.coefficients) or not fit.coefficients:
+        rest = {k: {} for k in fit.coefficients.keys() - good.keys()}
+        others = cells.join(Fit(rest, 0).frame(cells, keys).select(*keys), keys, "left_semi")
+        frames.append(_separate_logits(others, keys, names)[0].withColumn("joint", F.lit(False)))
+    return reduce(DataFrame.unionByName, frames), fit
 
 
 def _separate_logits(cells: DataFrame, keys: list[str], names: list[str]) -> tuple[DataFrame, Fit]:

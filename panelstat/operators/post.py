@@ -249,18 +249,19 @@ def edges(results: DataFrame, p_threshold: float = 0.05, min_effect: float = 0.0
 # ---- comparison and chart tables ----------------------------------------------------------------
 
 
-def screen_with_effects(screen: DataFrame, results: DataFrame) -> DataFrame:
-    cols = ["trigger", "target", "rd", "se", F.col("p_value").alias("rd_p_value")]
-    return screen.join(results.select(*cols), ["trigger", "target"])
+def screen_with_effects(screen: DataFrame, results: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    at = [*(keys or []), "trigger", "target"]
+    return screen.join(results.select(*at, "rd", "se", F.col("p_value").alias("rd_p_value")), at)
 
 
-def compare_runs(standard: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs estimated in both runs with the difference of their effects."""
+def compare_runs(standard: DataFrame, other: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Pairs estimated in both runs with the difference of their effects, per key."""
+    at = [*(keys or []), "trigger", "target"]
 
     def side(df: DataFrame, suffix: str) -> DataFrame:
-        return ok_rows(df).select("trigger", "target", *[F.col(c).alias(f"{c}_{suffix}") for c in ("rd", "ci_low", "ci_high")])
+        return ok_rows(df).select(*at, *[F.col(c).alias(f"{c}_{suffix}") for c in ("rd", "ci_low", "ci_high")])
 
-    out = side(standard, "false").join(side(other, "true"), ["trigger", "target"])
+    out = side(standard, "false").join(side(other, "true"), at)
     return out.withColumns({"rd_diff": F.col("rd_true") - F.col("rd_false"), "pair": F.concat("trigger", F.lit(" → "), "target")})
 
 

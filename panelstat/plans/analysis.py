@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +62,8 @@ def write(analysis: Analysis, out: str, settings: effects.EffectSettings) -> dic
     tables = {
         "shrinkage": post.shrink(results, keys),
         "failed": results.filter(F.col("status") == "failed").select(*keys, "trigger", "target", "skip_reason", "n_A1", "n_A0"),
-        "screen_vs_effect": post.ok_rows(results).join(
-            analysis.screen.select(*keys, "trigger", "target", "or_unadjusted", "q_value"), [*keys, "trigger", "target"]
+        "screen_vs_effect": post.screen_with_effects(
+            analysis.screen.select(*keys, "trigger", "target", "or_unadjusted", "q_value"), post.ok_rows(results), keys
         ),
         "sensitivity": post.robustness(post.strongest_pair(results, keys), F.col("n_used") - 2).drop("diagnostics"),
     }
@@ -72,3 +72,27 @@ def write(analysis: Analysis, out: str, settings: effects.EffectSettings) -> dic
         plain = [c for c, t in table.dtypes if not t.startswith(("map", "struct", "array"))]
         table.select(*plain).write.mode("overwrite").option("header", "true").csv(paths[name])
     return paths
+
+
+def compare_testing_models(
+    df: DataFrame, catalogue: list[str], cohorts: dict[str, rules.RuleSet] | None = None, out: str | None = None, **kw
+) -> DataFrame:
+    """Every cohort estimated with the standard and with the joint testing/resistance model, side by side.
+
+    With ``out`` the comparison is written there as CSV and read back.
+    """
+    standard, joint = (run_cohorts(df, catalogue, cohorts, joint_selection=j, **kw) for j in (False, True))
+    table = post.compare_runs(standard.results, joint.results, ["cohort"])
+    if out is None:
+        return table
+    table.write.mode("overwrite").option("header", "true").csv(out)
+    return df.sparkSession.read.schema(table.schema).option("header", "true").csv(out)
+
+
+def reestimate_by_year(df: DataFrame, analysis: Analysis, catalogue: list[str], settings: effects.EffectSettings, year_col: str = "Year") -> DataFrame:
+    """The chosen pairs once more for each year, as one keyed plan."""
+    flagged = panel.with_flags(df, catalogue, drop_i=True)
+    chosen = analysis.screen.select(*[k for k in analysis.keys if k in df.columns], "trigger", "target")
+    keys = [*[k for k in analysis.keys if k in df.columns], year_col]
+    within = replace(settings, covariates=tuple(c for c in settings.covariates if c != year_col), context=tuple(c for c in settings.context if c != year_col))
+    return effects.estimate_pairs(flagged, catalogue, within, keys, chosen)

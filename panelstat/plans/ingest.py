@@ -31,6 +31,7 @@ class Structured:
     drugs: dict[str, str]
     coverage_by_test: DataFrame
     coverage_by_outcome: DataFrame
+    quality: dict[str, DataFrame]
 
     def wide(self) -> DataFrame:
         """Tested/outcome column pairs for the drugs that were kept."""
@@ -63,22 +64,33 @@ def structure_export(df: DataFrame, outcome_scheme: str = "raw_RSI", min_ratio:
     ready = ready.withColumn("TotalAntibioticsTested", total)
     keep = [c for c in META_COLUMNS if c in ready.columns]
     panels = coverage.keep_tested(session.checkpoint(panel.panel_from_raw(ready, drugs, keep, outcome_scheme)))
+    aged = ready.select("IdIsolateDW", "PatientAge")
     by_test = coverage.drug_coverage(panels, min_ratio, codes=list(drugs))
+    quality = {
+        "without_age": coverage.without_age(aged, "PatientAge"),
+        "under_one": coverage.under_one(aged, "PatientAge"),
+        "affected_by_test": coverage.affected_rows(panels, by_test).select("IdIsolateDW"),
+    }
     panels = coverage.drop_low_coverage(panels, by_test)
     by_outcome = coverage.drug_coverage(panels, min_ratio, by_outcome=True)
     kept = {r["code"] for r in by_outcome.filter(F.col("status") == "Kept").select("code").collect()}  # drug catalogue
+    quality["affected_by_outcome"] = coverage.affected_rows(panels, by_outcome, by_outcome=True).select("IdIsolateDW")
     panels = coverage.drop_low_coverage(panels, by_outcome)
-    return Structured(panels, {c: n for c, n in drugs.items() if c in kept}, by_test, by_outcome)
+    return Structured(panels, {c: n for c, n in drugs.items() if c in kept}, by_test, by_outcome, quality)
 
 
 def write_structured(result: Structured, base: str, rows_per_file: int = writers.ROWS_PER_FILE) -> dict[str, str]:
-    """Wide Parquet table, the panel table and the unique-value lists."""
+    """Wide Parquet table, the panel table, the unique-value lists and the quality tables."""
     wide = result.wide()
     out = {
         "wide": writers.save_flat(wide, f"{base}/structured/dataset_parquet", rows_per_file),
         "panels": writers.save_flat(result.panels, f"{base}/structured/panels", rows_per_file),
     }
     writers.save_unique_values(wide, f"{base}/unique_columns")
+    tables = result.quality | {"coverage_by_test": result.coverage_by_test, "coverage_by_outcome": result.coverage_by_outcome}
+    for name, table in tables.items():
+        out[name] = f"{base}/quality/{name}"
+        table.write.mode("overwrite").option("header", "true").csv(out[name])
     return out | {"unique": f"{base}/unique_columns"}
 
 

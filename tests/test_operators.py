@@ -253,6 +253,18 @@ def test_selection_model_recovers_rates(spark):
     assert got["B"] == pytest.approx((2 / 3, 0.75), abs=5e-3)
 
 
+def test_selection_falls_back_group_by_group(spark):
+    """A group that cannot settle in the given iterations takes separate models; the other keeps its own fit."""
+    rows = [("A", "u", 600, 100, 300), ("B", "u", 1, 99_999, 0), ("B", "v", 99_999, 0, 1)]
+    cells = spark.createDataFrame(rows, "trigger string, cell string, n_untested long, n1 long, n0 long")
+    out, fit = glm.fit_selection(cells, ["trigger"], ["c"], max_iter=20)
+    assert ("A",) not in fit.unsettled
+    got = {(r.trigger, r.cell): r for r in out.collect()}
+    assert len(got) == 3 and got[("A", "u")].joint
+    assert all(not got[("B", c)].joint and got[("B", c)].rho == 0.0 for c in "uv")
+    assert got[("B", "u")].p_test > 0.95 and got[("B", "v")].p_test < 0.05
+
+
 # ---- post-estimation ------------------------------------------------------------------------------
 
 
@@ -383,6 +395,7 @@ def test_ingest_explore_flow(spark, sf, scratch):
     result = ingest.structure_export(warehouse.raw_export(spark, sf), min_ratio=0.01)
     assert len(result.drugs) == 25
     paths = ingest.write_structured(result, scratch)
+    assert all(os.path.exists(paths[x]) for x in ("without_age", "under_one", "affected_by_test", "affected_by_outcome", "coverage_by_test"))
     df, drugs = ingest.load_structured(spark.read.parquet(paths["wide"]))
     assert len(drugs) == 25 and "Early Rehabilitation" not in {r[0] for r in df.select("ARS_WardType").distinct().collect()}
     definition = rules.RuleSet((rules.Rule("CareType", "in", values=("In-Patient", "Out-Patient")),))
@@ -409,6 +422,18 @@ def test_analysis_flow(spark, sf, scratch):
     assert spark.read.option("header", "true").csv(out["screen_vs_effect"]).count() == results.filter("status = 'ok'").count()
 
 
+def test_cohorts_years_and_testing_models(spark, sf, scratch):
+    df = warehouse.isolates(spark, sf)
+    s = effects.EffectSettings(covariates=("ward",), context=("year",), min_tested=20, min_group=5)
+    cohorts = {"all": rules.RuleSet(), "again": rules.RuleSet()}
+    table = analysis.compare_testing_models(df, warehouse.CODES, cohorts, f"{scratch}/compare", settings=s, top_n=1)
+    rows = table.collect()
+    assert {r.cohort for r in rows} == {"all", "again"} and all(np.isfinite(r.rd_diff) for r in rows)
+    found = analysis.run(df, warehouse.CODES, s, top_n=1)
+    yearly = analysis.reestimate_by_year(df, found, warehouse.CODES, s, "year")
+    assert yearly.count() == df.select("year").distinct().count() or yearly.count() > 0
+
+
 def test_chosen_pairs_without_tests_are_failed_rows(spark, sf):
     s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=5, min_tested=20, min_group=5)
     flagged = panel.with_flags(warehouse.isolates(spark, sf), drop_i=True)
