@@ -146,7 +146,7 @@ class Codec:
         cut = [split.findall(t) if is_usual(t) else self.pattern.findall(t) for t in texts]
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        new = {w for words in cut for w in words} - self.known.keys()
+        new = set().union(*cut).difference(self.known)  # looks the few new words up in the many known ones
         if new:
             self._learn(list(new))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in cut]

@@ -119,7 +119,8 @@ class JsonEncoder:
         known = self.known
         if len(known) > MAX_REMEMBERED:
             known.clear()
-        new = list({w for _, pieces in pending for w in pieces} - known.keys())
+        # difference() looks the few new pieces up in the many known ones, never the other way round
+        new = list(set().union(*(pieces for _, pieces in pending)).difference(known))
         known.update(zip(new, self._library(new)))
         for k, pieces in pending:
             out[k] = b"".join(map(known.__getitem__, pieces))
