@@ -7,7 +7,7 @@ plus the weight of each word, the sum of the weights of its hashed features: the
 first three to six characters and its last four. A scorer therefore needs one number per distinct word.
 
 Training reads at most `max_docs` labelled documents, those of smallest hashed doc_id outside the
-held-out quarter (crc32 of the id's digits mod 4 is 2); that many rows of word features fit the driver
+held-out quarter (crc32 of the id's digits mod 4 is 2); that many rows of word features fit one task
 at any corpus size. Scoring reads every row and whole text.
 
 Edge cases: null and empty texts, and texts without words, have no sentence and score 0; a null label
@@ -82,8 +82,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 20, batch:
     for _, flat, _ in bags:
         spread[np.unique(flat)] += 1
     used = np.flatnonzero(spread >= LEAST_DOCS)
-    short = np.full(1 << HASH_BITS, len(used))  # the last number stands for all features left out
-    short[used] = np.arange(len(used))
+    short = np.full(1 << HASH_BITS, len(used), np.int32)  # the last number stands for all features left out
+    short[used] = np.arange(len(used), dtype=np.int32)
     bags = [(label, short[flat], sizes) for label, flat, sizes in bags]
     w, square = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-2)
     bias, square_bias, penalty = -5.0, 1e-2, lasso / np.sqrt(max(1, len(bags)))
@@ -113,6 +113,23 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 20, batch:
     return weights, bias
 
 
+def _fit_in_task(batches):
+    """All bags of the bounded sample to one row: numbers and values of the weights that aren't 0, and the bias."""
+    bags = []
+    for batch in batches:
+        for y, flat, sizes in zip(batch.column("toxic").to_pylist(), batch.column("flat"), batch.column("sizes")):
+            bags.append((y, flat.values.to_numpy(), sizes.values.to_numpy()))
+    if len({y for y, _, _ in bags}) < 2:
+        return
+    # the order of rows decides the batches; sorting makes a fit repeat
+    bags.sort(key=lambda b: (b[0], len(b[1]), int(b[1][:64].sum())))
+    weights, bias = fit(bags)
+    used = np.flatnonzero(weights)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([used], pa.list_(pa.int32())), pa.array([weights[used]], pa.list_(pa.float64())), pa.array([bias])], ["used", "weights", "bias"]
+    )
+
+
 class _WordWeights(dict):
     """The sum of the weights of a word's features, computed once per word."""
 
@@ -189,7 +206,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000) -> tuple[np.ndarray, float, bool]:
-    """(weights, bias, whether both kinds of label were there). Collects features of at most `max_docs` documents."""
+    """(weights, bias, whether both kinds of label were there), fitted in one task on at most `max_docs` documents."""
     order = F.xxhash64("doc_id")
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
@@ -206,16 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000) -> tuple[n
         .agg(F.min("text").alias("text"))
         .select("toxic", "text")
     )
-    found = texts.mapInArrow(_featurise, "toxic int, flat array<int>, sizes array<int>").toArrow()
-    bags = [
-        (y, f.values.to_numpy(), s.values.to_numpy())
-        for y, f, s in zip(found["toxic"].to_pylist(), found["flat"], found["sizes"])
-    ]
-    if len({y for y, _, _ in bags}) < 2:
-        return np.zeros(1 << HASH_BITS), 0.0, False
-    # the order of rows decides the batches; sorting makes a fit repeat
-    bags.sort(key=lambda b: (b[0], len(b[1]), int(b[1][:64].sum())))
-    return (*fit(bags), True)
+    bags = texts.mapInArrow(_featurise, "toxic int, flat array<int>, sizes array<int>")
+    # at most max_docs rows, so one task can hold them; the driver gets the fitted weights alone
+    fitted = bags.repartition(1).mapInArrow(_fit_in_task, "used array<int>, weights array<double>, bias double").collect()
+    weights = np.zeros(1 << HASH_BITS)
+    if not fitted:
+        return weights, 0.0, False
+    weights[fitted[0].used] = fitted[0].weights
+    return weights, fitted[0].bias, True
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs: int = 10_000) -> DataFrame:
