@@ -45,7 +45,7 @@ from panelstat.session import checkpoint
 
 BINS_LOG = 7
 BINS = 1 << BINS_LOG
-MAX_WORDS = 500_000
+MAX_WORDS = 100_000
 MAX_BROADCAST_ROWS = 300_000
 CHUNK = 128
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -130,8 +130,8 @@ def _sign(rows: int, width: int):
     def run(batches):
         for batch in batches:
             counts, keys = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, width)
+            for text in batch.column("text"):  # one text at a time: a batch of long ones is large
+                s = shingles(text.as_py(), width)
                 counts.append(len(s))
                 keys.append(bucket_keys(s, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
@@ -149,9 +149,9 @@ def _compare(percent: int, width: int):
         at, held = None, None
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("head", "chunk", "member", "text")]
-            for head, chunk, member, text in zip(*columns):
-                own = shingles(text, width)
+            columns = [batch.column(c).to_pylist() for c in ("head", "chunk", "member")]
+            for head, chunk, member, text in zip(*columns, batch.column("text")):
+                own = shingles(text.as_py(), width)
                 if member is None:
                     at, held = (head, chunk), own
                 elif at == (head, chunk) and 100 * min(len(own), len(held)) >= percent * max(len(own), len(held)):

@@ -27,17 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstat.llm.words import chunks
-
 HASH_BITS = 18
 LEAST_DOCS = 3
 SENTENCE = re.compile(r"\w++|[.!?\n]")
 ENDS = frozenset(".!?\n")
-MAX_WORDS = 400_000
+MAX_WORDS = 100_000
 SCORE_SCHEMA = "doc_id long, score double, sentences array<struct<start:int,stop:int,score:double>>"
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=30_000)
 def features(word: str) -> tuple[int, ...]:
     """Hashed features of a lower-cased word."""
     parts = {"=" + word, "$" + word[-4:]} | {"^" + word[:n] for n in range(3, 7) if len(word) >= n}
@@ -176,7 +174,7 @@ def _score(weights: np.ndarray, bias: float, trained: bool, threshold: float):
         of = _WordWeights(weights)
         for batch in batches:
             scores, offending = [], []
-            for text in (t for part in chunks(t or "" for t in batch.column("text").to_pylist()) for t in part):
+            for text in (t.as_py() or "" for t in batch.column("text")):
                 z = np.array(_probabilities(of, bias, text)) if trained else np.empty(0)
                 score = float(-np.expm1(-np.logaddexp(0, z).sum()))
                 scores.append(min(1.0, max(0.0, score)))
