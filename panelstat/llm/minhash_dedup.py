@@ -8,18 +8,21 @@ when intersection over union of their sets is at least `percent` / 100.
    is cut into bins, each keeps its smallest hash, and an empty bin borrows from the bins that a
    universal hash of (bin, attempt) names, the first that is not empty (optimal densification).
 2. Texts equal up to the case of A-Z are one node. Bands of `rows` bins are bucket keys. In each
-   bucket only the pairs (member, head) are candidates, the head being the member of smallest node
-   id: a bucket of n members gives n - 1 candidates.
+   bucket the pairs (member, head) are candidates, the head being the member that has most company
+   over all its buckets, which the original of many copies has.
 3. Candidates are confirmed on full shingle sets of the whole texts. Large stars are cut into chunks
    that each get a copy of the head's text; a task streams its rows and holds one head.
-4. Members that their bucket's head did not take in get two more candidates in that bucket: another
-   member of the head's component, chosen by a hash of member and bucket, and the smallest of the
-   members left out. `rounds` bounds how often this is repeated.
-5. Links become components, components take their smallest doc_id.
-
+4. A head has been compared with all its bucket and leaves it. A bucket whose other members lie in
+   several components gets a new head among them, again and again while the rows of large buckets at
+   least halve from round to round.
+5. What is left is compared in full: each pair of different components within a bucket, in small
+   buckets as pairs, in large ones between blocks of members, a pair only in its first common bucket.
+6. Links become components, components take their smallest doc_id.
+
+So every pair that shares a bucket is compared or its members are in one component already. Step 5
+follows the number of pairs in buckets whose members resemble but do not link; no bound cuts it.
 With 32 bands of 4 bins a pair at similarity 0.75 shares no bucket with probability 5e-6 and less
-above. A pair that shares buckets but is compared in none (both left out by all heads) can still be
-missed; tests compare with brute force.
+above; tests compare with brute force.
 
 Node ids are 64-bit hashes of texts, shingles 64-bit hashes of words.
 
@@ -48,6 +51,9 @@ BINS = 1 << BINS_LOG
 MAX_WORDS = 100_000
 MAX_BROADCAST_ROWS = 300_000
 CHUNK = 128
+SMALL = 16
+BLOCK = 128
+BLOCK_SHINGLES = 200_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -191,36 +197,169 @@ def confirm(candidates: DataFrame, texts: DataFrame, percent: int, width: int) -
     return checkpoint(ordered.mapInArrow(_compare(percent, width), "a long, b long"))
 
 
-def _left_out(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Further candidates for members of buckets whose head belongs to another component."""
-    of = roots.withColumnRenamed("root", "head_component").withColumnRenamed("node", "head")
-    rows = shared.join(roots.withColumnRenamed("node", "member"), "member", "left").join(of, "head", "left")
+class _Block:
+    """Documents of one bucket, to compare others with all of them at once."""
+
+    def __init__(self):
+        self.members, self.components, self.bands, self.sets = [], [], [], []
+        self.ready = False
+
+    def add(self, member: int, component: int, bands: np.ndarray, own: np.ndarray) -> None:
+        self.members.append(member)
+        self.components.append(component)
+        self.bands.append(bands)
+        self.sets.append(own)
+
+    def close(self) -> None:
+        self.ready = True
+        self.sizes = np.array([len(s) for s in self.sets])
+        hashes = np.concatenate(self.sets)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        self.bands, self.components = np.stack(self.bands), np.array(self.components)
+
+    def linked(self, bucket: int, component: int, bands: np.ndarray, own: np.ndarray, percent: int) -> list[int]:
+        """Members that link to the given document, are not of its component and first meet it in this bucket."""
+        common = self.bands == bands
+        first = np.where(common.any(axis=1), bands[common.argmax(axis=1)], bucket) == bucket
+        wanted = first & (self.components != component)
+        wanted &= 100 * np.minimum(self.sizes, len(own)) >= percent * np.maximum(self.sizes, len(own))
+        if not wanted.any():
+            return []
+        low = np.searchsorted(self.hashes, own)
+        n = np.searchsorted(self.hashes, own, side="right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.members))
+        wanted &= 100 * both >= percent * (self.sizes + len(own) - both)
+        return [self.members[k] for k in np.flatnonzero(wanted)]
+
+
+def _compare_blocks(percent: int, width: int):
+    """Rows sorted by (bucket, i, j, side); links between the blocks i and j of a bucket, or within one."""
+
+    def run(batches):
+        at, block = None, _Block()
+        a, b = [], []
+
+        def close():
+            if block.members and not block.ready:
+                block.close()
+                if at[1] == at[2]:
+                    for k, member in enumerate(block.members):
+                        found = block.linked(at[0], block.components[k], block.bands[k], block.sets[k], percent)
+                        a.extend([member] * len(found))
+                        b.extend(found)
+
+        def links():
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+            return out
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "member", "component")]
+            for bucket, i, j, side, member, component, bands, text in zip(*columns, batch.column("buckets"), batch.column("text")):
+                if at != (bucket, i, j):
+                    close()
+                    at, block = (bucket, i, j), _Block()
+                own = shingles(text.as_py(), width)
+                bands = np.asarray(bands.values)
+                if not side:
+                    block.add(member, component, bands, own)
+                elif block.members:
+                    close()
+                    found = block.linked(bucket, component, bands, own, percent)
+                    a.extend([member] * len(found))
+                    b.extend(found)
+            yield links()
+        close()
+        yield links()
+
+    return run
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are of several components, with these and the bucket's totals."""
+    roots = roots.withColumnRenamed("node", "member")
     rows = checkpoint(
-        rows.select(
-            "bucket",
-            "member",
-            F.coalesce("root", "member").alias("component"),
-            F.coalesce("head_component", "head").alias("head_component"),
-        )
+        rows.select("bucket", "member", "company", "n_shingles")
+        .join(roots, "member", "left")
+        .withColumn("component", F.coalesce("root", "member"))
+        .drop("root")
+    )
+    several = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    several = checkpoint(several.where("low <> high").select("bucket", "n", "total"))
+    return checkpoint(rows.join(several, "bucket"))
+
+
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of different components in the same bucket."""
+    other = rows.select("bucket", F.col("member").alias("head"), F.col("component").alias("head_component"))
+    pairs = rows.join(other, "bucket").where("component <> head_component and member > head")
+    return pairs.select("member", "head").distinct()
+
+
+def _confirm_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between members of different components in the same bucket, all pairs compared."""
+    needed = checkpoint(rows.select(F.col("member").alias("node")).distinct())
+    whole = checkpoint(
+        texts.join(_small(needed), "node", "left_semi")
+        .groupBy("node")
+        .agg(F.first("text").alias("text"))
+        .join(nodes.select("node", "buckets"), "node")
+        .withColumnRenamed("node", "member")
     )
-    out = rows.where("component <> head_component").select("bucket", "member")
-    order = F.xxhash64("member", "bucket")
-    other = (
-        rows.where("component = head_component")
-        .join(out.select("bucket").distinct(), "bucket", "left_semi")
-        .groupBy("bucket")
-        .agg(F.min_by("member", order).alias("head"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("member"), "blocks"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "bucket",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).alias("side"),
+        "member",
+        "component",
     )
-    first = out.groupBy("bucket").agg(F.min("member").alias("head"))
-    heads = checkpoint(other.union(first))
-    return out.join(heads, "bucket").where("member <> head").select("member", "head")
+    ordered = paired.join(whole, "member").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return checkpoint(ordered.mapInArrow(_compare_blocks(percent, width), "a long, b long"))
+
+
+def _links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, root) from the links of all pairs that share a bucket. `shared` has the buckets' members."""
+    large = shared.where(F.col("n") > SMALL).count()
+    open_ = shared.withColumn("component", F.col("member"))
+    links, tried = None, None
+    while True:
+        order = F.struct("company", "member", "component")
+        heads = checkpoint(
+            open_.groupBy("bucket").agg(F.max(order).alias("h")).select("bucket", F.col("h.member").alias("head"), F.col("h.component").alias("head_component"))
+        )
+        rest = checkpoint(open_.drop("n", "total").join(heads, "bucket").where("member <> head"))
+        found = rest.where("component <> head_component").select("member", "head").distinct()
+        found = checkpoint(found if tried is None else found.join(tried, ["member", "head"], "left_anti"))
+        confirmed = confirm(found, texts, percent, width)
+        links, tried = (confirmed, found) if links is None else (links.union(confirmed), tried.union(found))
+        roots = components(links)
+        open_ = _labelled(rest, roots)
+        before, large = large, open_.where(F.col("n") > SMALL).count()
+        if not large or 2 * large > before:
+            break
+    small = _in_pairs(open_.where(F.col("n") <= SMALL))
+    flipped = tried.select(F.col("head").alias("member"), F.col("member").alias("head"))
+    pairs = checkpoint(small.join(tried.union(flipped), ["member", "head"], "left_anti"))
+    if not pairs.isEmpty():
+        links = links.union(confirm(pairs, texts, percent, width))
+    if large:
+        links = links.union(_confirm_blocks(open_.where(F.col("n") > SMALL), nodes, texts, percent, width))
+    return components(links)
 
 
 def _node(text: Column) -> Column:
     return F.xxhash64(F.md5(normal(text)))
 
 
-def _grouped(docs: DataFrame, percent: int, width: int, rows: int, rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, percent: int, width: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n_shingles) per row, and (node, doc_id, root) per node with words; a node's doc_id is its smallest."""
     texts = docs.select(
         docs[id_col].cast("long").alias("doc_id"), _node(docs[text_col]).alias("node"), docs[text_col].alias("text")
@@ -229,26 +368,14 @@ def _grouped(docs: DataFrame, percent: int, width: int, rows: int, rounds: int,
     nodes = checkpoint(
         signed.where("n_shingles > 0")
         .groupBy("node")
-        .agg(F.first("buckets").alias("buckets"), F.min("doc_id").alias("doc_id"))
-    )
-    placed = nodes.select(F.explode("buckets").alias("bucket"), F.col("node").alias("member"))
-    heads = checkpoint(
-        placed.groupBy("bucket")
-        .agg(F.min("member").alias("head"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("bucket", "head")
+        .agg(F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
     )
-    shared = checkpoint(placed.join(heads, "bucket"))
-    tried = shared.where("member <> head").select("member", "head").distinct()
-    links = confirm(tried, texts.select("node", "text"), percent, width)
-    roots = components(links)
-    for _ in range(rounds - 1):
-        further = checkpoint(_left_out(shared, roots).join(tried, ["member", "head"], "left_anti"))
-        if further.isEmpty():
-            break
-        links = links.union(confirm(further, texts.select("node", "text"), percent, width))
-        tried = tried.union(further)
-        roots = components(links)
+    placed = nodes.select(F.explode("buckets").alias("bucket"), F.col("node").alias("member"), "n_shingles")
+    sizes = checkpoint(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = checkpoint(placed.join(sizes, "bucket"))
+    company = checkpoint(shared.groupBy("member").agg(F.sum("n").alias("company")))
+    shared = checkpoint(shared.join(company, "member"))
+    roots = _links(shared, nodes, texts.select("node", "text"), percent, width)
     grouped = nodes.select("node", "doc_id").join(roots, "node", "left")
     return signed, grouped.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
 
@@ -258,12 +385,11 @@ def near_duplicates(
     percent: int = 75,
     width: int = 5,
     rows: int = 4,
-    rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row, kept where doc_id = component_id. Runs jobs."""
-    signed, grouped = _grouped(docs, percent, width, rows, rounds, id_col, text_col)
+    signed, grouped = _grouped(docs, percent, width, rows, id_col, text_col)
     smallest = checkpoint(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = checkpoint(grouped.join(smallest, "root").select("node", "component_id"))
     found = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
@@ -281,13 +407,12 @@ def deduplicate(
     percent: int = 75,
     width: int = 5,
     rows: int = 4,
-    rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of `docs` with one row of each component, that of smallest doc_id (a null one only where
     the component has no other); rows without words all stay. Runs jobs."""
-    signed, grouped = _grouped(docs, percent, width, rows, rounds, id_col, text_col)
+    signed, grouped = _grouped(docs, percent, width, rows, id_col, text_col)
     grouped = checkpoint(grouped)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     winners = checkpoint(grouped.groupBy("root").agg(F.min(order).alias("w")).select("root", "w.node", F.col("w.doc_id").alias("keep_id")))

@@ -153,6 +153,44 @@ def test_near_duplicates_of_graded_copies(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()} == set(brute_components(pairs))
 
 
+def changed(rng, base, k):
+    text = list(base)
+    for at in rng.choice(len(base), k, replace=False):
+        text[at] = f"c{rng.integers(10**9)}"
+    return text
+
+
+def test_near_duplicates_of_a_hub_with_many_spokes(spark):
+    """Copies that link to their original only, beside ones too far from it to link to anything."""
+    rng = np.random.default_rng(11)
+    hub = [f"w{k}" for k in range(400)]
+    texts = [hub] + [changed(rng, hub, 8) for _ in range(2_200)] + [changed(rng, hub, 16) for _ in range(60)]
+    pairs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [set(zip(*(t[j:] for j in range(5)))) for t in texts]
+    similar = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert all(similar(sets[0], s) for s in sets[1:2_201])
+    expected = dict.fromkeys(range(2_201), 0)
+    for k in range(2_201, len(sets)):
+        assert not any(similar(sets[k], s) for j, s in enumerate(sets) if j != k)
+        expected[k] = k
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == expected
+
+
+def test_near_duplicates_in_buckets_of_many_components(spark, monkeypatch):
+    """Texts from one template that link in twos only: no head of a bucket takes in the others."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)  # several blocks a bucket
+    rng = np.random.default_rng(12)
+    template, pairs = [f"w{k}" for k in range(300)], []
+    for k in range(250):
+        text = changed(rng, template, 9)
+        pairs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(changed(rng, text, 4)))]
+    expected = brute_components(pairs)
+    assert len({c for _, _, c in expected}) > 100
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()} == set(expected)
+
+
 def test_near_deduplication_keeps_one_of_each_component(docs):
     kept = minhash_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
