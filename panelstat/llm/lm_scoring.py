@@ -5,13 +5,14 @@ embeddings of the neighbours + bias), then a class of words and a word of that c
 A document's score is the sum over its words of the log-probability of each word given both sides.
 
 1. Words (A-Z lower-cased, split at white space, known by 64-bit hashes) are counted over the whole corpus, within tasks first.
-   The most frequent become the vocabulary; all others share hash buckets, and a bucket's probability
-   is spread evenly over the distinct words counted in it.
+   The most frequent become the vocabulary, which grows with the square root of the words counted. All
+   others share hash buckets, and a word has that part of its bucket's probability which its count has
+   of the bucket's. These parts stay a table, joined to the words of each text that it concerns.
 2. Training is masked-language-model training over every document: a hash of document and position
    masks one word in `mask_every`. In each round every task starts from the same weights and runs
    Adagrad over its own documents; the weights are averaged by the number of masked words, in two
    steps so that no task gathers those of all tasks. What is counted and averaged grows with the
-   corpus; only the vocabulary and one set of weights, both of fixed size, reach the driver.
+   corpus; only the vocabulary and one set of weights, of the size of the vocabulary, reach the driver.
 3. Scoring masks every word of every text in turn.
 
 Edge cases: null, empty and blank texts have no words, score 0 and a null mean; a word's missing
@@ -22,6 +23,7 @@ empty table returns none; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,6 @@ CLASSES = 32
 MEMBERS = 32
 SIZE = CLASSES * MEMBERS
 BUCKETS = 256
-TOP = SIZE - BUCKETS
 REACH = 2
 HIDDEN = 16
 OFFSETS = [d for d in range(-REACH, REACH + 1) if d]
@@ -47,35 +48,61 @@ MAX_COUNTED = 2_000_000
 PIECE = 4_096
 FAN_IN = 64
 
-SHAPES = {
-    "embedding": (len(OFFSETS), SIZE + 1, HIDDEN),
-    "bias": (HIDDEN,),
-    "class_w": (HIDDEN, CLASSES),
-    "class_b": (CLASSES,),
-    "word_w": (CLASSES, HIDDEN, MEMBERS),
-    "word_b": (CLASSES, MEMBERS),
-}
-
-
-def to_ids(hashes: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Ids of hashed words: a vocabulary word's rank, else TOP plus its bucket."""
-    known, rank = vocabulary
-    ids = TOP + (hashes % np.uint64(BUCKETS)).astype(np.int32)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hit = known[at] == hashes
-        ids[hit] = rank[at[hit]]
+class Vocabulary(NamedTuple):
+    """Sorted hashes of the most frequent words, their ranks, the classes (and words of each), the buckets of other words."""
+
+    known: np.ndarray
+    rank: np.ndarray
+    classes: int = CLASSES
+    buckets: int = BUCKETS
+
+    @property
+    def top(self) -> int:
+        return self.classes**2 - self.buckets
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "embedding": (len(OFFSETS), classes**2 + 1, HIDDEN),  # the last row is that of the padding word
+        "bias": (HIDDEN,),
+        "class_w": (HIDDEN, classes),
+        "class_b": (classes,),
+        "word_w": (classes, HIDDEN, classes),
+        "word_b": (classes, classes),
+    }
+
+
+def classes_for(words: int) -> int:
+    """Classes of a vocabulary of about the square root of the words counted, at least CLASSES."""
+    return max(CLASSES, 8 * int(np.ceil(words**0.25 / 8)))
+
+
+def to_ids(hashes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Ids of hashed words: a vocabulary word's rank, else the number of these plus its bucket."""
+    ids = vocabulary.top + (hashes % np.uint64(vocabulary.buckets)).astype(np.int32)
+    if len(vocabulary.known):
+        at = np.minimum(np.searchsorted(vocabulary.known, hashes), len(vocabulary.known) - 1)
+        hit = vocabulary.known[at] == hashes
+        ids[hit] = vocabulary.rank[at[hit]]
     return ids
 
 
-def start_weights() -> dict[str, np.ndarray]:
+def _order(ids: np.ndarray, size: int) -> np.ndarray:
+    """Stable order, by the narrowest type that holds the ids."""
+    return np.argsort(ids.astype(np.min_scalar_type(size)), kind="stable")
+
+
+def start_weights(classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(4)
-    return {k: (0.1 * rng.standard_normal(s) if len(s) > 1 and not k.endswith("_b") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {
+        k: (0.1 * rng.standard_normal(s) if len(s) > 1 and not k.endswith("_b") else np.zeros(s)).astype(np.float32)
+        for k, s in shapes(classes).items()
+    }
 
 
-def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def windows(ids: np.ndarray, at: np.ndarray, pad: int = PAD) -> np.ndarray:
     """Neighbour ids (one row per offset) of the words at the given positions."""
-    padded = np.full(len(ids) + 2 * REACH, PAD, np.int32)
+    padded = np.full(len(ids) + 2 * REACH, pad, np.int32)
     padded[REACH : REACH + len(ids)] = ids
     return np.stack([padded[at + REACH + d] for d in OFFSETS])
 
@@ -104,12 +131,13 @@ def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 def log_probabilities(w: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of each target id given its neighbours."""
     h = _hidden(w, around)
-    kind, member = np.divmod(target, MEMBERS)
+    classes, members = w["word_b"].shape
+    kind, member = np.divmod(target, members)
     out = _log_share(h @ w["class_w"] + w["class_b"], kind)
-    order = np.argsort(kind.astype(np.uint8), kind="stable")
-    stops = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    order = _order(kind, classes)
+    stops = np.searchsorted(kind[order], np.arange(classes + 1))
     sorted_h, sorted_member, inner = h[order], member[order], np.empty(len(target), np.float32)
-    for c in range(CLASSES):
+    for c in range(classes):
         some = slice(stops[c], stops[c + 1])
         if stops[c] < stops[c + 1]:
             inner[some] = _log_share(sorted_h[some] @ w["word_w"][c] + w["word_b"][c], sorted_member[some])
@@ -121,16 +149,17 @@ def gradients(w: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.n
     """Of the mean negative log-probability."""
     n = len(target)
     h = _hidden(w, around)
-    kind, member = np.divmod(target, MEMBERS)
-    out = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    classes, members = w["word_b"].shape
+    kind, member = np.divmod(target, members)
+    out = {k: np.zeros(v.shape, np.float32) for k, v in w.items()}
     slope = np.exp(_log_softmax(h @ w["class_w"] + w["class_b"]))
     slope[np.arange(n), kind] -= 1
     slope /= n
     out["class_w"], out["class_b"] = h.T @ slope, slope.sum(axis=0)
     back = slope @ w["class_w"].T
-    order = np.argsort(kind.astype(np.uint8), kind="stable")
-    stops = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    order = _order(kind, classes)
+    stops = np.searchsorted(kind[order], np.arange(classes + 1))
+    for c in range(classes):
         rows = order[stops[c] : stops[c + 1]]
         if len(rows):
             slope = np.exp(_log_softmax(h[rows] @ w["word_w"][c] + w["word_b"][c]))
@@ -141,7 +170,7 @@ def gradients(w: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.n
     back *= 1 - h * h
     out["bias"] = back.sum(axis=0)
     for j in range(len(OFFSETS)):
-        order = np.argsort(around[j].astype(np.uint16), kind="stable")
+        order = _order(around[j], classes * members)
         ids = around[j][order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
         out["embedding"][j][ids[first]] = np.add.reduceat(back[order], first, axis=0)
@@ -205,26 +234,26 @@ def _count_words(batches):
     yield rows()
 
 
-def vocabulary(docs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """((sorted hashes of the most frequent words, their ranks), log of the distinct words behind each id)."""
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and a table (word, log_part) of all other words: the log of a word's part of its bucket."""
     counted = checkpoint(
         docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     )
-    top = counted.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    known = np.array([r.word for r in top], np.int64).view(np.uint64)
+    classes = classes_for(counted.agg(F.sum("n")).first()[0] or 0)
+    buckets = 1 << ((classes**2 // 4).bit_length() - 1)
+    top = counted.orderBy(F.desc("n"), "word").limit(classes**2 - buckets).toPandas()
+    known = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
-    # BUCKETS is a power of two, so the low bits of a signed hash are those of the unsigned one
-    low = F.col("word").bitwiseAND(F.lit(BUCKETS - 1))
-    distinct = {r.b: r.n for r in counted.groupBy(low.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    for h in known:
-        distinct[int(h) % BUCKETS] -= 1
-    behind = np.ones(SIZE)
-    for b, n in distinct.items():
-        behind[TOP + b] = max(1, n)
-    return (known[order], order.astype(np.int32)), np.log(behind)
-
-
-def _train(words: tuple, weights: dict, turn: int, every: int, rate: float):
+    # the buckets are a power of two, so the low bits of a signed hash are those of the unsigned one
+    low = F.col("word").bitwiseAND(F.lit(buckets - 1))
+    last = (int(top["n"].iloc[-1]), int(top["word"].iloc[-1])) if len(top) else (0, 0)
+    others = counted.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1]))).withColumn("bucket", low)
+    totals = others.groupBy("bucket").agg(F.sum("n").alias("total"))
+    parts = others.join(totals, "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_part"))
+    return Vocabulary(known[order], order.astype(np.int32), classes, buckets), checkpoint(parts)
+
+
+def _train(words: Vocabulary, weights: dict, turn: int, every: int, rate: float):
     def run(batches):
         trainer = Trainer(weights, rate)
         for batch in batches:
@@ -233,10 +262,10 @@ def _train(words: tuple, weights: dict, turn: int, every: int, rate: float):
                 at = masked(len(ids), zlib.crc32(ids.tobytes()), turn, every)
                 for k in range(0, len(at), SLICE):
                     some = at[k : k + SLICE]
-                    trainer.add(windows(ids, some), ids[some])
+                    trainer.add(windows(ids, some, words.classes**2), ids[some])
         trainer.flush()
         if trainer.seen:
-            flat = np.concatenate([trainer.w[k].ravel() for k in SHAPES]) * np.float64(trainer.seen)
+            flat = np.concatenate([v.ravel() for v in trainer.w.values()]) * np.float64(trainer.seen)
             part, seen = TaskContext.get().partitionId(), float(trainer.seen)
             pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
             n = len(pieces)
@@ -264,9 +293,9 @@ def _add_up(rows: pa.Table) -> pa.Table:
 SUM_SCHEMA = "piece int, part int, seen double, sums array<float>"
 
 
-def train(docs: DataFrame, words: tuple, rounds: int = 2, mask_every: int = 10, rate: float = 0.05) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, mask_every: int = 10, rate: float = 0.05) -> dict[str, np.ndarray]:
     """Weights after `rounds` passes over every document. Runs a job per round."""
-    weights = start_weights()
+    weights = start_weights(words.classes)
     for turn in range(rounds):
         sums = docs.select("text").mapInArrow(_train(words, weights, turn, mask_every, rate), SUM_SCHEMA)
         some = sums.groupBy("piece", F.floor(F.col("part") / FAN_IN)).applyInArrow(lambda key, t: _add_up(t), SUM_SCHEMA)
@@ -275,17 +304,18 @@ def train(docs: DataFrame, words: tuple, rounds: int = 2, mask_every: int = 10,
             break
         flat = np.concatenate([np.asarray(r.sums, np.float64) / r.seen for r in sorted(rows, key=lambda r: r.piece)])
         at = 0
-        for k, shape in SHAPES.items():
+        for k, shape in shapes(words.classes).items():
             n = int(np.prod(shape))
             weights[k] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
     return weights
 
 
-def _score(words: tuple, behind: np.ndarray, weights: dict):
+def _score(words: Vocabulary, weights: dict):
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sums, counts = [], []
+            sums, counts, others = [], [], []
             held: list[np.ndarray] = []
             sizes: list[int] = []
 
@@ -294,12 +324,11 @@ def _score(words: tuple, behind: np.ndarray, weights: dict):
                 if not sizes:
                     return
                 target = np.concatenate(held)
-                around = np.concatenate([windows(i, np.arange(len(i))) for i in held], axis=1)
+                around = np.concatenate([windows(i, np.arange(len(i)), words.classes**2) for i in held], axis=1)
                 logs = np.empty(len(target))
                 for k in range(0, len(target), SLICE):
                     some = slice(k, k + SLICE)
                     logs[some] = log_probabilities(weights, around[:, some], target[some])
-                logs -= behind[target]
                 ends = np.cumsum(sizes)
                 total = np.concatenate([[0.0], np.cumsum(logs)])
                 sums.extend(total[ends] - total[ends - np.array(sizes)])
@@ -312,13 +341,17 @@ def _score(words: tuple, behind: np.ndarray, weights: dict):
                 ids = to_ids(hashes, words)
                 held.append(ids)
                 sizes.append(len(ids))
+                others.append(hashes[ids >= words.top].view(np.int64))
                 pending += len(ids)
                 if pending > 4 * SLICE:
                     pending = 0
                     done()
             done()
+            rows = pa.array(np.arange(row, row + len(counts)))
+            row += len(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "score"]
+                [rows, batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.int64()))],
+                ["row", "doc_id", "n_words", "score", "others"],
             )
 
     return run
@@ -328,7 +361,12 @@ def score(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: st
     """(doc_id, n_words, score, mean_score) per row: the summed log-probability and its mean per word.
     Runs the counting and training jobs."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    words, behind = vocabulary(texts)
+    words, parts = vocabulary(texts)
     weights = train(texts, words, rounds)
-    scored = texts.mapInArrow(_score(words, behind, weights), "doc_id long, n_words long, score double")
-    return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
+    scored = checkpoint(
+        texts.mapInArrow(_score(words, weights), "row long, doc_id long, n_words long, score double, others array<long>")
+    )
+    shares = scored.select("row", F.explode("others").alias("word")).join(parts, "word").groupBy("row").agg(F.sum("log_part").alias("part"))
+    scored = scored.drop("others").join(shares, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", "score", mean.alias("mean_score"))

@@ -278,6 +278,31 @@ def test_scores_prefer_text_in_order(spark):
     assert (got[2_000].n_words, got[2_000].score, got[2_000].mean_score) == (0, 0.0, None)
 
 
+def test_vocabulary_grows_and_other_words_have_their_part_of_a_bucket(spark):
+    """Words outside the vocabulary are told apart by their counts."""
+    assert lm_scoring.classes_for(10**5) == lm_scoring.CLASSES and lm_scoring.classes_for(10**8) > 3 * lm_scoring.CLASSES
+    top = " ".join(f"t{k}" for k in range(lm_scoring.SIZE - lm_scoring.BUCKETS))
+    texts = [top] * 50 + [" ".join(f"r{k}" for k in range(600))] * 20 + [" ".join(f"g{k}" for k in range(3_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words, parts = lm_scoring.vocabulary(docs)
+    assert len(words.known) == words.top == lm_scoring.SIZE - lm_scoring.BUCKETS
+    got = {r.word: r.log_part for r in parts.collect()}
+    assert len(got) == 3_600
+    total = np.zeros(words.buckets)
+    for w, log_part in got.items():
+        total[w % words.buckets] += np.exp(log_part)
+    assert np.allclose(total, 1)
+    import pyarrow as pa
+
+    r, g = (next(hashed_texts(pa.array([texts[k]]))).view(np.int64).tolist() for k in (50, 70))
+    a, b = next((a, b) for a in r for b in g if a % words.buckets == b % words.buckets)
+    assert abs(got[a] - got[b] - np.log(20)) < 1e-9
+    names = {h: t for h, t in zip(r + g, texts[50].split() + texts[70].split())}
+    more = docs.union(spark.createDataFrame([(100, names[a]), (101, names[b])], "doc_id long, text string"))
+    scores = {x.doc_id: x.score for x in lm_scoring.score(more).where("doc_id >= 100").collect()}
+    assert abs(scores[100] - scores[101] - np.log(21 / 2)) < 1e-5
+
+
 # op5
 
 
