@@ -8,10 +8,13 @@ A document's score is the sum over its words of the log-probability of each word
    The most frequent become the vocabulary, which grows with the square root of the words counted. All
    others share hash buckets, and a word has that part of its bucket's probability which its count has
    of the bucket's. These parts stay a table, joined to the words of each text that it concerns.
-2. Training is masked-language-model training over every document: a hash of document and position
-   masks one word in `mask_every`. In each round every task starts from the same weights and runs
-   Adagrad over its own documents; the weights are averaged by the number of masked words, in two
-   steps so that no task gathers those of all tasks. What is counted and averaged grows with the
+2. Training takes every word of every document as a target: a hash of document and position deals the
+   positions to `mask_every` turns, one a round. In each round every task starts from the same weights
+   and runs Adagrad over its own documents, in batches that grow from FIRST_BATCH to BATCH; the weights
+   are averaged by the number of targets, in two steps so that no task gathers those of all tasks. A
+   round also measures the loss of the weights it starts from on its targets in a part of the documents,
+   which no round of the first cycle trained on before. Rounds go on until all turns were taken and the
+   loss falls by less than SETTLED of the first loss. What is counted and averaged grows with the
    corpus; only the vocabulary and one set of weights, of the size of the vocabulary, reach the driver.
 3. Scoring masks every word of every text in turn.
 
@@ -42,7 +45,10 @@ REACH = 2
 HIDDEN = 16
 OFFSETS = [d for d in range(-REACH, REACH + 1) if d]
 PAD = SIZE  # a further row of the embeddings
+FIRST_BATCH = 256
 BATCH = 8_192
+SETTLED = 0.01
+MEASURED_EVERY = 16
 SLICE = 16_384
 MAX_COUNTED = 2_000_000
 PIECE = 4_096
@@ -186,34 +192,37 @@ class Trainer:
         self.rate, self.seen = rate, 0
         self.around: list[np.ndarray] = []
         self.target: list[np.ndarray] = []
-        self.held = 0
+        self.held, self.batch = 0, FIRST_BATCH
 
     def add(self, around: np.ndarray, target: np.ndarray) -> None:
         self.around.append(around)
         self.target.append(target)
         self.held += len(target)
-        if self.held >= BATCH:
+        if self.held >= self.batch:
             self.flush()
 
     def flush(self) -> None:
         if not self.held:
             return
         around, target = np.concatenate(self.around, axis=1), np.concatenate(self.target)
-        for at in range(0, len(target), BATCH):
-            some = slice(at, at + BATCH)
+        at = 0
+        while at < len(target):
+            some = slice(at, at + self.batch)
             for k, g in gradients(self.w, around[:, some], target[some]).items():
                 self.square[k] += g * g
                 self.w[k] -= self.rate * g / np.sqrt(self.square[k])
+            at += self.batch
+            self.batch = min(BATCH, self.batch + self.batch // 4)
         self.seen += len(target)
         self.around, self.target, self.held = [], [], 0
 
 
 def masked(n: int, doc: int, turn: int, every: int) -> np.ndarray:
-    """Positions masked in this round: those whose hash with the document is 0 modulo `every`."""
-    seed = np.uint64((doc * 0x9E3779B97F4A7C15 + turn * 0xC2B2AE3D27D4EB4F) % 2**64)
+    """Targets of this round: positions whose hash with the document is the turn modulo `every`, each in one turn of a cycle."""
+    seed = np.uint64(doc * 0x9E3779B97F4A7C15 % 2**64)
     x = np.arange(n, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + seed
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.flatnonzero((x >> np.uint64(33)) % np.uint64(every) == 0)
+    return np.flatnonzero((x >> np.uint64(33)) % np.uint64(every) == turn % every)
 
 
 def _count_words(batches):
@@ -256,16 +265,24 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
 def _train(words: Vocabulary, weights: dict, turn: int, every: int, rate: float):
     def run(batches):
         trainer = Trainer(weights, rate)
+        loss, measured = 0.0, 0
         for batch in batches:
             for hashes in hashed_texts(batch.column("text")):
                 ids = to_ids(hashes, words)
-                at = masked(len(ids), zlib.crc32(ids.tobytes()), turn, every)
+                doc = zlib.crc32(ids.tobytes())
+                at = masked(len(ids), doc, turn, every)
                 for k in range(0, len(at), SLICE):
                     some = at[k : k + SLICE]
-                    trainer.add(windows(ids, some, words.classes**2), ids[some])
+                    around = windows(ids, some, words.classes**2)
+                    trainer.add(around, ids[some])
+                    if doc % MEASURED_EVERY == 0:
+                        loss -= float(log_probabilities(weights, around, ids[some]).sum(dtype=np.float64))
+                        measured += len(some)
         trainer.flush()
         if trainer.seen:
             flat = np.concatenate([v.ravel() for v in trainer.w.values()]) * np.float64(trainer.seen)
+            # two more sums: the loss, and the targets it was measured on
+            flat = np.concatenate([flat, [loss, measured]])
             part, seen = TaskContext.get().partitionId(), float(trainer.seen)
             pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
             n = len(pieces)
@@ -293,21 +310,33 @@ def _add_up(rows: pa.Table) -> pa.Table:
 SUM_SCHEMA = "piece int, part int, seen double, sums array<float>"
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, mask_every: int = 10, rate: float = 0.05) -> dict[str, np.ndarray]:
-    """Weights after `rounds` passes over every document. Runs a job per round."""
+def train(docs: DataFrame, words: Vocabulary, rounds: int | None = None, mask_every: int = 4, rate: float = 0.05) -> dict[str, np.ndarray]:
+    """Weights after `rounds` rounds, or by default once every position was a target and the loss has settled.
+    Runs a job per round."""
     weights = start_weights(words.classes)
-    for turn in range(rounds):
+    losses: list[float] = []
+    turn = 0
+    while turn != rounds:
         sums = docs.select("text").mapInArrow(_train(words, weights, turn, mask_every, rate), SUM_SCHEMA)
         some = sums.groupBy("piece", F.floor(F.col("part") / FAN_IN)).applyInArrow(lambda key, t: _add_up(t), SUM_SCHEMA)
         rows = some.groupBy("piece").applyInArrow(_add_up, SUM_SCHEMA).collect()
-        if not rows:
+        turn += 1
+        if rows:
+            rows.sort(key=lambda r: r.piece)
+            flat = np.concatenate([np.asarray(r.sums, np.float64) for r in rows])
+            if flat[-1]:
+                losses.append(flat[-2] / flat[-1])
+            flat /= rows[0].seen
+            at = 0
+            for k, shape in shapes(words.classes).items():
+                n = int(np.prod(shape))
+                weights[k] = flat[at : at + n].reshape(shape).astype(np.float32)
+                at += n
+        elif not len(words.known):
+            break
+        # without a measured document all turns are taken once
+        if rounds is None and turn >= mask_every and (len(losses) < 2 or losses[-2] - losses[-1] < SETTLED * losses[0]):
             break
-        flat = np.concatenate([np.asarray(r.sums, np.float64) / r.seen for r in sorted(rows, key=lambda r: r.piece)])
-        at = 0
-        for k, shape in shapes(words.classes).items():
-            n = int(np.prod(shape))
-            weights[k] = flat[at : at + n].reshape(shape).astype(np.float32)
-            at += n
     return weights
 
 
@@ -357,7 +386,7 @@ def _score(words: Vocabulary, weights: dict):
     return run
 
 
-def score(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, score, mean_score) per row: the summed log-probability and its mean per word.
     Runs the counting and training jobs."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

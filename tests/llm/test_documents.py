@@ -278,6 +278,26 @@ def test_scores_prefer_text_in_order(spark):
     assert (got[2_000].n_words, got[2_000].score, got[2_000].mean_score) == (0, 0.0, None)
 
 
+def test_every_position_is_a_target_in_each_cycle():
+    for n in (0, 1, 1_000):
+        taken = np.concatenate([lm_scoring.masked(n, 77, turn, 4) for turn in range(4, 8)])
+        assert sorted(taken.tolist()) == list(range(n))
+
+
+def test_default_training_prefers_text_in_order(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(600):
+        at = [int(rng.integers(60))]
+        while len(at) < 60:
+            at.append(int((at[-1] * 7 + rng.integers(1, 3)) % 60))
+        texts.append([f"a{k}" for k in at])
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    pairs += [(1_000 + i, " ".join(rng.permutation(t))) for i, t in enumerate(texts[:40])]
+    got = {r.doc_id: r.mean_score for r in lm_scoring.score(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert sum(got[i] > got[1_000 + i] for i in range(40)) >= 38
+
+
 def test_vocabulary_grows_and_other_words_have_their_part_of_a_bucket(spark):
     """Words outside the vocabulary are told apart by their counts."""
     assert lm_scoring.classes_for(10**5) == lm_scoring.CLASSES and lm_scoring.classes_for(10**8) > 3 * lm_scoring.CLASSES
