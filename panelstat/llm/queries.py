@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_scoring, minhash_dedup, packing, sharding, token_counts, toxicity
+from panelstat.llm import (
+    byte_bpe,
+    conversation_repair,
+    embedding_dedup,
+    exact_dedup,
+    fingerprints,
+    hard_negatives,
+    html_extract,
+    lm_scoring,
+    minhash_dedup,
+    packing,
+    sharding,
+    token_counts,
+    toxicity,
+)
 from panelstat.session import checkpoint_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +77,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels move on by one where the id is divisible by 7; anchors have ids divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversations), conversations)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_sharding": (op2_sharding, sharding.ORACLE_SQL),
@@ -74,4 +103,7 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_packing": (op10_packing, None),
+    "op11_hard_negatives": (op11_hard_negatives, hard_negatives.ORACLE_SQL),
+    "op12_conversation_repair": (op12_conversation_repair, None),
+    "op13_fingerprints": (op13_fingerprints, None),
 }
