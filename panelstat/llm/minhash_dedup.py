@@ -12,17 +12,19 @@ when intersection over union of their sets is at least `percent` / 100.
    over all its buckets, which the original of many copies has.
 3. Candidates are confirmed on full shingle sets of the whole texts. Large stars are cut into chunks
    that each get a copy of the head's text; a task streams its rows and holds one head.
-4. A head has been compared with all its bucket and leaves it. A bucket whose other members lie in
-   several components gets a new head among them, again and again while the rows of large buckets at
-   least halve from round to round.
-5. What is left is compared in full: each pair of different components within a bucket, in small
-   buckets as pairs, in large ones between blocks of members, a pair only in its first common bucket.
-6. Links become components, components take their smallest doc_id.
-
-So every pair that shares a bucket is compared or its members are in one component already. Step 5
-follows the number of pairs in buckets whose members resemble but do not link; no bound cuts it.
-With 32 bands of 4 bins a pair at similarity 0.75 shares no bucket with probability 5e-6 and less
-above; tests compare with brute force.
+4. Links become components. Buckets whose members lie in several components stay open: their members
+   may resemble one another without resembling the head.
+5. The members of open buckets are joined on prefixes: shingles stand in one order, rare ones first, and
+   two similar sets must share one of their first few. A shingle that only one member has is left out, so
+   private edits fill a member's prefix and members that resemble but do not link hardly meet. Sizes
+   and places of the shared shingle rule out more. Pairs of different components that remain are
+   confirmed on full sets. How rare a shingle is says a table of 2 ** SLOTS_LOG bytes over its hash;
+   any order gives the same pairs, a poorer one only more candidates.
+6. Links become components again, components take their smallest doc_id.
+
+So every pair that shares a bucket is compared, ruled out by its prefixes, or of one component already;
+candidates of a bucket are a star, not its pairs. With 32 bands of 4 bins a pair at similarity 0.75
+shares no bucket with probability 5e-6 and less above; tests compare with brute force.
 
 Node ids are 64-bit hashes of texts, shingles 64-bit hashes of words.
 
@@ -51,9 +53,8 @@ BINS = 1 << BINS_LOG
 MAX_WORDS = 100_000
 MAX_BROADCAST_ROWS = 300_000
 CHUNK = 128
-SMALL = 16
-BLOCK = 128
-BLOCK_SHINGLES = 200_000
+SLOTS_LOG = 22
+SLOT_RANGE = 1 << 16
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -197,162 +198,108 @@ def confirm(candidates: DataFrame, texts: DataFrame, percent: int, width: int) -
     return checkpoint(ordered.mapInArrow(_compare(percent, width), "a long, b long"))
 
 
-class _Block:
-    """Documents of one bucket, to compare others with all of them at once."""
-
-    def __init__(self):
-        self.members, self.components, self.bands, self.sets = [], [], [], []
-        self.ready = False
-
-    def add(self, member: int, component: int, bands: np.ndarray, own: np.ndarray) -> None:
-        self.members.append(member)
-        self.components.append(component)
-        self.bands.append(bands)
-        self.sets.append(own)
-
-    def close(self) -> None:
-        self.ready = True
-        self.sizes = np.array([len(s) for s in self.sets])
-        hashes = np.concatenate(self.sets)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
-        self.bands, self.components = np.stack(self.bands), np.array(self.components)
-
-    def linked(self, bucket: int, component: int, bands: np.ndarray, own: np.ndarray, percent: int) -> list[int]:
-        """Members that link to the given document, are not of its component and first meet it in this bucket."""
-        common = self.bands == bands
-        first = np.where(common.any(axis=1), bands[common.argmax(axis=1)], bucket) == bucket
-        wanted = first & (self.components != component)
-        wanted &= 100 * np.minimum(self.sizes, len(own)) >= percent * np.maximum(self.sizes, len(own))
-        if not wanted.any():
-            return []
-        low = np.searchsorted(self.hashes, own)
-        n = np.searchsorted(self.hashes, own, side="right") - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(self.owner[at], minlength=len(self.members))
-        wanted &= 100 * both >= percent * (self.sizes + len(own) - both)
-        return [self.members[k] for k in np.flatnonzero(wanted)]
-
-
-def _compare_blocks(percent: int, width: int):
-    """Rows sorted by (bucket, i, j, side); links between the blocks i and j of a bucket, or within one."""
+def _open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component) of the members of buckets whose members are of several components."""
+    roots = roots.withColumnRenamed("node", "member")
+    rows = shared.select("bucket", "member").join(roots, "member", "left")
+    rows = checkpoint(rows.select("bucket", "member", F.coalesce("root", "member").alias("component")))
+    ends = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = checkpoint(ends.where("low <> high").select("bucket"))
+    return rows.join(several, "bucket", "left_semi").select(F.col("member").alias("node"), "component").distinct()
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
 
-    def run(batches):
-        at, block = None, _Block()
-        a, b = [], []
-
-        def close():
-            if block.members and not block.ready:
-                block.close()
-                if at[1] == at[2]:
-                    for k, member in enumerate(block.members):
-                        found = block.linked(at[0], block.components[k], block.bands[k], block.sets[k], percent)
-                        a.extend([member] * len(found))
-                        b.extend(found)
-
-        def links():
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a.clear()
-            b.clear()
-            return out
 
+def _slot_counts(width: int):
+    """How many of a task's texts have a shingle in each slot."""
+
+    def run(batches):
+        counts = np.zeros(1 << SLOTS_LOG, np.int64)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "member", "component")]
-            for bucket, i, j, side, member, component, bands, text in zip(*columns, batch.column("buckets"), batch.column("text")):
-                if at != (bucket, i, j):
-                    close()
-                    at, block = (bucket, i, j), _Block()
-                own = shingles(text.as_py(), width)
-                bands = np.asarray(bands.values)
-                if not side:
-                    block.add(member, component, bands, own)
-                elif block.members:
-                    close()
-                    found = block.linked(bucket, component, bands, own, percent)
-                    a.extend([member] * len(found))
-                    b.extend(found)
-            yield links()
-        close()
-        yield links()
+            for text in batch.column("text"):
+                np.add.at(counts, _slots(shingles(text.as_py(), width)), 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
 
     return run
 
 
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are of several components, with these and the bucket's totals."""
-    roots = roots.withColumnRenamed("node", "member")
-    rows = checkpoint(
-        rows.select("bucket", "member", "company", "n_shingles")
-        .join(roots, "member", "left")
-        .withColumn("component", F.coalesce("root", "member"))
-        .drop("root")
-    )
-    several = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    several = checkpoint(several.where("low <> high").select("bucket", "n", "total"))
-    return checkpoint(rows.join(several, "bucket"))
+def _range_levels(key, table):
+    """The counts of a range of slots, a byte each: 0 and 1 as they are, more on a logarithmic scale."""
+    levels = np.zeros(SLOT_RANGE, np.uint8)
+    counts = table.column("n").to_numpy()
+    levels[table.column("slot").to_numpy() % SLOT_RANGE] = np.where(counts > 1, np.minimum(255, 4 * np.log2(counts) - 2), counts)
+    return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
 
-def _in_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of different components in the same bucket."""
-    other = rows.select("bucket", F.col("member").alias("head"), F.col("component").alias("head_component"))
-    pairs = rows.join(other, "bucket").where("component <> head_component and member > head")
-    return pairs.select("member", "head").distinct()
+def _levels(texts: DataFrame, width: int) -> np.ndarray:
+    """How common shingles are among the texts, a byte for each of 2 ** SLOTS_LOG slots."""
+    counts = texts.select("text").mapInArrow(_slot_counts(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    ranges = counts.groupBy(F.floor(F.col("slot") / SLOT_RANGE).alias("at")).applyInArrow(_range_levels, "at long, levels binary")
+    levels = np.zeros(1 << SLOTS_LOG, np.uint8)
+    for at, some in ranges.collect():  # a byte a slot in all
+        levels[at * SLOT_RANGE : (at + 1) * SLOT_RANGE] = np.frombuffer(bytes(some), np.uint8)
+    return levels
 
 
-def _confirm_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) between members of different components in the same bucket, all pairs compared."""
-    needed = checkpoint(rows.select(F.col("member").alias("node")).distinct())
-    whole = checkpoint(
-        texts.join(_small(needed), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.first("text").alias("text"))
-        .join(nodes.select("node", "buckets"), "node")
-        .withColumnRenamed("node", "member")
-    )
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
-    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("member"), "blocks"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "bucket",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).alias("side"),
-        "member",
-        "component",
-    )
-    ordered = paired.join(whole, "member").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    return checkpoint(ordered.mapInArrow(_compare_blocks(percent, width), "a long, b long"))
+def _prefixes(levels, percent: int, width: int):
+    """The rarest shingles of each text, as many as a similar text of smaller or equal size must share one
+    of, without those that no other text has."""
+
+    def run(batches):
+        for batch in batches:
+            out = [], [], [], [], []
+            for node, component, text in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("text")):
+                own = shingles(text.as_py(), width)
+                level = levels.value[_slots(own)]
+                order = np.lexsort((own, level))[: len(own) + 1 + (-percent * len(own) // 100)]
+                places = np.flatnonzero(level[order] > 1)
+                tokens = own[order[places]].view(np.int64)
+                for column, values in zip(out, (tokens, places, *(np.full(len(places), x, np.int64) for x in (node, component, len(own))))):
+                    column.append(values)
+            arrays = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out]
+            yield pa.RecordBatch.from_arrays(arrays, ["token", "place", "node", "component", "size"])
+
+    return run
 
 
-def _links(shared: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (member, head) of different components among the nodes of `rest` that can be similar enough:
+    they share one of their rarest shingles, and sizes and places leave room for the intersection."""
+    spark = rest.sparkSession
+    whole = texts.join(_small(rest), "node").groupBy("node", "component").agg(F.first("text").alias("text"))
+    whole = checkpoint(whole)
+    levels = spark.sparkContext.broadcast(_levels(whole, width))
+    schema = "token long, place long, node long, component long, size long"
+    tokens = checkpoint(whole.mapInArrow(_prefixes(levels, percent, width), schema))
+    a, b = tokens.alias("a"), tokens.alias("b")
+
+    def least(sizes: Column) -> Column:
+        return F.ceil(sizes * percent / (100 + percent))
+
+    # the smaller of a pair needs to show less of itself
+    shorter = b.where(F.col("place") < F.col("size") - least(F.col("size") * 2) + 1).alias("b")
+    larger = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") > F.col("b.node")))
+    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    fits = (100 * F.col("b.size") >= percent * F.col("a.size")) & (left >= least(F.col("a.size") + F.col("b.size")))
+    met = a.join(shorter, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & larger & fits)
+    return met.select(F.col("a.node").alias("member"), F.col("b.node").alias("head")).distinct()
+
+
+def _links(shared: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, root) from the links of all pairs that share a bucket. `shared` has the buckets' members."""
-    large = shared.where(F.col("n") > SMALL).count()
-    open_ = shared.withColumn("component", F.col("member"))
-    links, tried = None, None
-    while True:
-        order = F.struct("company", "member", "component")
-        heads = checkpoint(
-            open_.groupBy("bucket").agg(F.max(order).alias("h")).select("bucket", F.col("h.member").alias("head"), F.col("h.component").alias("head_component"))
-        )
-        rest = checkpoint(open_.drop("n", "total").join(heads, "bucket").where("member <> head"))
-        found = rest.where("component <> head_component").select("member", "head").distinct()
-        found = checkpoint(found if tried is None else found.join(tried, ["member", "head"], "left_anti"))
-        confirmed = confirm(found, texts, percent, width)
-        links, tried = (confirmed, found) if links is None else (links.union(confirmed), tried.union(found))
-        roots = components(links)
-        open_ = _labelled(rest, roots)
-        before, large = large, open_.where(F.col("n") > SMALL).count()
-        if not large or 2 * large > before:
-            break
-    small = _in_pairs(open_.where(F.col("n") <= SMALL))
-    flipped = tried.select(F.col("head").alias("member"), F.col("member").alias("head"))
-    pairs = checkpoint(small.join(tried.union(flipped), ["member", "head"], "left_anti"))
-    if not pairs.isEmpty():
-        links = links.union(confirm(pairs, texts, percent, width))
-    if large:
-        links = links.union(_confirm_blocks(open_.where(F.col("n") > SMALL), nodes, texts, percent, width))
-    return components(links)
+    heads = checkpoint(
+        shared.groupBy("bucket").agg(F.max(F.struct("company", "member")).alias("h")).select("bucket", F.col("h.member").alias("head"))
+    )
+    stars = shared.select("bucket", "member").join(heads, "bucket").where("member <> head")
+    links = confirm(stars.select("member", "head"), texts, percent, width)
+    roots = components(links)
+    rest = checkpoint(_open_members(shared, roots))
+    if rest.isEmpty():
+        return roots
+    return components(links.union(confirm(_prefix_pairs(rest, texts, percent, width), texts, percent, width)))
 
 
 def _node(text: Column) -> Column:
@@ -366,16 +313,14 @@ def _grouped(docs: DataFrame, percent: int, width: int, rows: int, id_col: str,
     )
     signed = checkpoint(texts.mapInArrow(_sign(rows, width), SIGNED_SCHEMA))
     nodes = checkpoint(
-        signed.where("n_shingles > 0")
-        .groupBy("node")
-        .agg(F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
+        signed.where("n_shingles > 0").groupBy("node").agg(F.first("buckets").alias("buckets"), F.min("doc_id").alias("doc_id"))
     )
-    placed = nodes.select(F.explode("buckets").alias("bucket"), F.col("node").alias("member"), "n_shingles")
+    placed = nodes.select(F.explode("buckets").alias("bucket"), F.col("node").alias("member"))
     sizes = checkpoint(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = checkpoint(placed.join(sizes, "bucket"))
     company = checkpoint(shared.groupBy("member").agg(F.sum("n").alias("company")))
     shared = checkpoint(shared.join(company, "member"))
-    roots = _links(shared, nodes, texts.select("node", "text"), percent, width)
+    roots = _links(shared, texts.select("node", "text"), percent, width)
     grouped = nodes.select("node", "doc_id").join(roots, "node", "left")
     return signed, grouped.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
 

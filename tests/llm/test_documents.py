@@ -177,9 +177,8 @@ def test_near_duplicates_of_a_hub_with_many_spokes(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == expected
 
 
-def test_near_duplicates_in_buckets_of_many_components(spark, monkeypatch):
+def test_near_duplicates_in_buckets_of_many_components(spark):
     """Texts from one template that link in twos only: no head of a bucket takes in the others."""
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)  # several blocks a bucket
     rng = np.random.default_rng(12)
     template, pairs = [f"w{k}" for k in range(300)], []
     for k in range(250):
@@ -191,6 +190,27 @@ def test_near_duplicates_in_buckets_of_many_components(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()} == set(expected)
 
 
+def test_prefixes_meet_for_all_similar_pairs(spark):
+    """Sets of unlike sizes around the threshold; pairs of one component don't meet."""
+    rng, texts = np.random.default_rng(13), []
+    for _ in range(25):
+        base = [f"w{rng.integers(300)}" for _ in range(rng.integers(6, 90))]
+        texts += [base] + [changed(rng, base, int(rng.integers(0, 4)))[: max(5, len(base) - int(rng.integers(0, 12)))] for _ in range(5)]
+    texts = list({" ".join(t): t for t in texts}.values())
+    sets = [set(zip(*(t[j:] for j in range(5)))) for t in texts]
+    expected = {
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i)
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and i % 3 != j % 3
+    }
+    rest = spark.createDataFrame([(k, k % 3) for k in range(len(texts))], "node long, component long")
+    whole = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "node long, text string")
+    found = {(max(r), min(r)) for r in minhash_dedup._prefix_pairs(rest, whole, 75, 5).collect()}
+    assert len(expected) > 60 and expected <= found
+    assert all(i % 3 != j % 3 for i, j in found) and len(found) < 4 * len(expected)
+
+
 def test_near_deduplication_keeps_one_of_each_component(docs):
     kept = minhash_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
