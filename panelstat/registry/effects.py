@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelstat import session
 from panelstat.functions import stats
-from panelstat.operators import effects, nuisance, pairs, panel, policy, rules, splits
+from panelstat.operators import effects, logistic, nuisance, pairs, panel, policy, rules, splits
 from panelstat.registry import base
 from panelstat.registry.pairs import FISHER_CTES, OR_COLS, PAIR_CTES, rounded
 from panelstat.registry.rules import COHORT_FAMILY_CTE, COHORTS
@@ -200,9 +200,8 @@ RELIABILITY_SQL = CALIBRATION + """SELECT code, CAST(greatest(ceil(round(p * 10,
 
 
 def _trigger_cells(spark, sf):
-    grid = effects.count_grid(effects.prepare(_flagged(spark, sf), SETTINGS), [])
-    part = effects.grid_parts(session.checkpoint(grid), [])
-    return effects.trigger_cells(part["co"], part["rows"], [], SETTINGS)
+    tested, rows = effects.test_counts(_flagged(spark, sf), SETTINGS)
+    return effects.trigger_cells(tested, rows, [], SETTINGS)
 
 
 def testing_weights(spark, sf):
@@ -238,22 +237,16 @@ def pair_effects_default(spark, sf):
 
 
 def testing_model_margins(spark, sf):
-    """Fitted tests per drug, held-out fold and covariate level: a least-squares fit reproduces the observed ones."""
-    rows = effects.prepare(_flagged(spark, sf), DEFAULT).filter("is_test")
-    everyone = rows.groupBy("fold", "cell").agg(F.count(F.lit(1)).alias("n_all"))
-    codes = rows.select("fold", "cell", F.explode(F.transform("flags", lambda t: t["code"])).alias("trigger"))
-    tested = codes.groupBy("trigger", "fold", "cell").agg(F.count(F.lit(1)).alias("nt"))
-    beta = session.checkpoint(effects.testing_model(tested, everyone, []))
-    # isolates outside each fold: a row per cell and held-out fold
-    folds = F.array(*[F.lit(h) for h in range(DEFAULT.n_folds)])
-    outside = everyone.select(F.col("fold").alias("own"), "cell", "n_all", F.explode(folds).alias("fold")).filter("own <> fold")
-    outside = outside.groupBy("fold", "cell").agg(F.sum("n_all").alias("n"))
-    fitted = outside.join(beta, "fold").select(
-        "trigger", "fold", F.explode(nuisance.level_features(F.col("cell"))).alias("feature"),
-        (F.col("n") * nuisance.predict(F.col("cell"), F.col("beta"))).alias("np"),
+    """Fitted tests per drug, held-out fold and covariate level: a logistic fit reproduces the observed ones."""
+    tested, rows = effects.test_counts(_flagged(spark, sf), DEFAULT)
+    cells = session.checkpoint(logistic.cell_rows(tested, [], "trigger", "", "nt", [], rows, DEFAULT.n_folds))
+    drugs = [r[0] for r in tested.select("trigger").distinct().collect()]
+    model = logistic.fit(cells, [], drugs, DEFAULT.n_folds)
+    fitted = logistic.predict_everywhere(cells, [], model, "trigger").select(
+        "trigger", "fold", F.explode(nuisance.level_features(F.col("cell"))).alias("feature"), (F.col("n") * F.col("p")).alias("np")
     )
     sums = fitted.groupBy("trigger", "fold", "feature").agg(F.sum("np").alias("n_tested"))
-    return sums.select("trigger", F.col("fold").cast("int").alias("fold"), "feature", F.round("n_tested", 3).alias("n_tested")).filter("n_tested > 0.5")
+    return sums.withColumn("n_tested", F.round("n_tested", 3)).filter("n_tested > 0.5")
 
 
 MARGINS_SQL = BASE + "," + model_ctes("iso", None, DEFAULT) + """

@@ -33,9 +33,7 @@ def positivity_check(spark, sf):
 
 def logit_testing(spark, sf):
     """Logistic testing model P(tested | ward, care type) of every drug at once."""
-    grid = effects.count_grid(effects.prepare(_flagged(spark, sf), SETTINGS), [])
-    part = effects.grid_parts(session.checkpoint(grid), [])
-    cells = session.checkpoint(effects.selection_cells(part["co"], part["rows"], []))
+    cells = session.checkpoint(effects.selection_cells(*effects.test_counts(_flagged(spark, sf), SETTINGS), []))
     nt = F.col("n1") + F.col("n0")
     cells = cells.withColumns({"features": glm.active_features(F.col("cell"), list(SETTINGS.covariates)), "n": F.col("n_untested") + nt, "pos": nt})
     fit = glm.fit_logit(cells, ["trigger"])
@@ -44,9 +42,7 @@ def logit_testing(spark, sf):
 
 def joint_selection(spark, sf):
     """Joint testing/resistance model of every drug: error correlation and fitted probabilities per cell."""
-    grid = effects.count_grid(effects.prepare(_flagged(spark, sf), SETTINGS), [])
-    part = effects.grid_parts(session.checkpoint(grid), [])
-    cells = session.checkpoint(effects.selection_cells(part["co"], part["rows"], []))
+    cells = session.checkpoint(effects.selection_cells(*effects.test_counts(_flagged(spark, sf), SETTINGS), []))
     out, _ = glm.fit_selection(cells, ["trigger"], list(SETTINGS.covariates))
     return out.withColumns({c: F.round(c, 4) for c in ("p_test", "p_resist_given_tested", "rho")})
 

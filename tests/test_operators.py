@@ -205,11 +205,11 @@ def test_pair_subset_equals_full(flagged):
 def test_no_self_fold_leakage(flagged):
     """Changing one fold's outcomes must not move that fold's own out-of-fold means."""
     s = effects.EffectSettings(covariates=("ward",), context=("year",), min_cell_n=1, nuisance="saturated")
-    grid = effects.count_grid(effects.prepare(flagged, s), [])
-    part = effects.grid_parts(grid, [])
-    flipped = part["co"].withColumn("a", F.when(F.col("fold") == 2, 1 - F.col("a")).otherwise(F.col("a")).cast("tinyint"))
-    g = lambda co: {(r.trigger, r.cell): r.g1 for r in effects.trigger_cells(co, part["rows"], [], s).filter("fold = 2").collect()}
-    assert g(part["co"]) == pytest.approx(g(flipped))
+    tested, rows = effects.test_counts(flagged, s)
+    swapped = {a: F.when(F.col("fold") == 2, F.col(b)).otherwise(F.col(a)) for a, b in (("n1", "n0"), ("n0", "n1"))}
+    flipped = tested.withColumns(swapped)
+    g = lambda t: {(r.trigger, r.cell): r.g1 for r in effects.trigger_cells(t, rows, [], s).filter("fold = 2").collect()}
+    assert g(tested) == pytest.approx(g(flipped))
 
 
 def test_logit_against_numpy(spark):
@@ -567,6 +567,72 @@ def test_main_effects_models_match_least_squares(spark):
         assert x @ np.array([r.beta[f] for f in names]) == pytest.approx(expected, abs=1e-8)
 
 
+def logistic_by_rows(design, n, y):
+    """Newton's method on plain matrices."""
+    beta = np.zeros(design.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.lstsq((design * (n * p * (1 - p))[:, None]).T @ design, design.T @ (y - n * p), rcond=1e-10)[0]
+    return 1 / (1 + np.exp(-design @ beta))
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_logistic_models_match_newton_on_rows(spark, every):
+    """All drugs, folds and keys at once against one fit each, with and without untested cells."""
+    from panelstat.operators import logistic
+
+    rng = np.random.default_rng(16)
+    cells = [f"{a}|{b}|{c}" for a in "xyz" for b in "uv" for c in range(5)]
+    counts = [(k, f, c, int(rng.integers(5, 40))) for k in (1, None) for f in range(3) for c in cells]
+    tested = [(k, d, f, c, float(n), int(rng.binomial(n, 0.1 + 0.2 * (c[0] == "x") + 0.3 * (c[2] == "u")))) for d in "AB" for k, f, c, n in counts]
+    tested = [t for t in tested if t[5] > 0]
+    rows = spark.createDataFrame(tested, "key int, drug string, fold int, cell string, wn double, nt long")
+    everyone = spark.createDataFrame(counts, "key int, fold int, cell string, n_all long")
+    n = "" if every else "wn"
+    got = logistic.cross_fitted(rows, ["key"], "drug", n, "nt", ["nt"], 3, "p", everyone if every else None).collect()
+    assert len(got) == len(tested) and {(r.key, r.drug, r.fold, r.cell, r.nt) for r in got} == {(t[0], t[1], t[2], t[3], t[5]) for t in tested}
+    design = lambda c: [float(c[0] == a) for a in "xyz"] + [float(c[2] == b) for b in "uv"] + [float(c[4] == str(k)) for k in range(5)]
+    for key in (1, None):
+        for drug in "AB":
+            for fold in range(3):
+                y = {(t[2], t[3]): t[5] for t in tested if t[0] == key and t[1] == drug}
+                use = [(f, c, m) for k, f, c, m in counts if k == key and f != fold and (every or (f, c) in y)]
+                x = np.array([design(c) for _, c, _ in use])
+                p = logistic_by_rows(x, np.array([m for *_, m in use], float), np.array([y.get((f, c), 0) for f, c, _ in use], float))
+                fitted = {c: v for (_, c, _), v in zip(use, p)}
+                for r in got:
+                    if (r.key, r.drug, r.fold) == (key, drug, fold) and r.cell in fitted:
+                        assert r.p == pytest.approx(fitted[r.cell], abs=1e-5)
+
+
+def test_newton_step_eliminates_the_widest_covariate():
+    from panelstat.operators import logistic
+
+    rng = np.random.default_rng(17)
+    covariate = np.array([0] * 30 + [1] * 4 + [2] * 3)
+    rows = np.stack([rng.integers(0, 29, 500), 30 + rng.integers(0, 4, 500), 34 + rng.integers(0, 3, 500)], axis=1)  # level 29 is unseen
+    x = np.zeros((500, 37))
+    np.put_along_axis(x, rows, 1.0, axis=1)
+    w, r = rng.random(500), rng.normal(size=500)
+    step = logistic.newton_step((x * w[:, None]).T @ x, x.T @ r, covariate)
+    expected = np.linalg.lstsq((x * w[:, None]).T @ x, x.T @ r, rcond=1e-10)[0]
+    assert x @ step == pytest.approx(x @ expected, abs=1e-8) and step[29] == 0
+    assert (logistic.newton_step(np.zeros((3, 3)), np.zeros(3), np.zeros(3, int)) == 0).all()
+
+
+def test_logistic_models_without_tests(spark):
+    from panelstat.operators import logistic
+
+    none = spark.createDataFrame([], "drug string, fold int, cell string, nt long")
+    everyone = spark.createDataFrame([(0, "a|b", 3)], "fold int, cell string, n_all long")
+    assert logistic.cross_fitted(none, [], "drug", "", "nt", ["nt"], 2, "p", everyone).collect() == []
+    # a drug always tested and one never tested in a level: probabilities at the bounds, no failure
+    rows = spark.createDataFrame([("A", f, c, 5) for f in (0, 1) for c in ("a|b", "c|b")] + [("B", f, "a|b", 5) for f in (0, 1)], none.schema)
+    everyone = spark.createDataFrame([(f, c, 5) for f in (0, 1) for c in ("a|b", "c|b")], everyone.schema)
+    got = {(r.drug, r.cell): r.p for r in logistic.cross_fitted(rows, [], "drug", "", "nt", ["nt"], 2, "p", everyone).collect()}
+    assert min(got.values()) > 0.99
+
+
 def test_default_model_adjusts_for_a_confounder(spark):
     """Age raises both resistance and testing; resistance itself changes nothing."""
     rng = np.random.default_rng(12)
