@@ -7,8 +7,10 @@ counts: the training set does not grow with the number of isolates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.functions import stats
 from panelstat.operators import splits
 
@@ -25,6 +28,7 @@ from panelstat.operators import splits
 FOREST = {"numTrees": 400, "maxDepth": 8}
 BOOST = {"maxIter": 400, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 MIN_LEAF = 20
+PARALLEL_FITS = 4
 
 
 def encoder(columns: list[str]) -> Pipeline:
@@ -86,8 +90,8 @@ class Calibrated:
 
     def fit(self, df: DataFrame) -> Calibrated:
         inner = splits.with_fold(df, self.key, self.folds, self.seed + 1, "__inner")
-        self.models = []
-        for k in range(self.folds):
+
+        def one(k: int):
             base = self.make().fit(inner.filter(F.col("__inner") != k))
             held = _scored(base, inner.filter(F.col("__inner") == k), "__s")
             if self.method == "isotonic":
@@ -96,10 +100,13 @@ class Calibrated:
                 logit = _log_odds("__s")
                 held = VectorAssembler(inputCols=["__l"], outputCol="__f").transform(held.withColumn("__l", logit))
                 cal = LogisticRegression(featuresCol="__f", labelCol=self.label_col, weightCol=self.weight_col, predictionCol="__d", probabilityCol="__q", rawPredictionCol="__w").fit(held)
-            self.models.append((base, cal))
+            return base, cal
+
+        self.models = together(df.sparkSession, one, range(self.folds))
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
+        """Writes each inner model's scores before the next one's, so that no task's closure holds two models."""
         cols = []
         for i, (base, cal) in enumerate(self.models):
             df = _scored(base, df, "__s")
@@ -109,6 +116,7 @@ class Calibrated:
                 logit = _log_odds("__s")
                 t = cal.transform(VectorAssembler(inputCols=["__l"], outputCol="__f").transform(df.withColumn("__l", logit)))
                 df = t.withColumn(f"__c{i}", vector_to_array(F.col("__q"))[1]).drop("__s", "__l", "__f", "__d", "__q", "__w")
+            df = session.checkpoint(df)
             cols.append(f"__c{i}")
         return df.withColumn(out, reduce(lambda a, b: a + b, [F.col(c) for c in cols]) / len(cols)).drop(*cols)
 
@@ -117,15 +125,24 @@ def cross_fit(
     df: DataFrame, make: Callable[[], Estimator], fold_col: str = "fold", folds: int = 5, out: str = "oof",
     calibrate: str | None = None, key: str | None = None, inner_folds: int = 3,
 ) -> DataFrame:
-    """Out-of-fold predictions: each fold is scored by a model that never saw it. Fits run one after the other."""
-    parts = []
-    for k in range(folds):
+    """Out-of-fold predictions: each fold is scored by a model that never saw it. The folds' fits are
+    submitted together, so that their jobs overlap. Scores are written: no plan carries several models."""
+
+    def fold(k: int) -> DataFrame:
         train, held = df.filter(F.col(fold_col) != k), df.filter(F.col(fold_col) == k)
         if calibrate:
-            parts.append(Calibrated(make, key, calibrate, inner_folds).fit(train).score(held, out))
-        else:
-            parts.append(_scored(make().fit(train), held, out))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+            return Calibrated(make, key, calibrate, inner_folds).fit(train).score(held, out)
+        return session.checkpoint(_scored(make().fit(train), held, out))
+
+    return reduce(lambda a, b: a.unionByName(b), together(df.sparkSession, fold, range(folds)))
+
+
+def together(spark, work: Callable, items) -> list:
+    """The results of some work whose jobs overlap, in order. Each runs in a thread with the caller's properties."""
+    items = list(items)
+    tagged = inheritable_thread_target(spark)(work)
+    with ThreadPoolExecutor(max(1, min(PARALLEL_FITS, len(items)))) as pool:
+        return list(pool.map(tagged, items))
 
 
 def labelled_cells(cells: DataFrame, pos: str, n: str) -> DataFrame:

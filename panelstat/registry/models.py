@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelstat import session
-from panelstat.operators import effects, glm, learners, panel, post
+from panelstat.operators import effects, glm, learners, panel, policy, post
 from panelstat.registry.effects import SETTINGS, _flagged, _rounded
 from panelstat.sources import warehouse
 
+# forests and boosting of the queries below the default sizes, which README states
 SMALL = {"numTrees": 20, "maxDepth": 5}
 
 
-def _context_cells(spark, sf, code="Brand#3"):
-    """(ward, care_type, n_pos, n_rows, fold) of one drug."""
-    df = warehouse.isolates(spark, sf)
-    tested = F.exists("tests", lambda t: t["code"] == code)
-    return df.groupBy("ward", "care_type", "year").agg(F.count_if(tested).alias("n_pos"), F.count(F.lit(1)).alias("n_rows"))
-
-
 def policy_ml(spark, sf):
-    """Testing probability per context from a calibrated forest."""
-    cells = session.checkpoint(_context_cells(spark, sf))
-    out = learners.ml_policy(cells, cells, ["ward", "care_type", "year"], "rf", calibrate="isotonic", folds=3, **SMALL)
-    return out.withColumn("p", F.round("p", 6))
+    """Testing probability of every drug in every context from calibrated logistic models."""
+    columns = ["ward", "care_type", "year"]
+    rows = session.checkpoint(_flagged(spark, sf).select(policy.context_key(columns).alias("context"), "flags"))
+    out = policy.logistic_policy(*policy.context_counts(rows, "context"), "context", warehouse.CODES)
+    parts = F.split("context", r"\|")
+    named = {"ward": parts[0], "care_type": parts[1], "year": parts[2].cast("int"), "p": F.round("p", 6)}
+    return out.withColumns(named).select("code", *columns, F.col("n_tested").alias("n_pos"), "n_rows", "p")
 
 
 def positivity_check(spark, sf):
@@ -57,9 +54,12 @@ def joint_comparison(spark, sf):
 
 
 def cross_fitted_boosting(spark, sf):
-    """Out-of-fold testing probabilities of one drug from calibrated boosted trees."""
-    rows = effects.prepare(_flagged(spark, sf), SETTINGS).select("cell", "fold", F.exists("flags", lambda t: t["code"] == "Brand#3").alias("t"))
-    cells = rows.groupBy("cell", "fold").agg(F.count_if("t").alias("n_pos"), F.count(F.lit(1)).alias("n_rows"))
+    """Out-of-fold testing probabilities of the drug tested most from calibrated boosted trees."""
+    tested, rows = effects.test_counts(_flagged(spark, sf), SETTINGS)
+    # the drug tested most, of equals the first by name
+    code = tested.groupBy("trigger").agg(F.sum("nt").alias("n")).orderBy(F.desc("n"), "trigger").first()["trigger"]
+    own = tested.filter(F.col("trigger") == code).select("cell", "fold", F.col("nt").alias("n_pos"))
+    cells = rows.withColumnRenamed("n_all", "n_rows").join(own, ["cell", "fold"], "left").na.fill(0, ["n_pos"])
     parts = F.split("cell", r"\|")
     cells = cells.withColumns({"ward": parts[0], "care_type": parts[1]})
     x = learners.labelled_cells(cells, "n_pos", "n_rows")
@@ -71,8 +71,12 @@ def cross_fitted_boosting(spark, sf):
 
 
 def effect_heterogeneity(spark, sf):
-    """Covariate-specific effects of one pair from one forest per arm."""
-    cells, _, _ = effects.estimation_cells(_flagged(spark, sf), warehouse.CODES, SETTINGS, [], pairs=[("Brand#3", "Brand#7")])
+    """Covariate-specific effects of the strongest pair from one forest per arm."""
+    cells, _, _ = effects.estimation_cells(_flagged(spark, sf), warehouse.CODES, SETTINGS, [])
+    cells = session.checkpoint(cells)
+    found = effects.apply_gates(effects.targeted_estimates(cells, []), SETTINGS)
+    strongest = post.strongest_pair(found.filter("status = 'ok'")).select("trigger", "target")
+    cells = cells.join(session.small_side(strongest), ["trigger", "target"], "left_semi")
     parts = F.split("cell", r"\|")
     per_cell = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n1", "sy1", "n0", "sy0")]).withColumns({"ward": parts[0], "care_type": parts[1]})
     out, _ = learners.effect_learner(session.checkpoint(per_cell), ["ward", "care_type"], **SMALL)

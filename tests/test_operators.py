@@ -633,6 +633,76 @@ def test_logistic_models_without_tests(spark):
     assert min(got.values()) > 0.99
 
 
+def test_isotonic_curves_match_spark_ml(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    from panelstat.operators import policy
+
+    rng = np.random.default_rng(18)
+    rows = [(d, float(x) / 10_000, int(n), int(rng.binomial(n, min(1, x / 9_000)))) for d in "AB" for x, n in zip(rng.choice(9_000, 60, False), rng.integers(1, 30, 60))]
+    df = spark.createDataFrame(rows, "code string, p double, n long, pos long")
+    curves = policy.calibration_curves(df, ["code"])
+    got = {(r.code, r.p): r.c for r in df.join(curves, "code").withColumn("c", policy.on_curve(F.col("p"), F.col("xs"), F.col("ys"))).collect()}
+    for code in "AB":
+        own = df.filter(F.col("code") == code).withColumn("y", F.col("pos") / F.col("n"))
+        model = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="n").fit(own)
+        for r in model.transform(own).collect():
+            assert got[(code, r.p)] == pytest.approx(r.prediction, abs=1e-9)
+        # the curve gives back the positive counts
+        assert sum(n * got[(d, p)] for d, p, n, _ in rows if d == code) == pytest.approx(sum(r[3] for r in rows if r[0] == code))
+    ends = spark.createDataFrame([(0.0, [0.2, 0.4], [0.1, 0.5]), (0.3, [0.2, 0.4], [0.1, 0.5]), (0.9, [0.2, 0.4], [0.1, 0.5]), (0.9, [0.2], [0.1])], "p double, xs array<double>, ys array<double>")
+    assert [round(r[0], 9) for r in ends.select(policy.on_curve(F.col("p"), F.col("xs"), F.col("ys"))).collect()] == [0.1, 0.3, 0.5, 0.1]
+
+
+def test_fitted_policy_of_all_drugs(spark):
+    """Against one plain logistic fit per drug and left-out fold; contexts without tests are rows too."""
+    from panelstat.operators import policy, splits
+
+    rng = np.random.default_rng(19)
+    contexts = [f"{a}|{b}" for a in "uvwxyz" for b in range(6)]
+    rows = [(c, int(rng.integers(20, 90))) for c in contexts]
+    tested = [(c, d, int(rng.binomial(n, 0.2 + 0.1 * (c[0] in "uv") + 0.08 * int(c[2])))) for d in "AB" for c, n in rows]
+    tested = [t for t in tested if t[2] and t[0] != "z|5"]
+    frames = spark.createDataFrame(tested, "context string, code string, n_tested long"), spark.createDataFrame(rows, "context string, n_rows long")
+    got = {(r.context, r.code): r for r in policy.logistic_policy(*frames, "context", ["A", "B", "C"], calibrate=False).collect()}
+    assert len(got) == 3 * len(contexts) and all(got[(c, "C")].p == 0.01 for c in contexts)
+    fold = {r.context: r.fold for r in splits.with_fold(frames[1], "context", 3, 43).collect()}
+    design = lambda c: [float(c[0] == a) for a in "uvwxyz"] + [float(c[2] == str(b)) for b in range(6)]
+    y, n = {(c, d): t for c, d, t in tested}, dict(rows)
+    for code in "AB":
+        expected = dict.fromkeys(contexts, 0.0)
+        for h in range(3):
+            use = [c for c in contexts if fold[c] != h]
+            x = np.array([design(c) for c in use])
+            w, pos = np.array([n[c] for c in use], float), np.array([y.get((c, code), 0) for c in use], float)
+            beta = np.zeros(12)
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-x @ beta))
+                beta += np.linalg.lstsq((x * (w * p * (1 - p))[:, None]).T @ x, x.T @ (pos - w * p), rcond=1e-10)[0]
+            for c in contexts:
+                expected[c] += 1 / (1 + np.exp(-np.array(design(c)) @ beta)) / 3
+        seen = [c for c in contexts if all(any(fold[d] != h and d[at] == c[at] for d in contexts) for at in (0, 2) for h in range(3))]
+        assert len(seen) > 20 and {c: got[(c, code)].p for c in seen} == pytest.approx({c: expected[c] for c in seen}, abs=1e-5)
+    calibrated = policy.logistic_policy(*frames, "context", ["A", "B"]).collect()
+    assert len(calibrated) == 2 * len(contexts) and all(0.01 <= r.p <= 0.99 for r in calibrated)
+    off = lambda rows: sum((r.n_tested - r.n_rows * r.p) ** 2 / r.n_rows for r in rows)
+    assert off(calibrated) < 1.5 * off([r for r in got.values() if r.code != "C"])
+
+
+def test_fits_overlap_and_keep_their_order(spark):
+    import threading
+
+    from panelstat.operators import learners
+
+    barrier = threading.Barrier(3, timeout=60)  # passes only if three run at once
+
+    def work(k):
+        barrier.wait()
+        return spark.range(k).count()
+
+    assert learners.together(spark, work, [1, 2, 3]) == [1, 2, 3]
+
+
 def test_default_model_adjusts_for_a_confounder(spark):
     """Age raises both resistance and testing; resistance itself changes nothing."""
     rng = np.random.default_rng(12)
