@@ -268,15 +268,15 @@ FROM tok GROUP BY isolate_id"""
 
 
 def wide_pairs(spark, sf):
-    """Panel rows to wide tested/outcome columns (three drugs shown)."""
-    drugs = {c: warehouse.drug_column(c) for c in ["Brand#1", "Brand#12", "Brand#25"]}
+    """Panel rows to wide tested/outcome columns of the whole catalogue."""
+    drugs = {c: warehouse.drug_column(c) for c in warehouse.CODES}
     out = panel.panel_to_pairs(warehouse.panels(spark, sf), drugs, ["isolate_id"])
     return out.withColumnsRenamed({c: c.replace(" - Drug ", "_").replace("#", "") for c in out.columns})
 
 
 WIDE_SQL = base.with_(base.TESTS) + "SELECT isolate_id, " + ", ".join(
     f"CAST(count(*) FILTER (code = 'Brand#{k}') AS TINYINT) AS \"Brand{k}_{k}_Tested\", max(outcome) FILTER (code = 'Brand#{k}') AS \"Brand{k}_{k}_Outcome\""
-    for k in (1, 12, 25)
+    for k in range(1, len(warehouse.CODES) + 1)
 ) + " FROM tests GROUP BY isolate_id"
 
 
@@ -365,15 +365,14 @@ FROM (VALUES {base.CODE_VALUES}) c(code) LEFT JOIN tok t ON t.code = c.code GROU
 
 
 def drug_flags(spark, sf):
-    codes = ["Brand#2", "Brand#3"]
-    df = panel.with_flags(warehouse.panels(spark, sf), codes=codes, recode_mode="NS_vs_S")
-    out = panel.flags_wide(df, [c for c in codes], ["isolate_id"])
+    df = panel.with_flags(warehouse.panels(spark, sf), codes=warehouse.CODES, recode_mode="NS_vs_S")
+    out = panel.flags_wide(df, warehouse.CODES, ["isolate_id"])
     return out.withColumnsRenamed({c: c.replace("#", "") for c in out.columns})
 
 
 FLAGS_SQL = base.with_(base.TESTS) + "SELECT isolate_id, " + ", ".join(
     f"CAST(count(*) FILTER (code = 'Brand#{k}') AS TINYINT) AS \"Brand{k}_T\", CAST(count(*) FILTER (code = 'Brand#{k}' AND outcome IN ('R', 'I')) AS TINYINT) AS \"Brand{k}_R\""
-    for k in (2, 3)
+    for k in range(1, len(warehouse.CODES) + 1)
 ) + " FROM tests GROUP BY isolate_id"
 
 CLASS_OF = {c: f"class {i % 6}" for i, c in enumerate(warehouse.CODES)}

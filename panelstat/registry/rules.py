@@ -223,9 +223,12 @@ FAMILY_SQL = (
 # ---- coverage ----------------------------------------------------------------------------------
 
 
+SHARE_COLUMNS = ["TextMaterialgroupRkiL0", "ARS_HospitalLevelManual", "Sex", "PatientAge", "Date"]
+
+
 def missing_shares(spark, sf):
     export = warehouse.raw_export(spark, sf)
-    cols = ["TextMaterialgroupRkiL0", "ARS_HospitalLevelManual", "Sex", "PatientAge", "Date", warehouse.drug_column("Brand#1")]
+    cols = [*SHARE_COLUMNS, *[warehouse.drug_column(c) for c in warehouse.CODES]]
     return coverage.missing_shares(export, cols).withColumn("share_missing", F.round("share_missing", 6))
 
 
@@ -233,10 +236,10 @@ MISSING_SQL = (
     base.with_(base.RAW, EXPORT)
     + " UNION ALL ".join(
         f"""SELECT count(*) AS n_rows, '{c}' AS "column", count(*) - count("{c}") AS n_missing, round((count(*) - count("{c}")) / count(*), 6) AS share_missing FROM export"""
-        for c in ["TextMaterialgroupRkiL0", "ARS_HospitalLevelManual", "Sex", "PatientAge", "Date"]
+        for c in SHARE_COLUMNS
     )
-    + """ UNION ALL SELECT (SELECT count(*) FROM export), 'Brand#1 - Drug 1', (SELECT count(*) FROM export) - count(*),
-  round(1 - count(*) / (SELECT count(*) FROM export), 6) FROM raw WHERE code = 'Brand#1'"""
+    + f""" UNION ALL SELECT (SELECT count(*) FROM export), c.code || ' - Drug ' || split_part(c.code, '#', 2), (SELECT count(*) FROM export) - count(raw.code),
+  round(1 - count(raw.code) / (SELECT count(*) FROM export), 6) FROM (VALUES {base.CODE_VALUES}) c(code) LEFT JOIN raw ON raw.code = c.code GROUP BY c.code"""
 )
 
 
