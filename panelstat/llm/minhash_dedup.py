@@ -216,12 +216,12 @@ def _slot_counts(width: int):
     """How many of a task's texts have a shingle in each slot."""
 
     def run(batches):
-        counts = np.zeros(1 << SLOTS_LOG, np.int64)
+        counts = np.zeros(1 << SLOTS_LOG, np.int32)
         for batch in batches:
             for text in batch.column("text"):
                 np.add.at(counts, _slots(shingles(text.as_py(), width)), 1)
         slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots].astype(np.int64))], ["slot", "n"])
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstat.llm.words import chunks, encoder
+from panelstat.llm.words import MAX_REMEMBERED, chunks, encoder
 from panelstat.session import checkpoint
 
 PIECE_FIELDS = [
@@ -41,9 +41,10 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 PATTERN_SCHEMA = "length long, first long, last long, copies long, base long, shift long"
 
 
-def _cut(tokenizer_path: str, window: int, end_id: int):
+def _cut(tokenizer_path: str, window: int, end_id: int, remembered: int):
     def run(batches):
-        encode, end = encoder(tokenizer_path).encode, end_id.to_bytes(4, "little")
+        own, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        own.most, encode = remembered, own.encode
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -134,12 +135,16 @@ def pack(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    remembered: int = MAX_REMEMBERED,
 ) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece. Runs jobs."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece. Runs jobs.
+
+    `remembered` bounds the pieces of text whose ids a worker keeps, some 200 bytes each.
+    """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     # a written table: the ordinals of a task that ran twice must not mix
-    pieces = checkpoint(texts.mapInArrow(_cut(tokenizer_path, window, end_id), PIECE_SCHEMA))
+    pieces = checkpoint(texts.mapInArrow(_cut(tokenizer_path, window, end_id, remembered), PIECE_SCHEMA))
     per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.createDataFrame(pattern_rows(histogram, window), PATTERN_SCHEMA)

@@ -103,6 +103,7 @@ class JsonEncoder:
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
+        self.most = MAX_REMEMBERED
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -117,7 +118,7 @@ class JsonEncoder:
             else:
                 whole.append(k)
         known = self.known
-        if len(known) > MAX_REMEMBERED:
+        if len(known) > self.most:
             known.clear()
         # difference() looks the few new pieces up in the many known ones, never the other way round
         new = list(set().union(*(pieces for _, pieces in pending)).difference(known))
