@@ -8,6 +8,8 @@ from panelstat.llm import exact_dedup, minhash_dedup, packing, toxicity
 from panelstat.llm.queries import TOKENIZER, table
 from panelstat.session import checkpoint
 
+REMEMBERED = 300_000  # workers also hold what the stages before have left in them
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold of a model trained on the labels of the table."""
@@ -26,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, placed in sequences."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, remembered=REMEMBERED)
 
 
 STAGES = [
