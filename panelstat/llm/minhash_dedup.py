@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from panelstat.llm.components import components
 from panelstat.llm.exact_dedup import keep_rows, normal
+from panelstat.llm.worker import tidied
 from panelstat.session import checkpoint
 
 BINS_LOG = 7
@@ -72,6 +73,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -195,7 +200,7 @@ def confirm(candidates: DataFrame, texts: DataFrame, percent: int, width: int) -
     )
     rows = members.unionByName(heads).repartition("head", "chunk")
     ordered = rows.sortWithinPartitions("head", "chunk", F.col("member").asc_nulls_first())
-    return checkpoint(ordered.mapInArrow(_compare(percent, width), "a long, b long"))
+    return checkpoint(ordered.mapInArrow(tidied(_compare(percent, width)), "a long, b long"))
 
 
 def _open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -236,7 +241,7 @@ def _range_levels(key, table):
 
 def _levels(texts: DataFrame, width: int) -> np.ndarray:
     """How common shingles are among the texts, a byte for each of 2 ** SLOTS_LOG slots."""
-    counts = texts.select("text").mapInArrow(_slot_counts(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(tidied(_slot_counts(width)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     ranges = counts.groupBy(F.floor(F.col("slot") / SLOT_RANGE).alias("at")).applyInArrow(_range_levels, "at long, levels binary")
     levels = np.zeros(1 << SLOTS_LOG, np.uint8)
     for at, some in ranges.collect():  # a byte a slot in all
@@ -273,7 +278,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, percent: int, width: int) -
     whole = checkpoint(whole)
     levels = spark.sparkContext.broadcast(_levels(whole, width))
     schema = "token long, place long, node long, component long, size long"
-    tokens = checkpoint(whole.mapInArrow(_prefixes(levels, percent, width), schema))
+    tokens = checkpoint(whole.mapInArrow(tidied(_prefixes(levels, percent, width)), schema))
     a, b = tokens.alias("a"), tokens.alias("b")
 
     def least(sizes: Column) -> Column:
@@ -311,7 +316,7 @@ def _grouped(docs: DataFrame, percent: int, width: int, rows: int, id_col: str,
     texts = docs.select(
         docs[id_col].cast("long").alias("doc_id"), _node(docs[text_col]).alias("node"), docs[text_col].alias("text")
     )
-    signed = checkpoint(texts.mapInArrow(_sign(rows, width), SIGNED_SCHEMA))
+    signed = checkpoint(texts.mapInArrow(tidied(_sign(rows, width), _forget), SIGNED_SCHEMA))
     nodes = checkpoint(
         signed.where("n_shingles > 0").groupBy("node").agg(F.first("buckets").alias("buckets"), F.min("doc_id").alias("doc_id"))
     )

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstat.llm.words import MAX_REMEMBERED, chunks, encoder
+from panelstat.llm.worker import tidied
 from panelstat.session import checkpoint
 
 PIECE_FIELDS = [
@@ -144,7 +145,7 @@ def pack(
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     # a written table: the ordinals of a task that ran twice must not mix
-    pieces = checkpoint(texts.mapInArrow(_cut(tokenizer_path, window, end_id, remembered), PIECE_SCHEMA))
+    pieces = checkpoint(texts.mapInArrow(tidied(_cut(tokenizer_path, window, end_id, remembered)), PIECE_SCHEMA))
     per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.createDataFrame(pattern_rows(histogram, window), PATTERN_SCHEMA)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelstat.llm.worker import tidied
+
 HASH_BITS = 18
 LEAST_DOCS = 3
 SENTENCE = re.compile(r"\w++|[.!?\n]")
@@ -221,9 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000) -> tuple[n
         .agg(F.min("text").alias("text"))
         .select("toxic", "text")
     )
-    bags = texts.mapInArrow(_featurise, "toxic int, flat array<int>, sizes array<int>")
+    bags = texts.mapInArrow(tidied(_featurise), "toxic int, flat array<int>, sizes array<int>")
     # at most max_docs rows, so one task can hold them; the driver gets the fitted weights alone
-    fitted = bags.repartition(1).mapInArrow(_fit_in_task, "used array<int>, weights array<double>, bias double").collect()
+    fitted = bags.repartition(1).mapInArrow(tidied(_fit_in_task), "used array<int>, weights array<double>, bias double").collect()
     weights = np.zeros(1 << HASH_BITS)
     if not fitted:
         return weights, 0.0, False
@@ -236,7 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs:
     predicted document, as spans of code points. Runs the training jobs."""
     weights, bias, trained = train(docs, labels, max_docs)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    scored = texts.mapInArrow(_score(weights.astype(np.float32), bias, trained, threshold), SCORE_SCHEMA)
+    scored = texts.mapInArrow(tidied(_score(weights.astype(np.float32), bias, trained, threshold)), SCORE_SCHEMA)
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id")) == 2).alias("held_out"),
@@ -254,6 +256,6 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs:
     text = names[docs.columns.index("text")]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
     scored = renamed.withColumn("text", F.col(text)).mapInArrow(
-        _score(weights.astype(np.float32), bias, trained, threshold), f"{kinds}, {SCORE_SCHEMA.partition(', ')[2]}"
+        tidied(_score(weights.astype(np.float32), bias, trained, threshold)), f"{kinds}, {SCORE_SCHEMA.partition(', ')[2]}"
     )
     return scored.where(F.col("score") < threshold).select(*names).toDF(*docs.columns)
