@@ -5,6 +5,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from panelstat.llm import embedding_dedup, html_extract, toxicity
 from panelstat.llm.components import components
@@ -126,6 +128,58 @@ def test_pages_without_labels_use_the_defaults():
     assert html_extract.extract(page, {}) == " ".join(["word"] * 40) + "\nmore words of it"
 
 
+WORDS = "word " * 60
+LONG = " ".join(["word"] * 60)
+# page, main text: names of elements must not lose an article, nor keep what is none
+NAMED = [
+    (f'<div class="layout has-sidebar"><article><p>{WORDS}</article></div>', LONG),
+    (f'<form id="aspnetForm"><nav><a>Menu</a></nav><article><p>{WORDS}</article></form>', LONG),
+    (f'<form id="aspnetForm"><nav><a>Menu</a></nav><div class="c"><p>{WORDS}</div></form>', LONG),
+    (f'<article><div class="article-header"><h1>My title here</h1></div><p>{WORDS}</article>', "My title here\n" + LONG),
+    (f'<article><p>{WORDS}<section class="related-work"><p>Others did it so</section><p>last {WORDS}</article>', f"{LONG}\nOthers did it so\nlast {LONG}"),
+    (f'<article><p>{WORDS}<div class="related"><ul><li><a>One story</a><li><a>Two</a></ul></div><p>last {WORDS}</article>', f"{LONG}\nlast {LONG}"),
+    (f"<article><p>where <math><mi>x</mi> is</math> one {WORDS}</article>", f"where x is one {LONG}"),
+    (f"<article><p data-x=don't>The dog's bone</p><p>{WORDS}</p></article>", f"The dog's bone\n{LONG}"),
+    (f'<article><p title="a > b">First line</p><p>{WORDS}</p></article>', f"First line\n{LONG}"),
+    (f'<main><div class="sidebar"><article>A card</article></div><p>{WORDS}</main>', LONG),
+    (f'<article><p>{WORDS}</article><div id="comments"><article class="comment"><p>{WORDS * 3}</article></div>', LONG),
+    (f'<div class="comments"><article><p>{WORDS * 3}</article></div><article><p>{WORDS}</article>', LONG),
+    (f"<head><title>No</title><meta name=x><p>{WORDS}</p>", LONG),
+    (f'<p>{WORDS}</p><p>cut off <a href="x', f"{LONG}\ncut off"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NAMED)
+def test_names_of_elements_lose_no_article(page, text):
+    assert html_extract.extract(page, {}) == text
+    assert html_extract.extract(f"<!DOCTYPE html><html><body>{page}", {}) == text
+
+
+def test_best_run_is_the_best_of_all_runs():
+    random.seed(5)
+    for _ in range(300):
+        scores = [random.choice([-2.0, -1.5, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(random.randint(0, 25))]
+        runs = [(sum(scores[a:b]), -b, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        start, stop = html_extract.best_run(scores)
+        best = max((r[0] for r in runs), default=0.0)
+        assert sum(scores[start:stop]) == max(best, 0.0)
+        if best > 0:
+            assert stop == min(b for total, _, _, b in runs if total == best)
+
+
+def test_very_long_pages_repeated_rows_and_learned_weights(spark):
+    long = f"<nav>{'<a>menu</a>' * 500}</nav><article>{'<p>some words of it</p>' * 20_000}</article><footer>end</footer>"
+    pages = [(k, f"u{k}", PAGE) for k in range(3)] + [(7, "long", long)] * 2 + [(8, "cut", "<a b='" + "c <d " * 20_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("kind", F.lit(1))
+    got = html_extract.main_text(frame, max_pages=2).collect()
+    assert [r.text for r in got if r.page_id in (0, 1, 2)] == [TEXT] * 3
+    assert [r.text for r in got if r.page_id == 7] == ["\n".join(["some words of it"] * 20_000)] * 2
+    assert [r.text for r in got if r.page_id == 8] == [""]
+    weights = html_extract.learn(frame, max_pages=2)
+    assert weights["w:p"] > 0 > weights["w:a"] and weights["t:nav"] < 0
+    assert html_extract.learn(frame.limit(0)) == {}
+
+
 def test_every_given_page_keeps_its_article(spark, sf):
     import html
     import re
