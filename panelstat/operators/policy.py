@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from panelstat import session
 from panelstat.functions import stats
-from panelstat.operators import logistic, splits
+from panelstat.operators import logistic, quantiles, splits
 
 
 def context_key(columns: list[str]) -> Column:
@@ -172,16 +172,16 @@ def escalation_scores(policy: DataFrame, trim_percentile: float = 99.0, stabiliz
     """(…, raw_score, cap, score): 1 / p capped at the percentile among tested rows of the drug.
 
     The percentile is taken over (score, count) cells with the counts as frequencies; an untested
-    row scores zero and needs no row here.
+    row scores zero and needs no row here. Runs jobs: the rows are written once.
     """
     keys = keys or []
     raw = policy.withColumn("raw_score", 1.0 / F.col("p"))
     if not stabilize:
         return raw.withColumns({"cap": F.lit(None).cast("double"), "score": F.col("raw_score")})
-    caps = raw.groupBy(*keys, "code").agg(
-        F.percentile("raw_score", F.lit(trim_percentile / 100.0), F.col("n_tested")).alias("cap")
-    )
-    return raw.join(caps, [*keys, "code"]).withColumn("score", F.least("raw_score", "cap"))
+    raw = session.checkpoint(raw)
+    caps = quantiles.weighted(raw, [*keys, "code"], "raw_score", "n_tested", [trim_percentile / 100.0], "cap")
+    caps = session.small_side(caps.withColumn("cap", F.col("cap")[0]))
+    return raw.join(caps, [*keys, "code"], "left").withColumn("score", F.least("raw_score", "cap"))
 
 
 def calibration(cells: DataFrame, n_bins: int = 10, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

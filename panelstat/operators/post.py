@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.functions import stats
+from panelstat.operators import quantiles
 
 LARGE_DOF = 1e6
 
@@ -307,19 +309,20 @@ def weight_summary(df: DataFrame, weight: str, keys: list[str] | None = None) ->
     qs = (0.0, 0.01, 0.5, 0.99, 1.0)
     # equal weights are counted first, so a group is summarised from its distinct values
     cells = df.groupBy(*(keys or []), F.col(weight).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    out = cells.groupBy(*(keys or [])).agg(
-        F.percentile("w", F.array(*[F.lit(q) for q in qs]), F.col("n")).alias("q"),
-        stats.kish_ess("w", F.col("n")).alias("ess"),
-        F.sum("n").alias("n"),
-    )
+    # null keys are groups too
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    cells = session.checkpoint(cells.withColumn("__group", group))
+    out = cells.groupBy("__group", *(keys or [])).agg(stats.kish_ess("w", F.col("n")).alias("ess"), F.sum("n").alias("n"))
+    out = out.join(session.small_side(quantiles.weighted(cells, ["__group"], "w", "n", list(qs), "q")), "__group", "left")
     return out.select(*(keys or []), *[F.col("q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(qs)], "ess", "n")
 
 
 def trim_weights(df: DataFrame, weight: str, lower: float = 1.0, upper: float = 99.0) -> tuple[DataFrame, DataFrame]:
     """Weights clipped at two percentiles, and one row of trim diagnostics."""
     cells = df.groupBy(F.col(weight).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = F.percentile("w", F.array(F.lit(lower / 100), F.lit(upper / 100)), F.col("n"))
-    lo, hi = cells.agg(bounds[0]).scalar(), cells.agg(bounds[1]).scalar()
+    cells = session.checkpoint(cells)
+    bounds = session.checkpoint(quantiles.weighted(cells, [], "w", "n", [lower / 100, upper / 100], "q"))
+    lo, hi = bounds.select(F.col("q")[0]).scalar(), bounds.select(F.col("q")[1]).scalar()
     trimmed = df.withColumn("trimmed", F.least(F.greatest(F.col(weight), lo), hi))
     report = cells.select("w", "n", lo.alias("lo"), hi.alias("hi")).agg(
         F.min("w").alias("original_min"), F.max("w").alias("original_max"),

@@ -129,8 +129,8 @@ ic AS (SELECT st.*, psi, w / mw * (h * (y - qs) + diff - psi) AS ic FROM st JOIN
 est AS (SELECT {k}trigger, target, max(psi) AS rd, sqrt(var_samp(ic) / count(*)) AS se, max(eps) AS epsilon, sum(w) * sum(w) / sum(w * w) AS ess,
     count(*) AS n_used, CAST(sum(a) AS BIGINT) AS n_A1, CAST(sum(1 - a) AS BIGINT) AS n_A0, sum(w * q0) / sum(w) AS baseline_mu0,
     sum(w * y) / sum(w) AS escalation_score_mean, avg(w) AS weights_mean FROM ic GROUP BY {k}trigger, target),
-gated AS (SELECT *, CASE WHEN n_used < {s.min_tested} THEN 'Too few tested isolates for ' || trigger || ': n=' || n_used || ' < {s.min_tested}'
-    WHEN n_A1 < {s.min_group} OR n_A0 < {s.min_group} THEN 'Group sizes too small: A=1 ' || n_A1 || ', A=0 ' || n_A0 || ' (min required {s.min_group})' ELSE '' END AS skip_reason,
+gated AS (SELECT *, CASE WHEN n_used < {s.min_tested} THEN 'tested: ' || n_used || ', at least {s.min_tested} wanted'
+    WHEN n_A1 < {s.min_group} OR n_A0 < {s.min_group} THEN 'arms: ' || n_A1 || ' and ' || n_A0 || ', at least {s.min_group} wanted' ELSE '' END AS skip_reason,
     rd / se AS zz FROM est),
 final AS (SELECT {k}trigger, target, skip_reason, CASE WHEN skip_reason = '' THEN 'ok' ELSE 'failed' END AS status, n_A1, n_A0, n_A1 + n_A0 AS n_trigger_tested,
     CASE WHEN skip_reason = '' THEN n_used ELSE 0 END AS n_used,
@@ -335,13 +335,13 @@ def failure_summary(spark, sf):
     """Failed pairs with their group sizes, under gates that fail many of them."""
     s = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210, nuisance="saturated")
     out = effects.estimate_pairs(_flagged(spark, sf), warehouse.CODES, s).filter(F.col("status") == "failed")
-    sized = F.col("skip_reason").startswith("Group sizes")
+    sized = F.col("skip_reason").startswith("arms")
     return out.select("trigger", "target", "skip_reason", F.when(sized, F.col("n_A1")).alias("n1_failed"), F.when(sized, F.col("n_A0")).alias("n0_failed"))
 
 
 FAIL_SETTINGS = effects.EffectSettings(covariates=("ward", "care_type"), context=("pathogen_group", "year"), min_context_n=280, min_cell_n=10, min_tested=560, min_group=210, nuisance="saturated")
 FAIL_SQL = BASE + "," + model_ctes(s=FAIL_SETTINGS) + estimate_ctes(s=FAIL_SETTINGS) + """
-SELECT trigger, target, skip_reason, CASE WHEN skip_reason LIKE 'Group sizes%' THEN n_A1 END AS n1_failed, CASE WHEN skip_reason LIKE 'Group sizes%' THEN n_A0 END AS n0_failed FROM final WHERE status = 'failed'"""
+SELECT trigger, target, skip_reason, CASE WHEN skip_reason LIKE 'arms%' THEN n_A1 END AS n1_failed, CASE WHEN skip_reason LIKE 'arms%' THEN n_A0 END AS n0_failed FROM final WHERE status = 'failed'"""
 
 QUERIES = {
     "lab_split": (

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.functions import stats
-from panelstat.operators import coverage, drugdims, effects, glm, pairs, panel, post, profile, recode, rules, splits
+from panelstat.operators import coverage, drugdims, effects, glm, pairs, panel, post, profile, quantiles, recode, rules, splits
 from panelstat.plans import analysis, explore, ingest
 from panelstat.sources import arrow_source, readers, warehouse, writers
 
@@ -294,7 +295,7 @@ def test_export_files(spark, scratch):
 def test_single_arm_gives_null(spark):
     df = spark.createDataFrame([("a", "b", 30, 0, 5.0, 0.0, 9.0, 0.0, 1.0, 0.5, 0.2, 0.0)], "trigger string, target string, n1 long, n0 long, sy1 double, sy0 double, syy1 double, syy0 double, w double, g1 double, q1 double, q0 double")
     r = effects.apply_gates(effects.targeted_estimates(df, []), effects.EffectSettings(min_tested=1)).first()
-    assert r.status == "failed" and r.rd is None and r.skip_reason.startswith("Group sizes too small")
+    assert r.status == "failed" and r.rd is None and r.skip_reason.startswith("arms: 30 and 0")
 
 
 # ---- drug lists -----------------------------------------------------------------------------------
@@ -719,3 +720,22 @@ def test_default_model_adjusts_for_a_confounder(spark):
     context = ("pathogen_group",)
     adjusted, thin = one(effects.EffectSettings(context=context)), one(effects.EffectSettings(context=context, nuisance="saturated"))
     assert abs(adjusted.rd) < 4 * adjusted.se < abs(thin.rd)
+
+
+def test_weighted_percentiles_equal_spark(spark):
+    shares = [0.0, 0.01, 0.333, 0.5, 0.99, 1.0]
+    df = spark.range(60_000).selectExpr("id % 3 AS k", "CASE WHEN id % 7 = 0 THEN 0.25 WHEN id % 1000 = 1 THEN 1e300 * id ELSE exp(rand(3) * 40 - 20) - 1 END AS v", "id % 4 AS n")
+    df = df.unionAll(spark.sql("SELECT 5L, 2.5D, 1L UNION ALL SELECT 5L, 3.5D, 1L UNION ALL SELECT 6L, CAST(NULL AS DOUBLE), 4L UNION ALL SELECT 7L, -1e308D, 2L UNION ALL SELECT 7L, 1e308D, 2L"))
+    df = session.checkpoint(df)
+    for keys in (["k"], []):
+        good = df.where("v IS NOT NULL AND n > 0").groupBy(*keys)
+        expected = sorted(map(tuple, good.agg(F.percentile("v", F.array(*[F.lit(q) for q in shares]), F.col("n"))).collect()))
+        for bound in (10, 10**6):
+            got = quantiles.weighted(df, keys, "v", "n", shares, "q", max_values=bound)
+            assert sorted(map(tuple, got.collect())) == expected
+    assert quantiles.weighted(df.limit(0), ["k"], "v", "n", shares, "q", max_values=10).count() == 0
+
+
+def test_weighted_percentiles_of_a_million_values(spark):
+    df = spark.range(1_000_000).selectExpr("id * 0.5 AS v", "1L AS n")
+    assert quantiles.weighted(df, [], "v", "n", [0.25, 0.9], "q").first().q == [124999.875, 449999.55]
