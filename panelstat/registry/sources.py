@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelstat import session
-from panelstat.sources import readers, writers
+from panelstat.sources import arrow_source, readers, writers
 
 
 def read_auto(spark, sf):
@@ -49,16 +49,22 @@ def all_strings(spark, sf):
 
 
 def _copies(spark, sf):
-    """Copies of two tables in several formats and column orders, with a broken file and a broken row, in the shared folder."""
+    """Copies of two growing tables in several formats and column orders, with a broken row per 100 events, in the shared folder."""
     out = f"{session.checkpoint_dir(spark).rstrip('/')}/mixed-{uuid.uuid4().hex}"
-    nation, region = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "region"))
-    low = F.col("n_nationkey") < 10
-    nation.where(low).coalesce(1).write.option("header", "true").csv(f"{out}/a")
-    other = nation.where(~low).select("n_regionkey", "n_name", "n_nationkey")
-    other.coalesce(1).write.option("header", "true").csv(f"{out}/b")
-    region.coalesce(1).write.json(f"{out}/c")
-    nation.coalesce(1).write.parquet(f"{out}/d")
-    writers._write_text(spark, f"{out}/e/broken.json", "{no json\n")
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    low = F.col("o_custkey") % 3 == 0
+    orders.where(low).write.option("header", "true").csv(f"{out}/a")
+    orders.where(~low).select("o_custkey", "o_orderstatus", "o_orderkey").write.option("header", "true").csv(f"{out}/b")
+    events.write.json(f"{out}/c")
+    orders.write.parquet(f"{out}/d")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    events.select(F.when(F.col("event_id") % 100 == 0, F.concat(F.lit("{no json "), line)).otherwise(line)).write.text(f"{out}/e")
+    jvm = spark.sparkContext._jvm
+    parts = jvm.org.apache.hadoop.fs.Path(f"{out}/e/part-*")
+    fs = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(parts):
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(status.getPath().toString().replace(".txt", ".json")))
     return out
 
 
@@ -69,43 +75,59 @@ def mixed_formats(spark, sf):
     folder = F.element_at(F.split("__source__", "/"), -2)
     return df.groupBy(folder.alias("folder")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("n_nationkey").cast("long")).alias("keys"),
-        F.sum(F.col("n_regionkey").cast("long")).alias("regions"),
-        F.max("n_name").alias("last_name"),
-        F.max("r_name").alias("last_region"),
+        F.sum(F.col("o_orderkey").cast("long")).alias("orders"),
+        F.sum(F.col("o_custkey").cast("long")).alias("customers"),
+        F.max("o_orderstatus").alias("last_status"),
+        F.sum("event_id").alias("events"),
+        F.max("event_type").alias("last_type"),
     )
 
 
-MIXED_FORMATS_SQL = """SELECT CASE WHEN n_nationkey < 10 THEN 'a' ELSE 'b' END AS folder, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys,
-  CAST(sum(n_regionkey) AS BIGINT) AS regions, max(n_name) AS last_name, CAST(NULL AS VARCHAR) AS last_region FROM nation GROUP BY 1
-UNION ALL SELECT 'c', count(*), NULL, NULL, NULL, max(r_name) FROM region
-UNION ALL SELECT 'd', count(*), CAST(sum(n_nationkey) AS BIGINT), CAST(sum(n_regionkey) AS BIGINT), max(n_name), NULL FROM nation"""
+_ORDERS = "count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customers, max(o_orderstatus) AS last_status, CAST(NULL AS BIGINT) AS events, CAST(NULL AS VARCHAR) AS last_type FROM orders"
+MIXED_FORMATS_SQL = f"""SELECT CASE WHEN o_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS folder, {_ORDERS} GROUP BY 1
+UNION ALL SELECT 'c', count(*), NULL, NULL, NULL, CAST(sum(event_id) AS BIGINT), max(event_type) FROM events
+UNION ALL SELECT 'd', {_ORDERS}"""
 
 
 def load_report(spark, sf):
-    """Rows and errors of every file of a lenient load."""
+    """Rows and broken rows of every folder of a lenient load."""
     out = _copies(spark, sf)
     found = readers.MixedLoader(spark).report([f"{out}/{x}" for x in "abcde"])
     name = F.regexp_extract("path", "/([a-e])/[^/]*$", 1)
-    return found.select(name.alias("folder"), "n_rows", "n_malformed", "error")
+    named = F.coalesce(F.bool_or((F.col("n_malformed") > 0) & F.col("error").isNotNull()), F.lit(False))
+    return found.groupBy(name.alias("folder")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_malformed").alias("n_malformed"), named.alias("reported")
+    )
 
 
-LOAD_REPORT_SQL = """SELECT CASE WHEN n_nationkey < 10 THEN 'a' ELSE 'b' END AS folder, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed, CAST(NULL AS VARCHAR) AS error FROM nation GROUP BY 1
-UNION ALL SELECT 'c', count(*), 0, NULL FROM region UNION ALL SELECT 'd', count(*), 0, NULL FROM nation
-UNION ALL SELECT 'e', 0, 1, '1 malformed rows'"""
+LOAD_REPORT_SQL = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS folder, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed, false AS reported FROM orders GROUP BY 1
+UNION ALL SELECT 'c', count(*), 0, false FROM events UNION ALL SELECT 'd', count(*), 0, false FROM orders
+UNION ALL SELECT 'e', count(*) FILTER (event_id % 100 <> 0), count(*) FILTER (event_id % 100 = 0), count(*) FILTER (event_id % 100 = 0) > 0 FROM events"""
 
 
 def saved_dataset(spark, sf):
-    """A dataset written in partitions and files of few rows, read again."""
+    """A dataset written in partitions and files of few rows, replaced by a second version, read again."""
     out = f"{session.checkpoint_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = writers.save_dataset(orders, out, "orders", partition_on=["o_orderstatus"], rows_per_file=1_000)
-    back = readers.read_any(spark, path)
+    writers.save_dataset(orders.where("o_orderkey % 2 = 0"), out, "orders", partition_on=["o_orderstatus"])
+    writers.save_dataset(orders, out, "orders", partition_on=["o_orderstatus"], rows_per_file=1_000)
+    back = readers.read_any(spark, writers.dataset_path(out, "processed", "orders", "parquet"))
     return back.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.max("o_totalprice"), 2).alias("largest")
     )
 
 
+def arrow_copy(spark, sf):
+    """Sums of a filtered read of Arrow copies of a table, many record batches a file."""
+    out = f"{session.checkpoint_dir(spark).rstrip('/')}/arrow-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    writers.save_arrow(orders, out, rows_per_batch=1_000)
+    back = arrow_source.read(spark, out, batches_per_partition=2).where("o_orderstatus = 'F'")
+    return back.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("long")).alias("keys"), F.round(F.max(F.col("o_totalprice").cast("double")), 2).alias("largest")
+    )
+
+
 QUERIES = {
     "mixed_formats_load": (mixed_formats, MIXED_FORMATS_SQL),
     "load_report": (load_report, LOAD_REPORT_SQL),
@@ -113,6 +135,10 @@ QUERIES = {
         saved_dataset,
         "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(max(o_totalprice), 2) AS largest FROM orders GROUP BY 1",
     ),
+    "arrow_copy": (
+        arrow_copy,
+        "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(max(o_totalprice), 2) AS largest FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+    ),
     "read_auto_detect": (read_auto, "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS max_key FROM orders GROUP BY 1"),
     "mixed_file_load": (mixed_load, MIXED_SQL),
     "needs_string_sniff": (needs_string, NEEDS_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from functools import reduce
@@ -49,9 +50,32 @@ def extension(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1] if "." in name else ""
 
 
+CURRENT = "_current.json"
+
+
+def current_versions(spark: SparkSession, folder: str) -> list[str]:
+    """Versions of a saved dataset, the current one first; none in other folders."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{CURRENT}")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if any(c in folder for c in "*?{[") or not fs.exists(place):
+        return []
+    stream = fs.open(place)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["versions"]
+    finally:
+        stream.close()
+
+
 def read_any(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Folders and .parquet as Parquet, Arrow/Feather files as text columns, anything else as CSV."""
+    """Folders and .parquet as Parquet, Arrow/Feather files as text columns, anything else as CSV.
+
+    The folder of a saved dataset is read at its current version, in the format it was saved in."""
     ext = extension(path)
+    versions = current_versions(spark, path) if not ext else []
+    if versions:
+        path = f"{path.rstrip('/')}/{versions[0]}"
+        ext = ".csv" if "/dataset_csv/" in path else ""
     if ext in ("", ".parquet"):
         df = spark.read.options(**options).parquet(path)
     elif ext in ARROW_EXTENSIONS:

@@ -739,3 +739,32 @@ def test_weighted_percentiles_equal_spark(spark):
 def test_weighted_percentiles_of_a_million_values(spark):
     df = spark.range(1_000_000).selectExpr("id * 0.5 AS v", "1L AS n")
     assert quantiles.weighted(df, [], "v", "n", [0.25, 0.9], "q").first().q == [124999.875, 449999.55]
+
+
+def test_a_failed_write_leaves_the_stored_rows(spark, scratch):
+    folder = writers.dataset_path(scratch, "processed", "kept", "parquet")
+    first = writers.save_dataset(spark.range(3), scratch, "kept")
+    broken = spark.range(10).select(F.when(F.col("id") == 9, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        writers.save_dataset(broken.repartition(2), scratch, "kept")
+    assert readers.read_any(spark, folder).count() == 3 and len(os.listdir(folder)) == len([".crc", "_current.json", "v"])
+    reading = readers.read_any(spark, folder)
+    second = writers.save_dataset(spark.range(5), scratch, "kept")
+    assert reading.count() == 3 and readers.read_any(spark, folder).count() == 5
+    writers.save_dataset(spark.range(6), scratch, "kept")
+    assert not os.path.exists(first) and os.path.exists(second) and readers.read_any(spark, folder).count() == 6
+    writers.save_dataset(spark.range(4), scratch, "kept", fmt="csv")
+    assert readers.read_any(spark, writers.dataset_path(scratch, "processed", "kept", "csv")).count() == 4
+
+
+def test_arrow_files_are_split_pruned_and_filtered(spark, scratch):
+    df = spark.range(1_000).selectExpr("id", "IF(id % 3 = 0, NULL, CAST(id % 5 AS STRING)) AS k", "id * 0.5 AS x").coalesce(1)
+    writers.save_arrow(df, f"{scratch}/a", rows_per_batch=100)
+    back = arrow_source.read(spark, f"{scratch}/a", batches_per_partition=3)
+    assert back.rdd.getNumPartitions() == 4 and back.count() == 1_000
+    remote = arrow_source.read(spark, f"file://{scratch}/a", ["k"], source="true")
+    assert remote.columns == ["__source__", "k"] and remote.first()[0].startswith("file://")
+    for where in ("k = '2'", "k > '2'", "k <= '1'", "k IN ('1', '4')", "k IS NULL", "k IS NOT NULL AND x = '1.0'", "k <=> NULL", "length(k) = 1"):
+        assert back.where(where).count() == df.selectExpr("CAST(id AS STRING) id", "k", "CAST(x AS STRING) x").where(where).count()
+    with pytest.raises(FileExistsError):
+        writers.save_arrow(df, f"{scratch}/a")
