@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +17,7 @@ FUZZY_THRESHOLD = 0.80
 NOT_SET = "Not Set"
 NO_MATCH = "NO MATCH"
 
-MAX_CLOSURE_NAMES = 20_000
+MAX_CLOSURE_NAMES = 2_000
 
 
 def reference_names(reference: DataFrame, name_col: str, order_col: str | None = None) -> DataFrame:
@@ -52,12 +52,59 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def _signature(name: str) -> Column:
+    """A name's characters, each with its number among equal ones: the signature of its character counts."""
+    chars = F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(F.col(name), i, F.lit(1))))
+    chars = F.coalesce(chars, F.array().cast("array<string>"))
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def _prefixed(names: DataFrame, name: str, places: Column, threshold: float) -> DataFrame:
+    """Names with their signature, rarest entries first, and the prefix of it that any similar name must meet."""
+    order = F.array_sort(F.transform(_signature(name), lambda x: F.struct(F.coalesce(F.try_element_at(places, x), F.lit(0).cast("long")).alias("n"), x.alias("x"))))
+    out = names.withColumn("__sig", F.transform(order, lambda e: e["x"]))
+    # 2M/(a+b) >= t and M <= min(a, b) leave b >= a*t/(2-t), hence M >= a*t/(2-t): all but so many entries, and one
+    least = F.ceil(F.size("__sig") * (threshold / (2 - threshold)) - 1e-9).cast("int")
+    prefix = F.slice("__sig", F.lit(1), F.size("__sig") - least + 1)
+    return out.withColumn("__prefix", F.when(F.size("__sig") == 0, F.array(F.lit(""))).otherwise(prefix))
+
+
+def similar_pairs(names: DataFrame, ref: DataFrame, threshold: float) -> DataFrame:
+    """Rows of ``names`` (norm) and ``ref`` (rnorm) whose similarity reaches the threshold, with their score.
+
+    The similarity 2M/(a+b) counts matching characters, and M is at most the overlap of character counts.
+    Pairs meet on a shared prefix entry of their signatures (rarest first) and an admissible length, each
+    in its first one only; those whose whole signatures overlap enough reach the matcher. The counts of
+    signature entries are one map: characters times their most frequent use in a name.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above zero")
+    both = names.select("norm").union(ref.select("rnorm"))
+    uses = both.select(F.explode(_signature("norm")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    found = uses.agg(F.map_from_entries(F.collect_list(F.struct("x", "n")))).scalar()
+    left = _prefixed(names.withColumn("__uses", found), "norm", F.col("__uses"), threshold).drop("__uses")
+    right = _prefixed(ref.withColumn("__uses", found), "rnorm", F.col("__uses"), threshold).drop("__uses")
+    shrink = threshold / (2 - threshold)
+    a = F.size("__sig")
+    lengths = F.sequence(F.ceil(a * shrink - 1e-9).cast("int"), F.floor(a / shrink + 1e-9).cast("int"))
+    left = left.select("norm", F.col("__sig").alias("__lsig"), F.col("__prefix").alias("__lprefix"), F.explode("__prefix").alias("__x"), lengths.alias("__lens"))
+    left = left.withColumn("__len", F.explode("__lens")).drop("__lens")
+    right = right.select(*ref.columns, "__sig", "__prefix", F.explode("__prefix").alias("__x"), F.size("__sig").alias("__len"))
+    met = left.join(right, ["__x", "__len"])
+    total = F.size("__lsig") + F.size("__sig")
+    # array_intersect keeps the left order, in which both prefixes are sorted
+    first = F.array_intersect("__lprefix", "__prefix")[0] == F.col("__x")
+    enough = 2 * F.size(F.array_intersect("__lsig", "__sig")) >= threshold * total - 1e-9
+    met = met.where(first & enough).select("norm", *ref.columns)
+    return met.withColumn("score", similarity("norm", "rnorm")).filter(F.col("score") >= threshold)
+
+
 def fuzzy_matches(unmatched: DataFrame, ref: DataFrame, threshold: float = FUZZY_THRESHOLD, max_closure: int = MAX_CLOSURE_NAMES) -> DataFrame:
     """(norm, fuzzy_name, fuzzy_score) for distinct unmatched names.
 
     The reference list is a catalogue: up to ``max_closure`` names (checked) travel to the tasks with
-    the function. A longer list is matched by an equi-join on admissible name lengths, which cannot
-    lose a match at or above the threshold.
+    the function. A longer list is matched by :func:`similar_pairs`, which cannot lose a match at or above
+    the threshold.
     """
     rows = ref.orderBy("ref_order", "norm").limit(max_closure + 1).collect()
     names = unmatched.select("norm").distinct()
@@ -67,13 +114,7 @@ def fuzzy_matches(unmatched: DataFrame, ref: DataFrame, threshold: float = FUZZY
         return scored.select("norm", F.col("m.name").alias("fuzzy_name"), F.col("m.score").alias("fuzzy_score")).filter(
             F.col("fuzzy_score") >= threshold
         )
-    # ratio = 2M/(a+b) <= 2min(a,b)/(a+b), so lengths outside [a*t/(2-t), a*(2-t)/t] cannot reach t
-    shrink = threshold / (2 - threshold)
-    a = F.length("norm")
-    lengths = F.sequence(F.ceil(a * shrink).cast("int"), F.floor(a / shrink).cast("int"))
-    left = names.withColumn("len", F.explode(lengths))
-    right = ref.select(F.col("norm").alias("rnorm"), "ref_name", "ref_order", F.length("norm").alias("len"))
-    scored = left.join(right, "len").withColumn("score", similarity("norm", "rnorm")).filter(F.col("score") >= threshold)
+    scored = similar_pairs(names, ref.select(F.col("norm").alias("rnorm"), "ref_name", "ref_order"), threshold)
     best = F.min_by(F.struct("ref_name", "score"), F.struct((-F.col("score")).alias("s"), "ref_order", "rnorm"))
     return scored.groupBy("norm").agg(best.alias("b")).select(
         "norm", F.col("b.ref_name").alias("fuzzy_name"), F.col("b.score").alias("fuzzy_score")

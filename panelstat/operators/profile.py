@@ -262,30 +262,27 @@ def select_drugs(
     return kept.select("code")
 
 
-def drug_items(df: DataFrame, key: str, codes: Column, recode_mode: str = "R_vs_nonR", tests_col: str = "tests") -> DataFrame:
-    """(key, item): <CODE>_T for tested and <CODE>_R for resistant drugs of the array ``codes``, built inside the row."""
-    df = df.withColumn("__codes", codes)
-    used = F.filter(F.col(tests_col), lambda t: F.array_contains("__codes", t["code"]))
+def drug_item_array(codes: Column, recode_mode: str = "R_vs_nonR", tests_col: str = "tests") -> Column:
+    """<CODE>_T for tested and <CODE>_R for resistant drugs of the array ``codes``, built inside the row."""
+    used = F.filter(F.col(tests_col), lambda t: F.array_contains(codes, t["code"]))
     hit = lambda t: tokens.resistant_mask(t["outcome"], recode_mode)
     tested = F.transform(used, lambda t: F.concat(t["code"], F.lit("_T")))
     resistant = F.transform(F.filter(used, hit), lambda t: F.concat(t["code"], F.lit("_R")))
-    return df.select(key, F.explode(F.concat(tested, resistant)).alias("item"))
+    return F.concat(tested, resistant)
 
 
-def covariate_items(df: DataFrame, key: str, columns: list[str], min_count: int = 50, max_levels: int = 25) -> DataFrame:
-    """(key, item): "covariate=level" for frequent levels, at most ``max_levels`` per covariate. Runs the level counts."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("covariate"), F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("level"))
-            for c in columns
-        ]
+def level_array(columns: list[str]) -> Column:
+    """(covariate, level) of a row's covariates."""
+    return F.array(
+        *[F.struct(F.lit(c).alias("covariate"), F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("level")) for c in columns]
     )
-    long = df.select(key, F.inline(cells))
-    counts = long.groupBy("covariate", "level").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+
+
+def frequent_levels(df: DataFrame, columns: list[str], min_count: int = 50, max_levels: int = 25) -> DataFrame:
+    """(covariate, level) of frequent levels, at most ``max_levels`` per covariate."""
+    counts = df.select(F.inline(level_array(columns))).groupBy("covariate", "level").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("covariate").orderBy(F.col("n").desc(), "level"))
-    kept = counts.withColumn("rk", rank).filter(F.col("rk") <= max_levels).select("covariate", "level")
-    out = long.join(session.small_side(kept), ["covariate", "level"], "left_semi")
-    return out.select(key, F.concat_ws("=", "covariate", "level").alias("item"))
+    return counts.filter(F.col("n") >= min_count).withColumn("rk", rank).filter(F.col("rk") <= max_levels).select("covariate", "level")
 
 
 def transactions(
@@ -299,18 +296,29 @@ def transactions(
     drop_all_susceptible: bool = False,
     tests_col: str = "tests",
 ) -> DataFrame:
-    """Long transaction items. Items that never occur do not exist in this form. Runs the drug selection."""
+    """Long transaction items. Items that never occur do not exist in this form.
+
+    Runs the drug selection and writes the few columns needed once; items of drugs and covariates are then
+    built in one array a row, with the chosen drugs and levels as two subqueries.
+    """
+    covariates = covariates or []
     chosen = session.checkpoint(drugs.select("code").distinct())
     if chosen.isEmpty():
         raise ValueError("no drug passes the selection; loosen its limits or name drugs to keep")
     codes = chosen.agg(F.array_sort(F.collect_set("code"))).scalar()  # evaluated once, inside the plan
+    rows = df.select(*dict.fromkeys([key, tests_col, *covariates])).withColumn("__codes", codes)
     if drop_all_susceptible:
         hit = lambda t: F.array_contains("__codes", t["code"]) & tokens.resistant_mask(t["outcome"], recode_mode)
-        df = df.withColumn("__codes", codes).filter(F.exists(F.col(tests_col), hit)).drop("__codes")
-    out = drug_items(df, key, codes, recode_mode, tests_col)
-    if covariates:
-        out = out.unionByName(covariate_items(df, key, covariates, min_count, max_levels))
-    return out
+        rows = rows.filter(F.exists(F.col(tests_col), hit))
+    items = drug_item_array(F.col("__codes"), recode_mode, tests_col)
+    if not covariates:
+        return rows.select(key, F.explode(items).alias("item"))
+    shown = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in covariates]
+    rows = session.checkpoint(rows.select(key, *covariates, items.alias("__items")))
+    kept = frequent_levels(rows, covariates, min_count, max_levels).agg(F.collect_set(F.concat_ws("=", "covariate", "level"))).scalar()
+    rows = rows.withColumn("__levels", kept)
+    levels = F.filter(F.array(*shown), lambda x: F.array_contains("__levels", x))
+    return rows.select(key, F.explode(F.concat("__items", levels)).alias("item"))
 
 
 def item_table(items: DataFrame) -> DataFrame:

@@ -320,6 +320,21 @@ def test_fuzzy_paths_agree(spark, sf):
     assert closure and closure == key(drugdims.fuzzy_matches(names, ref, max_closure=0))
 
 
+def test_similar_pairs_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(4)
+    made = {"", "a", "aa", "é😀x", "é😀y"} | {"".join(rng.choice(list("aaabcdeé😀"), rng.integers(1, 14))) for _ in range(160)}
+    made = sorted(made)
+    left, right = made[::2] + ["é😀x", ""], made[1::2] + ["a", ""]
+    names = spark.createDataFrame([(x,) for x in left], "norm string").distinct()
+    ref = spark.createDataFrame([(x, x, i) for i, x in enumerate(sorted(set(right)))], "rnorm string, ref_name string, ref_order int")
+    for t in (0.6, 0.8, 1.0):
+        got = [(r.norm, r.rnorm, r.score) for r in drugdims.similar_pairs(names, ref, t).collect()]
+        expected = {(a, b, SequenceMatcher(None, a, b).ratio()) for a in set(left) for b in set(right)}
+        assert sorted(got) == sorted(e for e in expected if e[2] >= t)
+
+
 def test_class_lookup(spark):
     dim = spark.createDataFrame([("A - a", "X"), ("B - b", "X"), ("C - c", "Y")], "`Full Name` string, Class string")
     assert sorted(r["name"] for r in drugdims.drugs_of(dim, "Class", "X").collect()) == ["A - a", "B - b"]
