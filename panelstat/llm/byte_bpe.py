@@ -43,18 +43,17 @@ MAX_WORDS = 1_000_000
 CHUNK_CHARS = 2_000_000
 MEMORY = "350MB"
 
-# a word's best pair as one number: rank, position, position of the right token (ids below 2 ** 21, words below 2 MB)
-POSITIONS = 1 << 21
+# a word's best pair as one number: rank and position (ids below 2 ** 21, words below 4 TB)
+POSITIONS = 1 << 42
 MERGE_SQL = f"""
 WITH RECURSIVE steps(word, pos, token, step) AS (
   SELECT word, pos, token, 0 FROM start
   UNION ALL
   SELECT s.word, s.pos, CASE WHEN s.pos = b.left_pos THEN b.merged ELSE s.token END, s.step + 1
   FROM steps s JOIN (
-    SELECT word, min(best) // {POSITIONS**2} AS merged, min(best) // {POSITIONS} % {POSITIONS} AS left_pos,
-           min(best) % {POSITIONS} AS right_pos
+    SELECT word, min(best) // {POSITIONS} AS merged, min(best) % {POSITIONS} AS left_pos, arg_min(next_pos, best) AS right_pos
     FROM (
-      SELECT p.word, m.merged::BIGINT * {POSITIONS**2} + p.pos::BIGINT * {POSITIONS} + p.next_pos AS best
+      SELECT p.word, m.merged::BIGINT * {POSITIONS} + p.pos AS best, p.next_pos
       FROM (
         SELECT word, pos, token, lead(token) OVER w AS next_token, lead(pos) OVER w AS next_pos
         FROM steps WHERE step < {STEPS} WINDOW w AS (PARTITION BY word ORDER BY pos)
@@ -112,7 +111,7 @@ class Codec:
         pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         token = self.bytes_[np.frombuffer(b"".join(words), np.uint8)]
         while len(word):
-            self.db.register("start", pa.table({"word": word.astype(np.int32), "pos": pos.astype(np.int32), "token": token}))
+            self.db.register("start", pa.table({"word": word.astype(np.int32), "pos": pos.astype(np.int64), "token": token}))
             got = self.db.execute(MERGE_SQL).fetchnumpy()
             self.db.unregister("start")
             word, pos, token, step = (np.asarray(got[c]) for c in ("word", "pos", "token", "step"))

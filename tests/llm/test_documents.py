@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -376,6 +377,20 @@ def test_golomb_round_trip(values):
 # op8
 
 
+def test_byte_bpe_merges_far_beyond_two_mebibytes():
+    codec = byte_bpe.codec(RANKS)
+    word = b" international"
+    near = codec._merge([word])[0]
+    for start in (0, 1 << 21, (1 << 31) + 5):
+        token = pa.array(codec.bytes_[np.frombuffer(word, np.uint8)])
+        pos = pa.array(np.arange(start, start + len(word)))
+        codec.db.register("start", pa.table({"word": pa.array([0] * len(word), pa.int32()), "pos": pos, "token": token}))
+        got = codec.db.execute(byte_bpe.MERGE_SQL + " ORDER BY step DESC, pos").fetchall()
+        codec.db.unregister("start")
+        last = [t for _, _, t, step in got if step == got[0][3]]
+        assert np.array(last, "<u4").tobytes() == near
+
+
 def test_byte_bpe_matches_the_library_and_decodes(docs):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     expected = Counter()
