@@ -1,16 +1,19 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 The network predicts a word from `REACH` words on either side: h = tanh(sum of the position's
-embeddings of the neighbours + bias), then a class of words and a word of that class, each by softmax.
-A document's score is the sum over its words of the log-probability of each word given both sides.
+embeddings of the neighbours + bias), then walks a tree of LEVELS levels over the words in order of
+their counts, with one softmax over a node's children a level; a level has about the cube root of the
+vocabulary as children, so the work of a word hardly grows with the vocabulary. A document's score is the sum over its words of the log-probability of each word given both sides.
 
 1. Words (A-Z lower-cased, split at white space, known by 64-bit hashes) are counted over the whole corpus, within tasks first.
    The most frequent become the vocabulary, which grows with the square root of the words counted. All
    others share hash buckets, and a word has that part of its bucket's probability which its count has
    of the bucket's. These parts stay a table, joined to the words of each text that it concerns.
+   The texts are written once as ids of words; all later passes read these.
 2. Training takes every word of every document as a target: a hash of document and position deals the
    positions to `mask_every` turns, one a round. In each round every task starts from the same weights
-   and runs Adagrad over its own documents, in batches that grow from FIRST_BATCH to BATCH; the weights
+   and runs Adagrad over its own documents, in batches that grow from FIRST_BATCH to BATCH, each of which
+   updates only the rows of the tables that it touches; the weights
    are averaged by the number of targets, in two steps so that no task gathers those of all tasks. A
    round also measures the loss of the weights it starts from on its targets in a part of the documents,
    which no round of the first cycle trained on before. Rounds go on until all turns were taken and the
@@ -38,8 +41,9 @@ from panelstat.llm.word_hashes import hashed_texts
 from panelstat.session import checkpoint
 
 CLASSES = 32
-MEMBERS = 32
-SIZE = CLASSES * MEMBERS
+SIZE = CLASSES**2
+LEVELS = 3
+NO_CHILD = -1e4  # bias of a child that stands for no word: its share is zero, so it never moves
 BUCKETS = 256
 REACH = 2
 HIDDEN = 16
@@ -50,12 +54,14 @@ BATCH = 8_192
 SETTLED = 0.01
 MEASURED_EVERY = 16
 SLICE = 16_384
+BLOCK = 65_536
 MAX_COUNTED = 2_000_000
 PIECE = 4_096
 FAN_IN = 64
 
+
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the most frequent words, their ranks, the classes (and words of each), the buckets of other words."""
+    """Sorted hashes of the most frequent words, their ranks, the root of the number of ids, the buckets of other words."""
 
     known: np.ndarray
     rank: np.ndarray
@@ -67,19 +73,26 @@ class Vocabulary(NamedTuple):
         return self.classes**2 - self.buckets
 
 
+def fan_out(classes: int) -> int:
+    """Children of a node of the tree over classes ** 2 ids."""
+    fan = round(classes ** (2 / LEVELS))
+    return fan if fan**LEVELS >= classes**2 else fan + 1
+
+
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    return {
+    fan = fan_out(classes)
+    out = {
         "embedding": (len(OFFSETS), classes**2 + 1, HIDDEN),  # the last row is that of the padding word
         "bias": (HIDDEN,),
-        "class_w": (HIDDEN, classes),
-        "class_b": (classes,),
-        "word_w": (classes, HIDDEN, classes),
-        "word_b": (classes, classes),
     }
+    for level in range(LEVELS):
+        nodes = -(-(classes**2) // fan ** (LEVELS - level))
+        out |= {f"node_w{level}": (nodes, HIDDEN, fan), f"node_b{level}": (nodes, fan)}
+    return out
 
 
 def classes_for(words: int) -> int:
-    """Classes of a vocabulary of about the square root of the words counted, at least CLASSES."""
+    """Root of the number of ids, which is about the square root of the words counted; at least CLASSES."""
     return max(CLASSES, 8 * int(np.ceil(words**0.25 / 8)))
 
 
@@ -100,86 +113,141 @@ def _order(ids: np.ndarray, size: int) -> np.ndarray:
 
 def start_weights(classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(4)
-    return {
-        k: (0.1 * rng.standard_normal(s) if len(s) > 1 and not k.endswith("_b") else np.zeros(s)).astype(np.float32)
+    out = {
+        k: (np.zeros(s) if k.startswith(("bias", "node_b")) else 0.1 * rng.standard_normal(s)).astype(np.float32)
         for k, s in shapes(classes).items()
     }
+    for level in range(LEVELS):
+        bias = out[f"node_b{level}"]
+        # a child's first word
+        first = np.arange(bias.size) * fan_out(classes) ** (LEVELS - 1 - level)
+        bias.reshape(-1)[first >= classes**2] = NO_CHILD
+    return out
 
 
-def windows(ids: np.ndarray, at: np.ndarray, pad: int = PAD) -> np.ndarray:
-    """Neighbour ids (one row per offset) of the words at the given positions."""
-    padded = np.full(len(ids) + 2 * REACH, pad, np.int32)
-    padded[REACH : REACH + len(ids)] = ids
-    return np.stack([padded[at + REACH + d] for d in OFFSETS])
+class Block(NamedTuple):
+    """Words of some texts, with REACH padding words before, between and after the texts."""
+
+    padded: np.ndarray
+    at: np.ndarray  # place of each word in `padded`
+    doc: np.ndarray  # text of each word
+    place: np.ndarray  # place of each word in its text
+
+    def windows(self, some: np.ndarray | slice) -> np.ndarray:
+        """Neighbour ids (one row per offset) of the given words."""
+        at = self.at[some]
+        return np.stack([self.padded[at + d] for d in OFFSETS])
+
+
+def block(ids: np.ndarray, sizes: np.ndarray, pad: int = PAD) -> Block:
+    """Of the texts whose ids follow one another in `ids`."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    every = np.arange(len(ids))
+    at = every + REACH * (doc + 1)
+    padded = np.full(len(ids) + REACH * (len(sizes) + 1), pad, np.int32)
+    padded[at] = ids
+    return Block(padded, at, doc, every - np.repeat(np.cumsum(sizes) - sizes, sizes))
 
 
 def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
-    total = w["embedding"][0][around[0]] + w["bias"]
+    total = w["embedding"][0].take(around[0], axis=0)
     for j in range(1, len(OFFSETS)):
-        total += w["embedding"][j][around[j]]
-    return np.tanh(total)
+        total += w["embedding"][j].take(around[j], axis=0)
+    total += w["bias"]
+    return np.tanh(total, out=total)
+
 
+def _powers(z: np.ndarray) -> np.ndarray:
+    """Turns rows into their exponentials and returns the sums."""
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+
+def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z /= _powers(z)[:, None]
     return z
 
 
 def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log-softmax of each row at the chosen column."""
-    top = z.max(axis=1)
-    out = z[np.arange(len(z)), chosen] - top
-    z -= top[:, None]
-    return out - np.log(np.exp(z, out=z).sum(axis=1))
+    z -= z.max(axis=1, keepdims=True)
+    out = z[np.arange(len(z)), chosen]
+    return out - np.log(_powers(z))
+
+
+def _runs(nodes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The distinct nodes of a sorted array, and each node with its first row and the row after its last."""
+    first = np.flatnonzero(np.diff(nodes, prepend=-1))
+    found = nodes[first]
+    return found, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(nodes)]))
+
+
+def _walk(w: dict, h: np.ndarray, target: np.ndarray):
+    """Per level, for rows sorted by target: scores of the children, the child taken, the distinct nodes and their runs."""
+    fan = w["node_b0"].shape[1]
+    for level in range(LEVELS):
+        below = fan ** (LEVELS - 1 - level)
+        child = target // below
+        node = child // fan
+        found, runs = _runs(node)
+        weights = w[f"node_w{level}"]
+        z = np.empty((len(h), fan), h.dtype)
+        for k, start, stop in runs:
+            np.dot(h[start:stop], weights[k], out=z[start:stop])
+        z += w[f"node_b{level}"].take(node, axis=0)
+        yield level, z, child - node * fan, found, runs
 
 
 def log_probabilities(w: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of each target id given its neighbours."""
-    h = _hidden(w, around)
-    classes, members = w["word_b"].shape
-    kind, member = np.divmod(target, members)
-    out = _log_share(h @ w["class_w"] + w["class_b"], kind)
-    order = _order(kind, classes)
-    stops = np.searchsorted(kind[order], np.arange(classes + 1))
-    sorted_h, sorted_member, inner = h[order], member[order], np.empty(len(target), np.float32)
-    for c in range(classes):
-        some = slice(stops[c], stops[c + 1])
-        if stops[c] < stops[c + 1]:
-            inner[some] = _log_share(sorted_h[some] @ w["word_w"][c] + w["word_b"][c], sorted_member[some])
-    out[order] += inner
+    order = _order(target, w["embedding"].shape[1])
+    target = target[order]
+    total = np.zeros(len(target), w["bias"].dtype)
+    for _, z, child, _, _ in _walk(w, _hidden(w, around[:, order]), target):
+        total += _log_share(z, child)
+    out = np.empty_like(total)
+    out[order] = total
     return out
 
 
-def gradients(w: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log-probability."""
+def sparse_gradients(w: dict, around: np.ndarray, target: np.ndarray):
+    """Of the mean negative log-probability: (name, index, values) of the rows that are not zero, each row once."""
     n = len(target)
+    size = w["embedding"].shape[1]
+    order = _order(target, size)
+    around, target = around[:, order], target[order]
     h = _hidden(w, around)
-    classes, members = w["word_b"].shape
-    kind, member = np.divmod(target, members)
-    out = {k: np.zeros(v.shape, np.float32) for k, v in w.items()}
-    slope = np.exp(_log_softmax(h @ w["class_w"] + w["class_b"]))
-    slope[np.arange(n), kind] -= 1
-    slope /= n
-    out["class_w"], out["class_b"] = h.T @ slope, slope.sum(axis=0)
-    back = slope @ w["class_w"].T
-    order = _order(kind, classes)
-    stops = np.searchsorted(kind[order], np.arange(classes + 1))
-    for c in range(classes):
-        rows = order[stops[c] : stops[c + 1]]
-        if len(rows):
-            slope = np.exp(_log_softmax(h[rows] @ w["word_w"][c] + w["word_b"][c]))
-            slope[np.arange(len(rows)), member[rows]] -= 1
-            slope /= n
-            out["word_w"][c], out["word_b"][c] = h[rows].T @ slope, slope.sum(axis=0)
-            back[rows] += slope @ w["word_w"][c].T
+    back = np.zeros_like(h)
+    every = np.arange(n)
+    out = []
+    for level, slope, child, found, runs in _walk(w, h, target):
+        _softmax(slope)
+        slope[every, child] -= 1
+        slope /= n
+        weights = w[f"node_w{level}"]
+        grown = np.empty((len(found), *weights.shape[1:]), h.dtype)
+        for i, (k, start, stop) in enumerate(runs):
+            some = slope[start:stop]
+            np.dot(h[start:stop].T, some, out=grown[i])
+            back[start:stop] += np.dot(some, weights[k].T)
+        out.append((f"node_w{level}", found, grown))
+        out.append((f"node_b{level}", found, np.add.reduceat(slope, [r[1] for r in runs], axis=0)))
     back *= 1 - h * h
-    out["bias"] = back.sum(axis=0)
+    out.append(("bias", slice(None), back.sum(axis=0)))
     for j in range(len(OFFSETS)):
-        order = _order(around[j], classes * members)
+        order = _order(around[j], size)
         ids = around[j][order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
-        out["embedding"][j][ids[first]] = np.add.reduceat(back[order], first, axis=0)
+        out.append(("embedding", (j, ids[first]), np.add.reduceat(back.take(order, axis=0), first, axis=0)))
+    return out
+
+
+def gradients(w: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    """`sparse_gradients` as whole tables."""
+    out = {k: np.zeros_like(v) for k, v in w.items()}
+    for k, at, values in sparse_gradients(w, around, target):
+        out[k][at] = values
     return out
 
 
@@ -208,21 +276,21 @@ class Trainer:
         at = 0
         while at < len(target):
             some = slice(at, at + self.batch)
-            for k, g in gradients(self.w, around[:, some], target[some]).items():
-                self.square[k] += g * g
-                self.w[k] -= self.rate * g / np.sqrt(self.square[k])
+            for k, rows, g in sparse_gradients(self.w, around[:, some], target[some]):
+                square = self.square[k][rows] + g * g
+                self.square[k][rows] = square
+                self.w[k][rows] -= self.rate * g / np.sqrt(square)
             at += self.batch
             self.batch = min(BATCH, self.batch + self.batch // 4)
         self.seen += len(target)
         self.around, self.target, self.held = [], [], 0
 
 
-def masked(n: int, doc: int, turn: int, every: int) -> np.ndarray:
-    """Targets of this round: positions whose hash with the document is the turn modulo `every`, each in one turn of a cycle."""
-    seed = np.uint64(doc * 0x9E3779B97F4A7C15 % 2**64)
-    x = np.arange(n, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + seed
+def masked(place: np.ndarray, seed: np.ndarray, turn: int, every: int) -> np.ndarray:
+    """Targets of this round: words whose place, hashed with the seed of their text, deals them this turn, each one turn of a cycle."""
+    x = place.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + seed
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.flatnonzero((x >> np.uint64(33)) % np.uint64(every) == turn % every)
+    return np.flatnonzero((x >> np.uint64(32)) * np.uint64(every) >> np.uint64(32) == turn % every)
 
 
 def _count_words(batches):
@@ -262,22 +330,60 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(known[order], order.astype(np.int32), classes, buckets), checkpoint(parts)
 
 
-def _train(words: Vocabulary, weights: dict, turn: int, every: int, rate: float):
+def _code(words: Vocabulary):
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids, others = [], []
+            for hashes in hashed_texts(batch.column("text")):
+                ids.append(to_ids(hashes, words))
+                others.append(hashes[ids[-1] >= words.top].view(np.int64))
+            rows, seeds = np.arange(row, row + len(ids)), [zlib.crc32(i.tobytes()) for i in ids]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), batch.column("doc_id"), pa.array(seeds, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.int64()))],
+                ["row", "doc_id", "seed", "ids", "others"],
+            )
+
+    return run
+
+
+def coded(texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """A written table of the ids of each text's words, a hash of them, and the hashes of words outside the vocabulary."""
+    return checkpoint(texts.mapInArrow(_code(words), "row long, doc_id long, seed long, ids array<int>, others array<long>"))
+
+
+def _blocks(batch: pa.RecordBatch, pad: int):
+    """(block, first row, row after the last) of runs of texts of at most BLOCK words, or of one longer text."""
+    column = batch.column("ids")
+    ends = column.offsets.to_numpy()
+    ids = column.values.to_numpy()
+    at = 0
+    while at < len(batch):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, side="right")) - 1)
+        yield block(ids[ends[at] : ends[upto]], np.diff(ends[at : upto + 1]), pad), at, upto
+        at = upto
+
+
+def _train(weights: dict, classes: int, turn: int, every: int, rate: float):
     def run(batches):
         trainer = Trainer(weights, rate)
         loss, measured = 0.0, 0
         for batch in batches:
-            for hashes in hashed_texts(batch.column("text")):
-                ids = to_ids(hashes, words)
-                doc = zlib.crc32(ids.tobytes())
-                at = masked(len(ids), doc, turn, every)
+            seeds = batch.column("seed").to_numpy().astype(np.uint64)
+            for texts, start, stop in _blocks(batch, classes**2):
+                seed = seeds[start:stop]
+                mixed = seed * np.uint64(0x9E3779B97F4A7C15)
+                at = masked(texts.place, mixed[texts.doc], turn, every)
+                heard = (seed % np.uint64(MEASURED_EVERY) == 0)[texts.doc[at]]
                 for k in range(0, len(at), SLICE):
                     some = at[k : k + SLICE]
-                    around = windows(ids, some, words.classes**2)
-                    trainer.add(around, ids[some])
-                    if doc % MEASURED_EVERY == 0:
-                        loss -= float(log_probabilities(weights, around, ids[some]).sum(dtype=np.float64))
-                        measured += len(some)
+                    around, target = texts.windows(some), texts.padded[texts.at[some]]
+                    trainer.add(around, target)
+                    told = heard[k : k + SLICE]
+                    if told.any():
+                        loss -= float(log_probabilities(weights, around[:, told], target[told]).sum(dtype=np.float64))
+                        measured += int(told.sum())
         trainer.flush()
         if trainer.seen:
             flat = np.concatenate([v.ravel() for v in trainer.w.values()]) * np.float64(trainer.seen)
@@ -310,14 +416,14 @@ def _add_up(rows: pa.Table) -> pa.Table:
 SUM_SCHEMA = "piece int, part int, seen double, sums array<float>"
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int | None = None, mask_every: int = 4, rate: float = 0.05) -> dict[str, np.ndarray]:
-    """Weights after `rounds` rounds, or by default once every position was a target and the loss has settled.
+def train(texts: DataFrame, words: Vocabulary, rounds: int | None = None, mask_every: int = 4, rate: float = 0.05) -> dict[str, np.ndarray]:
+    """Weights from coded texts after `rounds` rounds, or by default once every position was a target and the loss has settled.
     Runs a job per round."""
     weights = start_weights(words.classes)
     losses: list[float] = []
     turn = 0
     while turn != rounds:
-        sums = docs.select("text").mapInArrow(_train(words, weights, turn, mask_every, rate), SUM_SCHEMA)
+        sums = texts.select("seed", "ids").mapInArrow(_train(weights, words.classes, turn, mask_every, rate), SUM_SCHEMA)
         some = sums.groupBy("piece", F.floor(F.col("part") / FAN_IN)).applyInArrow(lambda key, t: _add_up(t), SUM_SCHEMA)
         rows = some.groupBy("piece").applyInArrow(_add_up, SUM_SCHEMA).collect()
         turn += 1
@@ -340,47 +446,21 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int | None = None, mask_ev
     return weights
 
 
-def _score(words: Vocabulary, weights: dict):
+def _score(weights: dict, classes: int):
     def run(batches):
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sums, counts, others = [], [], []
-            held: list[np.ndarray] = []
-            sizes: list[int] = []
-
-            def done():
-                """Scores of the texts held, in one go."""
-                if not sizes:
-                    return
-                target = np.concatenate(held)
-                around = np.concatenate([windows(i, np.arange(len(i)), words.classes**2) for i in held], axis=1)
-                logs = np.empty(len(target))
-                for k in range(0, len(target), SLICE):
+            sums = np.zeros(len(batch))
+            for texts, start, stop in _blocks(batch, classes**2):
+                n = len(texts.at)
+                logs = np.empty(n)
+                for k in range(0, n, SLICE):
                     some = slice(k, k + SLICE)
-                    logs[some] = log_probabilities(weights, around[:, some], target[some])
-                ends = np.cumsum(sizes)
-                total = np.concatenate([[0.0], np.cumsum(logs)])
-                sums.extend(total[ends] - total[ends - np.array(sizes)])
-                counts.extend(sizes)
-                held.clear()
-                sizes.clear()
-
-            pending = 0
-            for hashes in hashed_texts(batch.column("text")):
-                ids = to_ids(hashes, words)
-                held.append(ids)
-                sizes.append(len(ids))
-                others.append(hashes[ids >= words.top].view(np.int64))
-                pending += len(ids)
-                if pending > 4 * SLICE:
-                    pending = 0
-                    done()
-            done()
-            rows = pa.array(np.arange(row, row + len(counts)))
-            row += len(counts)
+                    logs[some] = log_probabilities(weights, texts.windows(some), texts.padded[texts.at[some]])
+                sums[start:stop] = np.bincount(texts.doc, logs, stop - start)
+            counts = np.diff(batch.column("ids").offsets.to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.int64()))],
-                ["row", "doc_id", "n_words", "score", "others"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums)],
+                ["row", "doc_id", "n_words", "score"],
             )
 
     return run
@@ -388,14 +468,15 @@ def _score(words: Vocabulary, weights: dict):
 
 def score(docs: DataFrame, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, score, mean_score) per row: the summed log-probability and its mean per word.
-    Runs the counting and training jobs."""
+    Runs the counting, coding and training jobs."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     words, parts = vocabulary(texts)
-    weights = train(texts, words, rounds)
-    scored = checkpoint(
-        texts.mapInArrow(_score(words, weights), "row long, doc_id long, n_words long, score double, others array<long>")
+    written = coded(texts, words)
+    weights = train(written, words, rounds)
+    scored = written.select("row", "doc_id", "ids").mapInArrow(
+        _score(weights, words.classes), "row long, doc_id long, n_words long, score double"
     )
-    shares = scored.select("row", F.explode("others").alias("word")).join(parts, "word").groupBy("row").agg(F.sum("log_part").alias("part"))
-    scored = scored.drop("others").join(shares, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
+    shares = written.select("row", F.explode("others").alias("word")).join(parts, "word").groupBy("row").agg(F.sum("log_part").alias("part"))
+    scored = scored.join(shares, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
     return scored.select("doc_id", "n_words", "score", mean.alias("mean_score"))

@@ -268,6 +268,47 @@ def test_gradients_are_those_of_the_loss():
         assert abs((loss[0] - loss[1]) / 2e-3 - got[k][at]) < 2e-3
 
 
+def test_updates_are_those_of_whole_tables():
+    """Rows that a batch does not touch stay, whatever the number of ids does to the tree."""
+    rng = np.random.default_rng(1)
+    for classes in (2, 7, lm_scoring.CLASSES):
+        start, size = lm_scoring.start_weights(classes), classes**2
+        around, target = rng.integers(0, size + 1, (4, 200)), rng.integers(0, size, 200)
+        trainer = lm_scoring.Trainer(start, 0.05)
+        trainer.add(around, target)
+        trainer.flush()
+        for k, g in lm_scoring.gradients(start, around, target).items():
+            assert np.allclose(trainer.w[k], start[k] - 0.05 * g / np.sqrt(1e-6 + g * g), atol=1e-5)
+        every = np.arange(size)
+        total = np.exp(lm_scoring.log_probabilities(trainer.w, np.repeat(around[:, :1], size, axis=1), every)).sum()
+        assert abs(total - 1) < 1e-3
+
+
+def test_scores_are_those_of_each_word_by_its_window(spark):
+    """Brute force, word by word and without blocks, over texts of all lengths, repeated rows and clashing columns."""
+    import pyarrow as pa
+
+    texts = ["", None, " ", "a", "a b", "c a b a " * 40_000, "x y z", "x y z", "b " * 7]
+    docs = spark.createDataFrame([(i, t, 0, 0, 0, 0) for i, t in enumerate(texts)], "doc_id long, text string, row int, ids int, seed int, others int")
+    vocabulary, _ = lm_scoring.vocabulary(docs)
+    weights = lm_scoring.train(lm_scoring.coded(docs, vocabulary), vocabulary, 2)
+    scored = lm_scoring.coded(docs, vocabulary).mapInArrow(
+        lm_scoring._score(weights, vocabulary.classes), "row long, doc_id long, n_words long, score double"
+    )
+    got = {r.doc_id: r for r in scored.collect()}
+    for i, hashes in enumerate(hashed_texts(pa.array(texts))):
+        ids = lm_scoring.to_ids(hashes, vocabulary)
+        padded = [lm_scoring.PAD] * 2 + ids.tolist() + [lm_scoring.PAD] * 2
+        seen, total = {}, 0.0
+        for k, word in enumerate(ids.tolist()):
+            window = (*padded[k : k + 2], *padded[k + 3 : k + 5], word)
+            if window not in seen:
+                seen[window] = lm_scoring.log_probabilities(weights, np.array(window[:4])[:, None], np.array([word]))[0]
+            total += float(seen[window])
+        assert got[i].n_words == len(ids) and abs(got[i].score - total) <= 1e-4 * max(1, abs(total))
+    assert got[6].score == got[7].score
+
+
 def test_probabilities_sum_to_one():
     w, around = lm_scoring.start_weights(), np.array([[1], [2], [3], [lm_scoring.PAD]])
     every = np.arange(lm_scoring.SIZE)
@@ -301,7 +342,8 @@ def test_scores_prefer_text_in_order(spark):
 
 def test_every_position_is_a_target_in_each_cycle():
     for n in (0, 1, 1_000):
-        taken = np.concatenate([lm_scoring.masked(n, 77, turn, 4) for turn in range(4, 8)])
+        seed = np.full(n, 77, np.uint64)
+        taken = np.concatenate([lm_scoring.masked(np.arange(n), seed, turn, 4) for turn in range(4, 8)])
         assert sorted(taken.tolist()) == list(range(n))
 
 
