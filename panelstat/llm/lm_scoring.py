@@ -2,8 +2,8 @@
 
 The network predicts a word from `REACH` words on either side: h = tanh(sum of the position's
 embeddings of the neighbours + bias), then walks a tree of LEVELS levels over the words in order of
-their counts, with one softmax over a node's children a level; a level has about the cube root of the
-vocabulary as children, so the work of a word hardly grows with the vocabulary. A document's score is the sum over its words of the log-probability of each word given both sides.
+their counts, with one softmax over a node's children a level; a node has about the cube root of
+the vocabulary as children, so the work of a word hardly grows with the vocabulary. A document's score is the sum over its words of the log-probability of each word given both sides.
 
 1. Words (A-Z lower-cased, split at white space, known by 64-bit hashes) are counted over the whole corpus, within tasks first.
    The most frequent become the vocabulary, which grows with the square root of the words counted. All
@@ -28,6 +28,7 @@ empty table returns none; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from typing import NamedTuple
 
@@ -73,21 +74,21 @@ class Vocabulary(NamedTuple):
         return self.classes**2 - self.buckets
 
 
-def fan_out(classes: int) -> int:
-    """Children of a node of the tree over classes ** 2 ids."""
-    fan = round(classes ** (2 / LEVELS))
-    return fan if fan**LEVELS >= classes**2 else fan + 1
+def fan_outs(classes: int) -> list[int]:
+    """Children of a node of each level of the tree over classes ** 2 ids; twice as many in the last, whose nodes have few words of a batch each."""
+    fan = int(np.ceil((classes**2 / 2) ** (1 / LEVELS)))
+    return [fan] * (LEVELS - 1) + [2 * fan]
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    fan = fan_out(classes)
+    fans = fan_outs(classes)
     out = {
         "embedding": (len(OFFSETS), classes**2 + 1, HIDDEN),  # the last row is that of the padding word
         "bias": (HIDDEN,),
     }
     for level in range(LEVELS):
-        nodes = -(-(classes**2) // fan ** (LEVELS - level))
-        out |= {f"node_w{level}": (nodes, HIDDEN, fan), f"node_b{level}": (nodes, fan)}
+        nodes = -(-(classes**2) // math.prod(fans[level:]))
+        out[f"node{level}"] = (nodes, HIDDEN + 1, fans[level])  # the last row holds the children's biases
     return out
 
 
@@ -114,14 +115,14 @@ def _order(ids: np.ndarray, size: int) -> np.ndarray:
 def start_weights(classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(4)
     out = {
-        k: (np.zeros(s) if k.startswith(("bias", "node_b")) else 0.1 * rng.standard_normal(s)).astype(np.float32)
+        k: (0.1 * rng.standard_normal(s) if len(s) > 1 else np.zeros(s)).astype(np.float32)
         for k, s in shapes(classes).items()
     }
     for level in range(LEVELS):
-        bias = out[f"node_b{level}"]
+        nodes, _, fan = out[f"node{level}"].shape
         # a child's first word
-        first = np.arange(bias.size) * fan_out(classes) ** (LEVELS - 1 - level)
-        bias.reshape(-1)[first >= classes**2] = NO_CHILD
+        first = np.arange(nodes * fan).reshape(nodes, fan) * math.prod(fan_outs(classes)[level + 1 :])
+        out[f"node{level}"][:, HIDDEN] = np.where(first < classes**2, np.float32(0), np.float32(NO_CHILD))
     return out
 
 
@@ -141,12 +142,12 @@ class Block(NamedTuple):
 
 def block(ids: np.ndarray, sizes: np.ndarray, pad: int = PAD) -> Block:
     """Of the texts whose ids follow one another in `ids`."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    every = np.arange(len(ids))
-    at = every + REACH * (doc + 1)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    every = np.arange(len(ids), dtype=np.int32)
+    at = every + np.int32(REACH) * (doc + np.int32(1))
     padded = np.full(len(ids) + REACH * (len(sizes) + 1), pad, np.int32)
     padded[at] = ids
-    return Block(padded, at, doc, every - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    return Block(padded, at, doc, every - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes))
 
 
 def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
@@ -154,7 +155,9 @@ def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
     for j in range(1, len(OFFSETS)):
         total += w["embedding"][j].take(around[j], axis=0)
     total += w["bias"]
-    return np.tanh(total, out=total)
+    h = np.ones((len(total), HIDDEN + 1), total.dtype)  # the last column takes the biases
+    np.tanh(total, out=h[:, :HIDDEN])
+    return h
 
 
 def _powers(z: np.ndarray) -> np.ndarray:
@@ -185,17 +188,16 @@ def _runs(nodes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 
 def _walk(w: dict, h: np.ndarray, target: np.ndarray):
     """Per level, for rows sorted by target: scores of the children, the child taken, the distinct nodes and their runs."""
-    fan = w["node_b0"].shape[1]
+    fans = [w[f"node{level}"].shape[2] for level in range(LEVELS)]
     for level in range(LEVELS):
-        below = fan ** (LEVELS - 1 - level)
-        child = target // below
+        fan = fans[level]
+        child = target // math.prod(fans[level + 1 :])
         node = child // fan
         found, runs = _runs(node)
-        weights = w[f"node_w{level}"]
+        weights = w[f"node{level}"]
         z = np.empty((len(h), fan), h.dtype)
         for k, start, stop in runs:
             np.dot(h[start:stop], weights[k], out=z[start:stop])
-        z += w[f"node_b{level}"].take(node, axis=0)
         yield level, z, child - node * fan, found, runs
 
 
@@ -218,22 +220,24 @@ def sparse_gradients(w: dict, around: np.ndarray, target: np.ndarray):
     order = _order(target, size)
     around, target = around[:, order], target[order]
     h = _hidden(w, around)
-    back = np.zeros_like(h)
+    back, part = np.zeros_like(h), np.empty_like(h)
     every = np.arange(n)
     out = []
     for level, slope, child, found, runs in _walk(w, h, target):
         _softmax(slope)
         slope[every, child] -= 1
         slope /= n
-        weights = w[f"node_w{level}"]
+        weights = w[f"node{level}"]
+        turned = weights.transpose(0, 2, 1)
         grown = np.empty((len(found), *weights.shape[1:]), h.dtype)
         for i, (k, start, stop) in enumerate(runs):
             some = slope[start:stop]
             np.dot(h[start:stop].T, some, out=grown[i])
-            back[start:stop] += np.dot(some, weights[k].T)
-        out.append((f"node_w{level}", found, grown))
-        out.append((f"node_b{level}", found, np.add.reduceat(slope, [r[1] for r in runs], axis=0)))
-    back *= 1 - h * h
+            np.dot(some, turned[k], out=part[start:stop])
+        back += part
+        out.append((f"node{level}", found, grown))
+    h *= h
+    back = np.ascontiguousarray((back * (1 - h))[:, :HIDDEN])
     out.append(("bias", slice(None), back.sum(axis=0)))
     for j in range(len(OFFSETS)):
         order = _order(around[j], size)
@@ -279,7 +283,9 @@ class Trainer:
             for k, rows, g in sparse_gradients(self.w, around[:, some], target[some]):
                 square = self.square[k][rows] + g * g
                 self.square[k][rows] = square
-                self.w[k][rows] -= self.rate * g / np.sqrt(square)
+                g *= self.rate
+                g /= np.sqrt(square, out=square)
+                self.w[k][rows] -= g
             at += self.batch
             self.batch = min(BATCH, self.batch + self.batch // 4)
         self.seen += len(target)
@@ -330,7 +336,18 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(known[order], order.astype(np.int32), classes, buckets), checkpoint(parts)
 
 
+def width(classes: int) -> int:
+    """Bytes of an id in the written table."""
+    return ((classes**2 - 1).bit_length() + 7) // 8
+
+
+def _bytes(ids: np.ndarray, wide: int) -> bytes:
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
+
+
 def _code(words: Vocabulary):
+    wide = width(words.classes)
+
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -341,7 +358,7 @@ def _code(words: Vocabulary):
             rows, seeds = np.arange(row, row + len(ids)), [zlib.crc32(i.tobytes()) for i in ids]
             row += len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch.column("doc_id"), pa.array(seeds, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.int64()))],
+                [pa.array(rows), batch.column("doc_id"), pa.array(seeds, pa.int64()), pa.array([_bytes(i, wide) for i in ids], pa.binary()), pa.array(others, pa.list_(pa.int64()))],
                 ["row", "doc_id", "seed", "ids", "others"],
             )
 
@@ -350,18 +367,30 @@ def _code(words: Vocabulary):
 
 def coded(texts: DataFrame, words: Vocabulary) -> DataFrame:
     """A written table of the ids of each text's words, a hash of them, and the hashes of words outside the vocabulary."""
-    return checkpoint(texts.mapInArrow(_code(words), "row long, doc_id long, seed long, ids array<int>, others array<long>"))
+    return checkpoint(texts.mapInArrow(_code(words), "row long, doc_id long, seed long, ids binary, others array<long>"))
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the byte strings of a column, the first one's start before them, and the bytes."""
+    column = column.cast(pa.large_binary())
+    _, offsets, values = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return ends, np.frombuffer(values, np.uint8, int(ends[-1])) if values is not None else np.empty(0, np.uint8)
 
 
-def _blocks(batch: pa.RecordBatch, pad: int):
+def _blocks(batch: pa.RecordBatch, classes: int):
     """(block, first row, row after the last) of runs of texts of at most BLOCK words, or of one longer text."""
-    column = batch.column("ids")
-    ends = column.offsets.to_numpy()
-    ids = column.values.to_numpy()
+    ends, values = _values(batch.column("ids"))
+    wide = width(classes)
+    ends = ends // wide
+    # `values` starts with other rows' where the batch is a slice
+    ids = np.zeros((len(values) // wide, 4), np.uint8)
+    ids[:, :wide] = values.reshape(-1, wide)
+    ids = ids.view("<u4").ravel()
     at = 0
     while at < len(batch):
         upto = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, side="right")) - 1)
-        yield block(ids[ends[at] : ends[upto]], np.diff(ends[at : upto + 1]), pad), at, upto
+        yield block(ids[ends[at] : ends[upto]], np.diff(ends[at : upto + 1]), classes**2), at, upto
         at = upto
 
 
@@ -371,7 +400,7 @@ def _train(weights: dict, classes: int, turn: int, every: int, rate: float):
         loss, measured = 0.0, 0
         for batch in batches:
             seeds = batch.column("seed").to_numpy().astype(np.uint64)
-            for texts, start, stop in _blocks(batch, classes**2):
+            for texts, start, stop in _blocks(batch, classes):
                 seed = seeds[start:stop]
                 mixed = seed * np.uint64(0x9E3779B97F4A7C15)
                 at = masked(texts.place, mixed[texts.doc], turn, every)
@@ -450,14 +479,14 @@ def _score(weights: dict, classes: int):
     def run(batches):
         for batch in batches:
             sums = np.zeros(len(batch))
-            for texts, start, stop in _blocks(batch, classes**2):
+            for texts, start, stop in _blocks(batch, classes):
                 n = len(texts.at)
                 logs = np.empty(n)
                 for k in range(0, n, SLICE):
                     some = slice(k, k + SLICE)
                     logs[some] = log_probabilities(weights, texts.windows(some), texts.padded[texts.at[some]])
                 sums[start:stop] = np.bincount(texts.doc, logs, stop - start)
-            counts = np.diff(batch.column("ids").offsets.to_numpy())
+            counts = np.diff(_values(batch.column("ids"))[0]) // width(classes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums)],
                 ["row", "doc_id", "n_words", "score"],
