@@ -36,11 +36,12 @@ def active_features(cell: Column, names: list[str], equation: int = 1, prefix: s
     return F.transform(features, lambda f: F.struct(f.alias("f"), F.lit(1.0).alias("x"), F.lit(equation).alias("e")))
 
 
-def numeric_features(columns: list[str]) -> Column:
-    """array<struct<f, x, e>> from numeric columns; missing counts as zero."""
+def numeric_features(columns: list[str], names: list[str] | None = None) -> Column:
+    """array<struct<f, x, e>> from numeric columns, by their own or the given names; missing counts as zero."""
     items = [F.struct(F.lit(INTERCEPT).alias("f"), F.lit(1.0).alias("x"), F.lit(1).alias("e"))]
     items += [
-        F.struct(F.lit(c).alias("f"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x"), F.lit(1).alias("e")) for c in columns
+        F.struct(F.lit(f).alias("f"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x"), F.lit(1).alias("e"))
+        for c, f in zip(columns, names or columns)
     ]
     return F.array(*items)
 
@@ -171,26 +172,39 @@ def predict_logit(cells: DataFrame, keys: list[str], fit: Fit, out: str = "p") -
     return cells.join(fit.frame(cells, keys), keys).withColumn(out, 1 / (1 + F.exp(-eta))).drop("beta")
 
 
+def testing_cells(df: DataFrame, numeric_columns: list[str], flags_col: str = "flags") -> DataFrame:
+    """(code, n, pos, features) per drug and distinct covariate combination: isolates, and those tested.
+
+    Missing covariates count as zero. What is written is one row per combination with an array of
+    its tested drugs, never longer than the drug catalogue; the untested drugs of a combination are made while
+    it is read, so that rows x drugs are neither stored nor shuffled.
+    """
+    from panelstat.session import checkpoint
+
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, c in enumerate(numeric_columns)]
+    keys = [f"__x{i}" for i in range(len(x))]
+    codes = F.filter(F.transform(F.col(flags_col), lambda t: t["code"]), lambda c: c.isNotNull())
+    # the missing code stands for the isolate itself
+    items = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(codes, F.array().cast("array<string>")))
+    counts = df.select(*x, F.explode(items).alias("code")).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("k"))
+    tested = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "k")))
+    rows = counts.groupBy(*keys).agg(
+        F.max(F.when(F.col("code").isNull(), F.col("k"))).alias("n"), F.map_from_entries(tested).alias("tested")
+    )
+    rows = checkpoint(rows)
+    # once, as the cells are read in every iteration
+    catalogue = rows.select(F.explode(F.map_keys("tested")).alias("code")).agg(F.array_sort(F.collect_set("code"))).first()[0]
+    cells = rows.withColumn("code", F.explode(F.array(*[F.lit(c) for c in catalogue]).cast("array<string>")))
+    return cells.select("code", "n", F.coalesce(F.try_element_at("tested", F.col("code")), F.lit(0)).alias("pos"), numeric_features(keys, numeric_columns).alias("features"))
+
+
 def positivity(df: DataFrame, numeric_columns: list[str], min_prob: float = 0.01, flags_col: str = "flags") -> DataFrame:
     """Per drug: smallest fitted testing probability among tested isolates, and whether it is too small.
 
     Rows are counted per distinct covariate combination before anything is fitted. Drugs that are
     always tested are left out.
     """
-    rows = df.groupBy(*numeric_columns).agg(F.count(F.lit(1)).alias("n"))
-    codes = F.transform(F.col(flags_col), lambda t: t["code"])
-    tested = df.select(*numeric_columns, F.explode(codes).alias("code")).groupBy(*numeric_columns, "code").agg(F.count(F.lit(1)).alias("pos"))
-    catalogue = tested.agg(F.array_sort(F.collect_set("code")).alias("c")).scalar()
-    same = F.lit(True)
-    every = rows.withColumn("code", F.explode(catalogue))
-    t = tested.select("code", "pos", *[F.col(c).alias(f"__{c}") for c in numeric_columns])
-    for c in numeric_columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    cells = every.join(t.withColumnRenamed("code", "__code"), same & (F.col("code") == F.col("__code")), "left")
-    cells = cells.select("code", "n", F.coalesce("pos", F.lit(0)).alias("pos"), numeric_features(numeric_columns).alias("features"))
-    from panelstat.session import checkpoint
-
-    cells = checkpoint(cells)
+    cells = testing_cells(df, numeric_columns, flags_col)
     fit = fit_logit(cells, ["code"])
     p = predict_logit(cells, ["code"], fit)
     return p.groupBy("code").agg(

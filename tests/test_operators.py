@@ -213,6 +213,41 @@ def test_no_self_fold_leakage(flagged):
     assert g(tested) == pytest.approx(g(flipped))
 
 
+def test_positivity_counts_each_combination_and_fits_to_its_score_equations(spark):
+    rng = np.random.default_rng(11)
+    codes = ["A", "B", "C"]
+    rows = []
+    for i in range(400):
+        n, u = (None if i % 50 == 0 else int(rng.integers(0, 3))), float(rng.integers(0, 4)) / 2
+        flags = [(c,) for c, base in zip(codes, (0.9, 0.4, 0.02)) if rng.random() < base]
+        rows.append((n, u, None if i % 40 == 7 else flags + [(None,)] * (i % 9 == 0)))
+    df = spark.createDataFrame(rows, "n int, u double, flags array<struct<code:string>>")
+    cells = glm.testing_cells(df, ["n", "u"])
+    wanted = {}
+    for n, u, flags in rows:
+        for c in codes:
+            k = wanted.setdefault((c, float(n or 0), u), [0, 0])
+            k[0] += 1
+            k[1] += (c,) in (flags or [])
+    names = [glm.INTERCEPT, "n", "u"]
+    got = cells.collect()
+    assert all([t.f for t in r.features] == names for r in got)
+    assert {(r.code, r.features[1].x, r.features[2].x): [r.n, r.pos] for r in got} == wanted and len(got) == len(wanted)
+    fit = glm.fit_logit(cells, ["code"])
+    assert fit.converged
+    fitted = glm.predict_logit(cells, ["code"], fit).collect()
+    for c in codes:
+        for k, name in enumerate(names):
+            score = sum((r.pos - r.n * r.p) * r.features[k].x for r in fitted if r.code == c)
+            ridge = 0.0 if k == 0 else fit.coefficients[(c,)][name]
+            assert abs(score - ridge) < 1e-3
+    found = {r.code: r for r in glm.positivity(df, ["n", "u"], min_prob=0.1).collect()}
+    assert {c: r.too_small for c, r in found.items()} == {"A": False, "B": False, "C": True}
+    assert glm.positivity(df.limit(0), ["n", "u"]).count() == 0
+    least = min(r.p for r in fitted if r.code == "B" and r.pos)
+    assert found["B"].n_rows == 400 and abs(found["B"].min_p_tested - least) < 1e-9
+
+
 def test_logit_against_numpy(spark):
     rng = np.random.default_rng(3)
     levels = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
