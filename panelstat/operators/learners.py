@@ -145,6 +145,12 @@ def together(spark, work: Callable, items) -> list:
         return list(pool.map(tagged, items))
 
 
+def leaf_share(rows: DataFrame, weight_col: str = "n") -> float:
+    """Least share of the weight in a leaf of a tree: that of MIN_LEAF isolates, as cells are weighted rows."""
+    total = rows.agg(F.sum(weight_col)).first()[0] or 0.0
+    return min(0.49, MIN_LEAF / total) if total > 0 else 0.0
+
+
 def labelled_cells(cells: DataFrame, pos: str, n: str) -> DataFrame:
     """Two weighted rows per cell: label 1 with the positive count, label 0 with the rest."""
     both = F.array(
@@ -162,6 +168,8 @@ def ml_policy(
     rows = text_covariates(labelled_cells(train, "n_pos", "n_rows"), columns)
     enc = encoder(columns).fit(rows)
     x = enc.transform(rows).withColumn("__key", F.concat_ws("|", *columns))
+    if model_type != "logit":
+        params = {"minWeightFractionPerNode": leaf_share(rows)} | params
     make = lambda: build(model_type, "classification", seed, **params)
     target = enc.transform(text_covariates(apply_to, columns))
     if calibrate:
@@ -184,7 +192,7 @@ def effect_learner(cells: DataFrame, columns: list[str], seed: int = 42, **param
     sizes = {c: len(labels) for c, labels in zip(columns, enc.stages[0].labelsArray)}
     for arm in (1, 0):
         rows = x.filter(F.col(f"n{arm}") > 0).withColumns({"label": F.col(f"sy{arm}") / F.col(f"n{arm}"), "n": F.col(f"n{arm}").cast("double")})
-        model = build("rf", "regression", seed, **params).fit(rows)
+        model = build("rf", "regression", seed, **({"minWeightFractionPerNode": leaf_share(rows)} | params)).fit(rows)
         x = model.transform(x).withColumnRenamed("prediction", f"m{arm}")
         at = 0
         weights = model.featureImportances.toArray()

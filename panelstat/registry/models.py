@@ -9,9 +9,6 @@ from panelstat.operators import effects, glm, learners, panel, policy, post
 from panelstat.registry.effects import SETTINGS, _flagged, _rounded
 from panelstat.sources import warehouse
 
-# forests and boosting of the queries below the default sizes, which README states
-SMALL = {"numTrees": 20, "maxDepth": 5}
-
 
 def policy_ml(spark, sf):
     """Testing probability of every drug in every context from calibrated logistic models."""
@@ -65,7 +62,8 @@ def cross_fitted_boosting(spark, sf):
     x = learners.labelled_cells(cells, "n_pos", "n_rows")
     x = learners.encoder(["ward", "care_type"]).fit(x).transform(x)
     x = session.checkpoint(x)
-    make = lambda: learners.build("xgb", "classification", maxIter=5, maxDepth=3, stepSize=0.2)
+    leaf = learners.leaf_share(x)
+    make = lambda: learners.build("xgb", "classification", maxIter=5, maxDepth=3, stepSize=0.2, minWeightFractionPerNode=leaf)
     out = learners.cross_fit(x, make, folds=5, calibrate="sigmoid", key="cell", inner_folds=2)
     return out.groupBy("cell", "fold").agg(F.round(F.avg("oof"), 6).alias("p_oof"), F.sum("n").alias("n"))
 
@@ -79,7 +77,7 @@ def effect_heterogeneity(spark, sf):
     cells = cells.join(session.small_side(strongest), ["trigger", "target"], "left_semi")
     parts = F.split("cell", r"\|")
     per_cell = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n1", "sy1", "n0", "sy0")]).withColumns({"ward": parts[0], "care_type": parts[1]})
-    out, _ = learners.effect_learner(session.checkpoint(per_cell), ["ward", "care_type"], **SMALL)
+    out, _ = learners.effect_learner(session.checkpoint(per_cell), ["ward", "care_type"])
     return out.select("ward", "care_type", "n1", "n0", F.round("cate", 6).alias("cate"))
 
 

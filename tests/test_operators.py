@@ -213,6 +213,22 @@ def test_no_self_fold_leakage(flagged):
     assert g(tested) == pytest.approx(g(flipped))
 
 
+def test_trees_keep_leaves_of_few_isolates_together(spark):
+    from panelstat.operators import learners
+
+    schema = "ward string, n1 long, sy1 double, n0 long, sy0 double"
+    few = [("a", 5, 5.0, 5, 0.0), ("b", 100, 20.0, 100, 20.0)]
+    many = [("a", 100, 100.0, 100, 0.0), few[1]]
+    spread = []
+    for rows in (few, many):
+        out, _ = learners.effect_learner(spark.createDataFrame(rows, schema), ["ward"], numTrees=5, maxDepth=2)
+        got = {r.ward: r.cate for r in out.collect()}
+        spread.append(abs(got["a"] - got["b"]))
+    assert spread[0] < 1e-9 and spread[1] > 0.3
+    assert learners.leaf_share(spark.createDataFrame([(80.0,), (120.0,)], "n double")) == learners.MIN_LEAF / 200
+    assert learners.leaf_share(spark.createDataFrame([], "n double")) == 0.0
+
+
 def test_positivity_counts_each_combination_and_fits_to_its_score_equations(spark):
     rng = np.random.default_rng(11)
     codes = ["A", "B", "C"]
