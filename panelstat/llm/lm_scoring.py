@@ -22,7 +22,8 @@ the vocabulary as children, so the work of a word hardly grows with the vocabula
 3. Scoring masks every word of every text in turn.
 
 Edge cases: null, empty and blank texts have no words, score 0 and a null mean; a word's missing
-neighbours at either end are a padding word; a null doc_id is kept; repeated rows score alike; an
+neighbours at either end are a padding word; a text of any length is scored whole, in slices; a null
+doc_id is kept; repeated rows score alike; words of equal count are ordered by their hashes; an
 empty table returns none; other columns are ignored.
 """
 
