@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelstat import session
 from panelstat.functions.text import normalise_name
 
 # Similarity needed for an approximate match, and the filler for unmatched drugs.
@@ -104,10 +105,12 @@ def fuzzy_matches(unmatched: DataFrame, ref: DataFrame, threshold: float = FUZZY
 
     The reference list is a catalogue: up to ``max_closure`` names (checked) travel to the tasks with
     the function. A longer list is matched by :func:`similar_pairs`, which cannot lose a match at or above
-    the threshold.
+    the threshold. The distinct names are written first, or the optimizer moves the matcher below the
+    distinct, onto every row; then they are spread over the cluster, as each is long work.
     """
     rows = ref.orderBy("ref_order", "norm").limit(max_closure + 1).collect()
-    names = unmatched.select("norm").distinct()
+    names = session.checkpoint(unmatched.select("norm").distinct())
+    names = names.repartition(names.sparkSession.sparkContext.defaultParallelism, "norm")
     if len(rows) <= max_closure:
         best = _best_in([(r["norm"], r["ref_name"]) for r in rows])
         scored = names.withColumn("m", best("norm"))

@@ -1,8 +1,10 @@
 import json
 import os
 import tempfile
+import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,6 +373,28 @@ def test_fuzzy_paths_agree(spark, sf):
     assert closure and closure == key(drugdims.fuzzy_matches(names, ref, max_closure=0))
 
 
+def test_fuzzy_matcher_sees_each_name_once(spark, tmp_path, monkeypatch):
+    seen = str(tmp_path)
+
+    def counted(names):
+        @F.pandas_udf("name string, score double")
+        def best(norm: pd.Series) -> pd.DataFrame:
+            with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+                f.write("".join(x + "\n" for x in norm))
+            return pd.DataFrame([(names[0][1], 0.9)] * len(norm), columns=["name", "score"])
+
+        return best
+
+    monkeypatch.setattr(drugdims, "_best_in", counted)
+    drugs = spark.range(600).select(F.concat(F.lit("smal wid get"), (F.col("id") % 3).cast("string")).alias("Antibiotic Name"))
+    ref = spark.createDataFrame([("small widget", "Access")], "Antibiotic string, Category string")
+    syn = spark.createDataFrame([], "alias string, name string")
+    out = drugdims.match_drugs(drugs, ref, syn, ref_columns=["Category"]).collect()
+    assert len(out) == 600 and {r.WHO_Match for r in out} == {"small widget"}
+    rows = [x for f in os.listdir(seen) for x in open(os.path.join(seen, f)).read().split()]
+    assert len(rows) <= 12 and set(rows) == {"smalwidget0", "smalwidget1", "smalwidget2"}
+
+
 def test_similar_pairs_equal_all_pairs(spark):
     from difflib import SequenceMatcher
 
