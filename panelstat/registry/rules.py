@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelstat import session
 from panelstat.functions import tokens
 from panelstat.operators import coverage, panel, rules
 from panelstat.registry import base
@@ -269,8 +270,14 @@ def _export_panels(spark, sf):
     return panel.panel_from_raw(export, drugs, ["IdIsolateDW", "IdPatientDW", "PatientAge"])
 
 
+def _tested_panels(spark, sf):
+    """Tested panels. All are written once, before the filter, which would encode each panel a second time:
+    coverage, its row count and the panels' own use read them."""
+    return coverage.keep_tested(session.checkpoint(_export_panels(spark, sf)))
+
+
 def drug_coverage(spark, sf):
-    df = coverage.keep_tested(_export_panels(spark, sf))
+    df = _tested_panels(spark, sf)
     by_test = coverage.drug_coverage(df, MIN_RATIO).withColumn("basis", F.lit("tested"))
     by_outcome = coverage.drug_coverage(df, MIN_RATIO, by_outcome=True).withColumn("basis", F.lit("outcome"))
     return by_test.unionByName(by_outcome)
@@ -288,7 +295,7 @@ FROM (SELECT code, count(*) AS tested_count, 'tested' AS basis FROM tested GROUP
 
 
 def coverage_status(spark, sf):
-    df = coverage.keep_tested(_export_panels(spark, sf))
+    df = _tested_panels(spark, sf)
     return coverage.status_shares(coverage.drug_coverage(df, MIN_RATIO))
 
 
@@ -300,7 +307,7 @@ FROM (SELECT code, CASE WHEN count(*) / n.n >= {MIN_RATIO} THEN 'Kept' ELSE 'Dro
 
 
 def affected_by_dropping(spark, sf):
-    df = coverage.keep_tested(_export_panels(spark, sf))
+    df = _tested_panels(spark, sf)
     stats = coverage.drug_coverage(df, MIN_RATIO)
     hit = coverage.affected_rows(df, stats)
     return hit.select(F.col("IdIsolateDW").alias("isolate_id"), F.col("IdPatientDW").alias("patient_id"))
@@ -314,7 +321,7 @@ WHERE code IN (SELECT code FROM tested, n GROUP BY code, n.n HAVING count(*) / n
 
 
 def low_coverage_panels(spark, sf):
-    df = coverage.keep_tested(_export_panels(spark, sf))
+    df = _tested_panels(spark, sf)
     df = coverage.drop_low_coverage(df, coverage.drug_coverage(df, MIN_RATIO))
     return panel.long_tests(df, ["IdIsolateDW"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 

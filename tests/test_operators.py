@@ -351,6 +351,39 @@ def test_single_arm_gives_null(spark):
     assert r.status == "failed" and r.rd is None and r.skip_reason.startswith("arms: 30 and 0")
 
 
+def _own_tables(spark, tmp_path):
+    """Orders with three lines each, of two brands, from two laboratories."""
+    ts = "timestamp'2020-01-02'"
+    tables = {
+        "orders": f"select id as o_orderkey, id % 10 as o_custkey, 'O' as o_orderstatus, {ts} as o_orderdate, '1-URGENT' as o_orderpriority from range(60)",
+        "customer": "select id as c_custkey, cast(id % 2 as int) as c_nationkey, 10.0D as c_acctbal, 'AUTO' as c_mktsegment from range(10)",
+        "nation": "select cast(id as int) as n_nationkey, concat('N', id) as n_name, 0 as n_regionkey from range(2)",
+        "region": "select 0 as r_regionkey, 'R' as r_name",
+        "part": "select id as p_partkey, concat('Brand#', id + 1) as p_brand from range(2)",
+        "lineitem": "select id div 3 as l_orderkey, id % 2 as l_partkey, cast(id % 3 + 1 as int) as l_linenumber, 'R' as l_returnflag from range(180)",
+    }
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_tested_panels_are_built_once(spark, tmp_path):
+    from panelstat.registry import rules as queries
+
+    own = _own_tables(spark, tmp_path)
+    df = queries.low_coverage_panels(spark, own)
+    assert not [f for f in df.inputFiles() if "lineitem" in f]
+    assert {r.code for r in df.collect()} == {"BRAND#1", "BRAND#2"}
+
+
+def test_discovery_isolates_are_built_once(spark, tmp_path):
+    from panelstat.registry import effects as queries
+
+    df = queries._discovery(spark, _own_tables(spark, tmp_path))
+    assert not [f for f in df.inputFiles() if "lineitem" in f]
+    assert df.count() == 60 and df.select("lab", "is_estimation").distinct().count() == 2
+
+
 # ---- drug lists -----------------------------------------------------------------------------------
 
 
@@ -794,6 +827,23 @@ def test_fits_overlap_and_keep_their_order(spark):
     assert learners.together(spark, work, [1, 2, 3]) == [1, 2, 3]
 
 
+def test_cross_fit_builds_models_in_one_thread(spark):
+    import threading
+
+    from panelstat.operators import learners
+
+    rows = [(f, str(k), 1.0 + k, float(y)) for f in range(2) for k in range(2) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "fold int, ward string, n double, label double")
+    df = learners.encoder(["ward"]).fit(df).transform(df)
+    threads = set()
+
+    def make():
+        threads.add(threading.get_ident())
+        return learners.build("logit", maxIter=3)
+
+    assert learners.cross_fit(df, make, folds=2).count() == len(rows) and threads == {threading.get_ident()}
+
+
 def test_default_model_adjusts_for_a_confounder(spark):
     """Age raises both resistance and testing; resistance itself changes nothing."""
     rng = np.random.default_rng(12)
