@@ -93,7 +93,7 @@ class Calibrated:
 
         def one(k: int):
             base = self.make().fit(inner.filter(F.col("__inner") != k))
-            held = _scored(base, inner.filter(F.col("__inner") == k), "__s")
+            held = session.checkpoint(_scored(base, inner.filter(F.col("__inner") == k), "__s"))
             if self.method == "isotonic":
                 cal = IsotonicRegression(featuresCol="__s", labelCol=self.label_col, weightCol=self.weight_col, predictionCol="__c").fit(held)
             else:
@@ -102,14 +102,15 @@ class Calibrated:
                 cal = LogisticRegression(featuresCol="__f", labelCol=self.label_col, weightCol=self.weight_col, predictionCol="__d", probabilityCol="__q", rawPredictionCol="__w").fit(held)
             return base, cal
 
-        self.models = together(df.sparkSession, one, range(self.folds))
+        self.models = [one(k) for k in range(self.folds)]
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
-        """Writes each inner model's scores before the next one's, so that no task's closure holds two models."""
+        """Writes each model's scores before its calibration and before the next one's, so that no task's
+        closure holds two models."""
         cols = []
         for i, (base, cal) in enumerate(self.models):
-            df = _scored(base, df, "__s")
+            df = session.checkpoint(_scored(base, df, "__s"))
             if self.method == "isotonic":
                 df = cal.transform(df).withColumnRenamed("__c", f"__c{i}").drop("__s")
             else:
@@ -125,8 +126,9 @@ def cross_fit(
     df: DataFrame, make: Callable[[], Estimator], fold_col: str = "fold", folds: int = 5, out: str = "oof",
     calibrate: str | None = None, key: str | None = None, inner_folds: int = 3,
 ) -> DataFrame:
-    """Out-of-fold predictions: each fold is scored by a model that never saw it. The folds' fits are
-    submitted together, so that their jobs overlap. Scores are written: no plan carries several models."""
+    """Out-of-fold predictions: each fold is scored by a model that never saw it. One fit runs after the
+    other, as plans that carry models are not built in several threads. Scores are written: no plan
+    carries several models."""
 
     def fold(k: int) -> DataFrame:
         train, held = df.filter(F.col(fold_col) != k), df.filter(F.col(fold_col) == k)
@@ -134,7 +136,7 @@ def cross_fit(
             return Calibrated(make, key, calibrate, inner_folds).fit(train).score(held, out)
         return session.checkpoint(_scored(make().fit(train), held, out))
 
-    return reduce(lambda a, b: a.unionByName(b), together(df.sparkSession, fold, range(folds)))
+    return reduce(lambda a, b: a.unionByName(b), [fold(k) for k in range(folds)])
 
 
 def together(spark, work: Callable, items) -> list:
