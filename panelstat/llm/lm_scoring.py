@@ -58,6 +58,8 @@ MEASURED_EVERY = 16
 SLICE = 16_384
 BLOCK = 65_536
 MAX_COUNTED = 2_000_000
+LONG_RUN = 128
+FEW_RUNS = 128
 PIECE = 4_096
 FAN_IN = 64
 
@@ -101,16 +103,31 @@ def classes_for(words: int) -> int:
 def to_ids(hashes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Ids of hashed words: a vocabulary word's rank, else the number of these plus its bucket."""
     ids = vocabulary.top + (hashes % np.uint64(vocabulary.buckets)).astype(np.int32)
-    if len(vocabulary.known):
-        at = np.minimum(np.searchsorted(vocabulary.known, hashes), len(vocabulary.known) - 1)
-        hit = vocabulary.known[at] == hashes
-        ids[hit] = vocabulary.rank[at[hit]]
+    known = vocabulary.known
+    if len(known):
+        # known hashes lie in order, so those that begin with the same bits follow one another
+        bits = len(known).bit_length() + 2
+        shift = np.uint64(64 - bits)
+        alike = np.bincount((known >> shift).astype(np.intp), minlength=1 << bits)
+        begin = (hashes >> shift).astype(np.intp)
+        at, n = (np.cumsum(alike) - alike)[begin], alike[begin]
+        some, step = np.flatnonzero(n), 0
+        while len(some):
+            hit = known[at[some] + step] == hashes[some]
+            found = some[hit]
+            ids[found] = vocabulary.rank[at[found] + step]
+            step += 1
+            some = some[~hit]
+            some = some[n[some] > step]
     return ids
 
 
 def _order(ids: np.ndarray, size: int) -> np.ndarray:
-    """Stable order, by the narrowest type that holds the ids."""
-    return np.argsort(ids.astype(np.min_scalar_type(size)), kind="stable")
+    """Stable order of ids up to `size`. Values of 16 bits are sorted by their digits, so wider ids go by halves."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    if size > np.iinfo(np.uint16).max:
+        order = order[np.argsort((ids >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
 
 
 def start_weights(classes: int = CLASSES) -> dict[str, np.ndarray]:
@@ -162,44 +179,50 @@ def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
 
 
 def _powers(z: np.ndarray) -> np.ndarray:
-    """Turns rows into their exponentials and returns the sums."""
+    """Turns columns into their exponentials, the largest being one, and returns the sums."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], z.dtype)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z /= _powers(z)[:, None]
-    return z
+    return z.sum(axis=0)
 
 
 def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at the chosen column."""
-    z -= z.max(axis=1, keepdims=True)
-    out = z[np.arange(len(z)), chosen]
-    return out - np.log(_powers(z))
+    """Log-softmax of each column at the chosen row."""
+    z -= z.max(axis=0)
+    out = z.reshape(-1).take(chosen)
+    np.exp(z, out=z)
+    return out - np.log(z.sum(axis=0))
 
 
-def _runs(nodes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The distinct nodes of a sorted array, and each node with its first row and the row after its last."""
-    first = np.flatnonzero(np.diff(nodes, prepend=-1))
-    found = nodes[first]
-    return found, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(nodes)]))
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Places of a sorted array at which another value begins."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
 def _walk(w: dict, h: np.ndarray, target: np.ndarray):
-    """Per level, for rows sorted by target: scores of the children, the child taken, the distinct nodes and their runs."""
+    """Per level, for rows sorted by target: scores of the children, a row for each child so that sums over the
+    children run along the words; the places there of the children taken, the distinct nodes and their runs of rows."""
     fans = [w[f"node{level}"].shape[2] for level in range(LEVELS)]
-    for level in range(LEVELS):
-        fan = fans[level]
+    n = len(target)
+    every = np.arange(n)
+    for level, fan in enumerate(fans):
         child = target // math.prod(fans[level + 1 :])
         node = child // fan
-        found, runs = _runs(node)
+        first = _firsts(node)
+        found = node[first]
+        runs = list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), n]))
         weights = w[f"node{level}"]
-        z = np.empty((len(h), fan), h.dtype)
-        for k, start, stop in runs:
-            np.dot(h[start:stop], weights[k], out=z[start:stop])
-        yield level, z, child - node * fan, found, runs
+        if n < LONG_RUN * len(runs):
+            z = np.empty((n, fan), h.dtype)
+            for k, start, stop in runs:
+                np.dot(h[start:stop], weights[k], out=z[start:stop])
+            z = z.T.copy()
+        else:
+            z = np.empty((fan, n), h.dtype)
+            for k, start, stop in runs:
+                np.matmul(weights[k].T, h[start:stop].T, out=z[:, start:stop])
+        yield level, z, (child - node * fan).astype(np.intp) * n + every, found, runs
 
 
 def log_probabilities(w: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -207,29 +230,53 @@ def log_probabilities(w: dict, around: np.ndarray, target: np.ndarray) -> np.nda
     order = _order(target, w["embedding"].shape[1])
     target = target[order]
     total = np.zeros(len(target), w["bias"].dtype)
-    for _, z, child, _, _ in _walk(w, _hidden(w, around[:, order]), target):
-        total += _log_share(z, child)
+    for _, z, chosen, _, _ in _walk(w, _hidden(w, around.take(order, axis=1)), target):
+        total += _log_share(z, chosen)
     out = np.empty_like(total)
     out[order] = total
     return out
 
 
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows[order], the sums of the runs that begin at `first`, and the order of the runs in which they come.
+
+    The longest runs come first, so those with an r-th row are a prefix, which takes all r-th rows at once;
+    of the few runs longer than that the rest is summed run by run, two columns at once as complex numbers.
+    """
+    n = np.diff(first, append=len(order))
+    by = _order(n.max() - n, int(n.max()))
+    at, longer = first[by], (len(n) - np.cumsum(np.bincount(n))).tolist()
+    out = rows.take(order[at], axis=0)
+    r = 1
+    while longer[r] > FEW_RUNS:
+        out[: longer[r]] += rows.take(order[at[: longer[r]] + r], axis=0)
+        r += 1
+    if few := longer[r]:
+        sizes = n[by[:few]] - r
+        starts = np.cumsum(sizes) - sizes
+        rest = rows.take(order[np.repeat(at[:few] + r - starts, sizes) + np.arange(sizes.sum())], axis=0)
+        pairs = rest.view(np.result_type(rows.dtype, np.complex64))
+        out[:few] += np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
+    return out, by
+
+
 def sparse_gradients(w: dict, around: np.ndarray, target: np.ndarray):
     """Of the mean negative log-probability: (name, index, values) of the rows that are not zero, each row once."""
     n = len(target)
     size = w["embedding"].shape[1]
     order = _order(target, size)
-    around, target = around[:, order], target[order]
+    around, target = around.take(order, axis=1), target[order]
     h = _hidden(w, around)
-    back, part = np.zeros_like(h), np.empty_like(h)
-    every = np.arange(n)
+    back, part = np.zeros((n, HIDDEN), h.dtype), np.empty((n, HIDDEN), h.dtype)
     out = []
-    for level, slope, child, found, runs in _walk(w, h, target):
-        _softmax(slope)
-        slope[every, child] -= 1
-        slope /= n
+    for level, slope, chosen, found, runs in _walk(w, h, target):
+        sums = _powers(slope)
+        sums *= n
+        slope /= sums
+        slope.reshape(-1)[chosen] -= slope.dtype.type(1 / n)
+        slope = slope.T.copy() if n < LONG_RUN * len(runs) else slope.T
         weights = w[f"node{level}"]
-        turned = weights.transpose(0, 2, 1)
+        turned = weights[:, :HIDDEN].transpose(0, 2, 1)
         grown = np.empty((len(found), *weights.shape[1:]), h.dtype)
         for i, (k, start, stop) in enumerate(runs):
             some = slope[start:stop]
@@ -237,14 +284,15 @@ def sparse_gradients(w: dict, around: np.ndarray, target: np.ndarray):
             np.dot(some, turned[k], out=part[start:stop])
         back += part
         out.append((f"node{level}", found, grown))
-    h *= h
-    back = np.ascontiguousarray((back * (1 - h))[:, :HIDDEN])
-    out.append(("bias", slice(None), back.sum(axis=0)))
+    inner = h[:, :HIDDEN]
+    back -= back * inner * inner
+    out.append(("bias", slice(None), np.ones(n, back.dtype) @ back))
     for j in range(len(OFFSETS)):
         order = _order(around[j], size)
-        ids = around[j][order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        out.append(("embedding", (j, ids[first]), np.add.reduceat(back.take(order, axis=0), first, axis=0)))
+        ids = around[j].take(order)
+        first = _firsts(ids)
+        sums, by = _sums(back, order, first)
+        out.append(("embedding", (j, ids[first[by]]), sums))
     return out
 
 
@@ -256,16 +304,19 @@ def gradients(w: dict, around: np.ndarray, target: np.ndarray) -> dict[str, np.n
     return out
 
 
-class Trainer:
-    """Adagrad from given weights over masked windows, in batches across documents."""
+def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row copied whole."""
+    whole = np.dtype((np.void, rows[0].nbytes))
+    table.reshape(len(table), -1).view(whole)[at, 0] = rows.reshape(len(rows), -1).view(whole)[:, 0]
 
-    def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.w = {k: v.copy() for k, v in weights.items()}
-        self.square = {k: np.full(v.shape, 1e-6, np.float32) for k, v in weights.items()}
-        self.rate, self.seen = rate, 0
+
+class Held:
+    """Windows and their targets, taken together once there are `batch` of them."""
+
+    def __init__(self, batch: int):
         self.around: list[np.ndarray] = []
         self.target: list[np.ndarray] = []
-        self.held, self.batch = 0, FIRST_BATCH
+        self.held, self.batch, self.seen = 0, batch, 0
 
     def add(self, around: np.ndarray, target: np.ndarray) -> None:
         self.around.append(around)
@@ -278,19 +329,53 @@ class Trainer:
         if not self.held:
             return
         around, target = np.concatenate(self.around, axis=1), np.concatenate(self.target)
+        self.around, self.target, self.held = [], [], 0
+        self.take(around, target)
+        self.seen += len(target)
+
+
+class Loss(Held):
+    """Sum of the negative log-probabilities of targets under given weights."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        super().__init__(SLICE)
+        self.w, self.loss = weights, 0.0
+
+    def take(self, around: np.ndarray, target: np.ndarray) -> None:
+        self.loss -= float(log_probabilities(self.w, around, target).sum(dtype=np.float64))
+
+
+class Trainer(Held):
+    """Adagrad from given weights over masked windows, in batches across documents."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        super().__init__(FIRST_BATCH)
+        self.w = {k: v.copy() for k, v in weights.items()}
+        self.square = {k: np.full(v.shape, 1e-6, np.float32) for k, v in weights.items()}
+        self.rate = rate
+
+    def _update(self, k: str, rows, g: np.ndarray) -> None:
+        w, square = self.w[k], self.square[k]
+        if isinstance(rows, slice):
+            w, square, g, rows = w[None], square[None], g[None], np.zeros(1, np.intp)
+        elif isinstance(rows, tuple):
+            j, rows = rows
+            w, square = w[j], square[j]
+        total = square.take(rows, axis=0)
+        total += g * g
+        _put(square, rows, total)
+        g *= self.rate
+        g /= np.sqrt(total, out=total)
+        _put(w, rows, np.subtract(w.take(rows, axis=0), g, out=g))
+
+    def take(self, around: np.ndarray, target: np.ndarray) -> None:
         at = 0
         while at < len(target):
             some = slice(at, at + self.batch)
             for k, rows, g in sparse_gradients(self.w, around[:, some], target[some]):
-                square = self.square[k][rows] + g * g
-                self.square[k][rows] = square
-                g *= self.rate
-                g /= np.sqrt(square, out=square)
-                self.w[k][rows] -= g
+                self._update(k, rows, g)
             at += self.batch
             self.batch = min(BATCH, self.batch + self.batch // 4)
-        self.seen += len(target)
-        self.around, self.target, self.held = [], [], 0
 
 
 def masked(place: np.ndarray, seed: np.ndarray, turn: int, every: int) -> np.ndarray:
@@ -346,6 +431,19 @@ def _bytes(ids: np.ndarray, wide: int) -> bytes:
     return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
 
 
+def _together(texts):
+    """Lists of hashed texts that follow one another, of about BLOCK words or of one longer text."""
+    held, size = [], 0
+    for hashes in texts:
+        if held and size + len(hashes) > BLOCK:
+            yield held
+            held, size = [], 0
+        held.append(hashes)
+        size += len(hashes)
+    if held:
+        yield held
+
+
 def _code(words: Vocabulary):
     wide = width(words.classes)
 
@@ -353,9 +451,11 @@ def _code(words: Vocabulary):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, others = [], []
-            for hashes in hashed_texts(batch.column("text")):
-                ids.append(to_ids(hashes, words))
-                others.append(hashes[ids[-1] >= words.top].view(np.int64))
+            for texts in _together(hashed_texts(batch.column("text"))):
+                every = np.concatenate(texts)
+                ends = np.cumsum([len(t) for t in texts[:-1]], dtype=np.intp)
+                ids += np.split(to_ids(every, words), ends)
+                others += [t[i >= words.top].view(np.int64) for t, i in zip(texts, ids[-len(texts) :])]
             rows, seeds = np.arange(row, row + len(ids)), [zlib.crc32(i.tobytes()) for i in ids]
             row += len(ids)
             yield pa.RecordBatch.from_arrays(
@@ -397,8 +497,7 @@ def _blocks(batch: pa.RecordBatch, classes: int):
 
 def _train(weights: dict, classes: int, turn: int, every: int, rate: float):
     def run(batches):
-        trainer = Trainer(weights, rate)
-        loss, measured = 0.0, 0
+        trainer, ear = Trainer(weights, rate), Loss(weights)
         for batch in batches:
             seeds = batch.column("seed").to_numpy().astype(np.uint64)
             for texts, start, stop in _blocks(batch, classes):
@@ -411,39 +510,46 @@ def _train(weights: dict, classes: int, turn: int, every: int, rate: float):
                     around, target = texts.windows(some), texts.padded[texts.at[some]]
                     trainer.add(around, target)
                     told = heard[k : k + SLICE]
-                    if told.any():
-                        loss -= float(log_probabilities(weights, around[:, told], target[told]).sum(dtype=np.float64))
-                        measured += int(told.sum())
+                    ear.add(around[:, told], target[told])
         trainer.flush()
+        ear.flush()
         if trainer.seen:
             flat = np.concatenate([v.ravel() for v in trainer.w.values()]) * np.float64(trainer.seen)
             # two more sums: the loss, and the targets it was measured on
-            flat = np.concatenate([flat, [loss, measured]])
+            flat = np.concatenate([flat, [ear.loss, ear.seen]])
             part, seen = TaskContext.get().partitionId(), float(trainer.seen)
             pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
             n = len(pieces)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([seen] * n), pa.array(pieces, pa.list_(pa.float32()))],
+                [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([seen] * n), pa.array([_packed(p) for p in pieces], pa.binary())],
                 ["piece", "part", "seen", "sums"],
             )
 
     return run
 
 
+def _packed(sums: np.ndarray) -> bytes:
+    return sums.astype("<f4").tobytes()
+
+
+def _unpacked(sums: bytes) -> np.ndarray:
+    return np.frombuffer(sums, "<f4").astype(np.float64)
+
+
 def _add_up(rows: pa.Table) -> pa.Table:
     """The sum of one piece over some tasks."""
-    sums = np.sum([np.asarray(s.values, np.float64) for s in rows["sums"]], axis=0)
+    sums = np.sum([_unpacked(s.as_py()) for s in rows["sums"]], axis=0)
     return pa.table(
         {
             "piece": rows["piece"].slice(0, 1),
             "part": pa.array([min(rows["part"].to_pylist())], pa.int32()),
             "seen": pa.array([float(sum(rows["seen"].to_pylist()))]),
-            "sums": pa.array([sums], pa.list_(pa.float32())),
+            "sums": pa.array([_packed(sums)], pa.binary()),
         }
     )
 
 
-SUM_SCHEMA = "piece int, part int, seen double, sums array<float>"
+SUM_SCHEMA = "piece int, part int, seen double, sums binary"
 
 
 def train(texts: DataFrame, words: Vocabulary, rounds: int | None = None, mask_every: int = 4, rate: float = 0.05) -> dict[str, np.ndarray]:
@@ -459,7 +565,7 @@ def train(texts: DataFrame, words: Vocabulary, rounds: int | None = None, mask_e
         turn += 1
         if rows:
             rows.sort(key=lambda r: r.piece)
-            flat = np.concatenate([np.asarray(r.sums, np.float64) for r in rows])
+            flat = np.concatenate([_unpacked(r.sums) for r in rows])
             if flat[-1]:
                 losses.append(flat[-2] / flat[-1])
             flat /= rows[0].seen
@@ -506,7 +612,9 @@ def score(docs: DataFrame, rounds: int | None = None, id_col: str = "doc_id", te
     scored = written.select("row", "doc_id", "ids").mapInArrow(
         _score(weights, words.classes), "row long, doc_id long, n_words long, score double"
     )
-    shares = written.select("row", F.explode("others").alias("word")).join(parts, "word").groupBy("row").agg(F.sum("log_part").alias("part"))
+    # a task's parts, each word once, go into a hash table, so that the far more numerous places of these words need no sort
+    others = written.select("row", F.explode("others").alias("word"))
+    shares = others.join(parts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("log_part").alias("part"))
     scored = scored.join(shares, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
     return scored.select("doc_id", "n_words", "score", mean.alias("mean_score"))
