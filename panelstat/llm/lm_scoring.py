@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.llm.word_hashes import hashed_texts
-from panelstat.session import checkpoint
+from panelstat.session import checkpoint, shuffles_removed
 
 CLASSES = 32
 SIZE = CLASSES**2
@@ -216,7 +216,7 @@ def _walk(w: dict, h: np.ndarray, target: np.ndarray):
         if n < LONG_RUN * len(runs):
             z = np.empty((n, fan), h.dtype)
             for k, start, stop in runs:
-                np.dot(h[start:stop], weights[k], out=z[start:stop])
+                h[start:stop].dot(weights[k], z[start:stop])
             z = z.T.copy()
         else:
             z = np.empty((fan, n), h.dtype)
@@ -280,8 +280,8 @@ def sparse_gradients(w: dict, around: np.ndarray, target: np.ndarray):
         grown = np.empty((len(found), *weights.shape[1:]), h.dtype)
         for i, (k, start, stop) in enumerate(runs):
             some = slope[start:stop]
-            np.dot(h[start:stop].T, some, out=grown[i])
-            np.dot(some, turned[k], out=part[start:stop])
+            h[start:stop].T.dot(some, grown[i])
+            some.dot(turned[k], part[start:stop])
         back += part
         out.append((f"node{level}", found, grown))
     inner = h[:, :HIDDEN]
@@ -554,7 +554,12 @@ SUM_SCHEMA = "piece int, part int, seen double, sums binary"
 
 def train(texts: DataFrame, words: Vocabulary, rounds: int | None = None, mask_every: int = 4, rate: float = 0.05) -> dict[str, np.ndarray]:
     """Weights from coded texts after `rounds` rounds, or by default once every position was a target and the loss has settled.
-    Runs a job per round."""
+    Runs a job per round; no round leaves its sums on the executors' disks."""
+    with shuffles_removed(texts.sparkSession):
+        return _train_rounds(texts, words, rounds, mask_every, rate)
+
+
+def _train_rounds(texts: DataFrame, words: Vocabulary, rounds: int | None, mask_every: int, rate: float) -> dict[str, np.ndarray]:
     weights = start_weights(words.classes)
     losses: list[float] = []
     turn = 0

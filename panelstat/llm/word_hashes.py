@@ -6,7 +6,6 @@ polynomial of its bytes, which prefix sums over the text give for all words toge
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +14,11 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18  # the tables over a chunk's bytes stay in a core's cache
 BASE = 0x9E3779B97F4A7C15
-SPACES = b" \t\n\v\f\r"
 
 
-@functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    lower = np.arange(256, dtype=np.uint8)
-    lower[ord("A") : ord("Z") + 1] += 32
-    space = np.zeros(256, bool)
-    space[list(SPACES)] = True
-    return lower, space
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Bytes other than white space: the space, and the five from the tab on."""
+    return (data - np.uint8(9) > 4) & (data != 32)
 
 
 _powers: list[np.ndarray] = []
@@ -49,18 +43,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _hash(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Word hashes of each of the texts that lie in `data` up to the given ends."""
-    lower, space = _tables()
     if not len(data):
         return [np.empty(0, np.uint64)] * len(ends)
     power, inverse = _power_tables(len(data))
-    solid, edge = ~space[data], np.zeros(len(data) + 1, bool)
+    solid, edge = _solid(data), np.zeros(len(data) + 1, bool)
     edge[ends] = True
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:-1]
     last[:-1] &= ~solid[1:] | edge[1:-1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((lower[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    values = (data + np.uint8(32) * (data - np.uint8(ord("A")) < 26)).astype(np.uint64)  # A-Z lower-cased
+    values += np.uint64(1)
+    values *= power[: len(data)]
+    np.cumsum(values, out=sums[1:])
     hashes = mix((sums[stop] - sums[start]) * inverse[start])
     return np.split(hashes, np.searchsorted(start, ends[:-1]))
 
@@ -72,7 +68,6 @@ def hashed_texts(texts: pa.Array) -> Iterator[np.ndarray]:
     _, offsets, values = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
-    _, space = _tables()
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, side="right")) - 1)
@@ -85,9 +80,9 @@ def hashed_texts(texts: pa.Array) -> Iterator[np.ndarray]:
             while begin < end:
                 cut = min(end, begin + CHUNK_BYTES)
                 if cut < end:
-                    found = np.flatnonzero(space[data[begin:cut]])
+                    found = np.flatnonzero(~_solid(data[begin:cut]))
                     # a word longer than a chunk is taken whole
-                    rest = np.flatnonzero(space[data[cut:end]]) if not len(found) else found
+                    rest = np.flatnonzero(~_solid(data[cut:end])) if not len(found) else found
                     cut = begin + int(found[-1]) + 1 if len(found) else cut + int(rest[0]) if len(rest) else end
                 parts += _hash(data[begin:cut], np.array([cut - begin]))
                 begin = cut

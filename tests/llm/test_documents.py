@@ -253,6 +253,17 @@ def test_word_hashes_cut_as_bytes_do():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(0, 256, int(n), dtype=np.uint8)) for n in rng.integers(0, 90, 300)] + [b"A" * 500 + b" b", None, b"", b"x\tY \x0b" * 200]
+    whole = list(hashed_texts(pa.array(texts, pa.binary())))
+    monkeypatch.setattr("panelstat.llm.word_hashes.CHUNK_BYTES", 64)
+    for a, b, t in zip(whole, hashed_texts(pa.array(texts, pa.binary())), texts, strict=True):
+        assert (a == b).all() and len(a) == len((t or b"").split())
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in lm_scoring.start_weights().items()}
@@ -309,6 +320,63 @@ def test_scores_are_those_of_each_word_by_its_window(spark):
     assert got[6].score == got[7].score
 
 
+def test_sums_and_orders_of_ids_are_those_of_brute_force():
+    rng = np.random.default_rng(2)
+    for size, n in ((5, 1), (5, 3_000), (300, 4_000), (90_000, 2_000), (90_000, 1)):
+        ids = np.minimum(rng.integers(0, size, n), rng.integers(0, size, n)).astype(np.int32)
+        order = lm_scoring._order(ids, size)
+        assert (order == np.argsort(ids, kind="stable")).all()
+        for kind in (np.float32, np.float64):
+            rows = rng.standard_normal((n, lm_scoring.HIDDEN)).astype(kind)
+            first = lm_scoring._firsts(ids[order])
+            got, by = lm_scoring._sums(rows, order, first)
+            expected = np.zeros((size, lm_scoring.HIDDEN))
+            np.add.at(expected, ids, rows)
+            found = ids[order][first[by]]
+            assert sorted(found.tolist()) == np.unique(ids).tolist()
+            assert got.dtype == kind and np.allclose(got, expected[found], atol=1e-3)
+
+
+def test_shares_are_those_of_plain_softmax():
+    """In batches beyond and below the length of runs at which the products are laid out otherwise, and of scores far apart."""
+    rng = np.random.default_rng(3)
+    w = {k: v.astype(np.float64) for k, v in lm_scoring.start_weights(9).items()}
+    w["node2"][:, :-1] *= 3_000
+    for n in (1, 40, 8_000):
+        around, target = rng.integers(0, 82, (4, n)), rng.integers(0, 81, n)
+        got = lm_scoring.log_probabilities(w, around, target)
+        h = np.ones((n, lm_scoring.HIDDEN + 1))
+        h[:, :-1] = np.tanh(sum(w["embedding"][j][around[j]] for j in range(4)) + w["bias"])
+        fans, expected = lm_scoring.fan_outs(9), np.zeros(n)
+        for level in range(lm_scoring.LEVELS):
+            child = target // int(np.prod(fans[level + 1 :]))
+            z = np.einsum("ij,ijk->ik", h, w[f"node{level}"][child // fans[level]])
+            z -= z.max(axis=1, keepdims=True)
+            expected += z[np.arange(n), child % fans[level]] - np.log(np.exp(z).sum(axis=1))
+        assert np.allclose(got, expected)
+
+
+def test_ids_of_words_that_begin_alike():
+    known = np.unique(np.concatenate([np.arange(40, dtype=np.uint64) + np.uint64(7 << 60), np.array([0, 1, 2**63, 2**64 - 1], np.uint64)]))
+    words = lm_scoring.Vocabulary(known, np.random.default_rng(4).permutation(len(known)).astype(np.int32), 32, 1024 - len(known))
+    hashes = np.concatenate([known, known + np.uint64(1), np.arange(9, dtype=np.uint64) << np.uint64(60)])
+    ranks = dict(zip(known.tolist(), words.rank.tolist()))
+    assert lm_scoring.to_ids(hashes, words).tolist() == [ranks.get(h, words.top + h % words.buckets) for h in hashes.tolist()]
+    empty = lm_scoring.Vocabulary(known[:0], words.rank[:0], 32, 1024)
+    assert lm_scoring.to_ids(hashes, empty).tolist() == [h % 1024 for h in hashes.tolist()]
+
+
+def test_training_and_shares_neither_sort_words_nor_leave_shuffles(spark, monkeypatch):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, shapes = spark.conf.get(key, None), [], lm_scoring.shapes
+    monkeypatch.setattr(lm_scoring, "shapes", lambda classes: seen.append(spark.conf.get(key, None)) or shapes(classes))
+    docs = spark.createDataFrame([(i, f"a b {i} c") for i in range(50)], "doc_id long, text string")
+    scored = lm_scoring.score(docs, rounds=1)
+    assert "true" in seen and spark.conf.get(key, None) == before
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
 def test_probabilities_sum_to_one():
     w, around = lm_scoring.start_weights(), np.array([[1], [2], [3], [lm_scoring.PAD]])
     every = np.arange(lm_scoring.SIZE)
